@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, mixture
+from quire.llm import decontaminate, language, mixture, superminhash, toxicity
 from quire.llm.common import table
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -19,7 +31,7 @@ def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_benchmark_decontamination, op9_source_mixture)
+    f.__name__: f for f in (op3_language_mixture, op4_toxicity_ftrl, op7_superminhash_near_dedup, op8_benchmark_decontamination, op9_source_mixture)
 }
 
 ORACLES: dict[str, str] = {}
