@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, language, mixture, superminhash, toxicity
+from quire.llm import collision, decontaminate, language, mixture, superminhash, tokens, toxicity
 from quire.llm.common import table
 
 
+def op2_training_order_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_collision_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.digest(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_language_mixture, op4_toxicity_ftrl, op7_superminhash_near_dedup, op8_benchmark_decontamination, op9_source_mixture)
+    f.__name__: f for f in (op2_training_order_tokens, op3_language_mixture, op4_toxicity_ftrl, op5_collision_near_dedup, op7_superminhash_near_dedup, op8_benchmark_decontamination, op9_source_mixture)
 }
 
 ORACLES: dict[str, str] = {}
