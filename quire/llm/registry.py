@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import collision, decontaminate, language, mixture, superminhash, tokens, toxicity
+from quire.llm import collision, decontaminate, language, licenses, mixture, perspectives, superminhash, tokens, toxicity
 from quire.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_training_order_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_collision_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.digest(table(spark, sf_dir, "conversations"))
+
+
 def op7_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.digest(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,9 @@ def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_training_order_tokens, op3_language_mixture, op4_toxicity_ftrl, op5_collision_near_dedup, op7_superminhash_near_dedup, op8_benchmark_decontamination, op9_source_mixture)
+    f.__name__: f for f in (op1_license_scan, op2_training_order_tokens, op3_language_mixture, op4_toxicity_ftrl, op5_collision_near_dedup, op6_perspective_rotation, op7_superminhash_near_dedup, op8_benchmark_decontamination, op9_source_mixture)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_perspective_rotation": perspectives.ORACLE_SQL,
+}
