@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int
     groups = components(stars, scratch, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("component", "group")
     groups = scratch.put(groups.join(classes.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n")), "rep"), "groups")
     tasks = scratch.put(_deal(groups, threshold), "tasks")
-    found = _packed(docs.filter("id is not null and text is not null")).join(tasks.withColumnRenamed("rep", "id"), "id")
+    # A merge join at every size: a table of tasks that is small here would be broadcast, one that grows could not.
+    found = _packed(docs.filter("id is not null and text is not null")).join(tasks.withColumnRenamed("rep", "id").hint("merge"), "id")
     repeats = _has_repeats(known)
     members = _members(found, size).dropDuplicates(["rep", "set_key"]) if repeats else _members(found, size)
     links = _links(members.select("rep", "elements", F.explode("tasks").alias("t")).select("rep", "elements", "t.*"), threshold)
