@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -71,3 +72,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, not at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import collision, decontaminate, language, licenses, mixture, perspectives, superminhash, tokens, toxicity
+import corpus_pipeline
+from quire.llm import collision, decontaminate, language, licenses, mixture, perspectives, repeats, superminhash, tokens, toxicity
 from quire.llm.common import table
 
 
@@ -46,10 +47,14 @@ def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_training_order_tokens, op3_language_mixture, op4_toxicity_ftrl, op5_collision_near_dedup, op6_perspective_rotation, op7_superminhash_near_dedup, op8_benchmark_decontamination, op9_source_mixture)
-}
+    f.__name__: f for f in (op1_license_scan, op2_training_order_tokens, op3_language_mixture, op4_toxicity_ftrl, op5_collision_near_dedup, op6_perspective_rotation, op7_superminhash_near_dedup, op8_benchmark_decontamination, op9_source_mixture, op10_suffix_array_dedup)
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op6_perspective_rotation": perspectives.ORACLE_SQL,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
