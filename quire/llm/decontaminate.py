@@ -161,7 +161,7 @@ def _count_words(text, spans):
     """How many words lie in byte spans of ``text``."""
     pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     raw = F.encode(text, "UTF-8")
-    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + F.regexp_count(F.decode(F.substr(raw, x.start + 1, x.end - x.start), F.lit("UTF-8")), F.lit(pattern)))
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + F.regexp_count(F.decode(F.substr(raw, x.start + 1, x.end - x.start), "UTF-8"), F.lit(pattern)))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, min_items: int = 2, id_col: str = "doc_id") -> DataFrame:
@@ -184,6 +184,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = 8) -> DataFrame:
     raw = F.encode(F.col("text"), "UTF-8")
     ends = F.concat(F.array(F.lit(0)), F.transform("hits.spans", lambda x: x.end))
     starts = F.concat(F.transform("hits.spans", lambda x: x.start), F.array(F.octet_length("text")))
-    kept = F.array_join(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.decode(F.substr(raw, x.a + 1, x.b - x.a), F.lit("UTF-8"))), "")
+    kept = F.array_join(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.decode(F.substr(raw, x.a + 1, x.b - x.a), "UTF-8")), "")
     text = F.when(F.size("hits.spans") > 0, kept).otherwise(F.col("text"))
     return hits.filter(F.col("hits.n_full") == 0).select([text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
