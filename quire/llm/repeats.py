@@ -268,20 +268,21 @@ def repeated_bytes(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
     texts = spark.table(name)
     release(spark)
     found = scratch.put(_intervals(texts, width), "intervals")
-    often = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    # Counts are written before they are joined: a join of two plain exchanges is one whose hot keys Spark splits.
+    often = scratch.put(found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "often")
     again = scratch.put(found.join(often.hint("merge"), "key"), "again")
-    scratch.drop("intervals")
+    scratch.drop("intervals", "often")
     release(spark)
     # One row stands for all places of an interval with equal bytes.
     kinds = again.groupBy("key", "ext").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "anchor", "lo", "hi")).alias("r"))
     kinds = scratch.put(kinds.withColumn("span", F.monotonically_increasing_id()), "kinds")
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    mixed = scratch.put(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "mixed")
     spans = kinds.join(mixed.hint("merge"), "key").select("r.*", "span").groupBy("a", "b").agg(F.collect_list(F.struct("span", "anchor", "lo", "hi")).alias("spans"))
     pieces = scratch.put(_cells(texts.join(spans.hint("merge"), ["a", "b"]), width), "cells")
     release(spark)
     strings = pieces.groupBy("core", "left", "right").agg(F.count(F.lit(1)).alias("n"))
     strings = scratch.put(strings, "strings")
-    size = strings.groupBy("core").agg(F.count(F.lit(1)).alias("c"))
+    size = scratch.put(strings.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "sizes")
     several = strings.join(size.filter(F.col("c").between(2, CROWD)).select("core").hint("merge"), "core").sortWithinPartitions("core")
     crowded = strings.join(size.filter(F.col("c") > CROWD).select("core").hint("merge"), "core")
     masks = scratch.put(_sort(several).union(_count_windows(crowded)), "masks")
@@ -289,11 +290,11 @@ def repeated_bytes(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
     # A string that stands in several intervals recurs at all its positions, whatever the sort says of it.
     every = F.expr(f"(shiftleft(1, length(left) + 1) - 1) & ~(shiftleft(1, greatest(0, {CELL - 1} - length(right))) - 1)")
     sure = strings.filter("n > 1").select("core", "left", "right", every.alias("mask"))
-    best = masks.union(sure).groupBy("core", "left", "right").agg(F.max("mask").alias("mask"))
+    best = scratch.put(masks.union(sure).groupBy("core", "left", "right").agg(F.max("mask").alias("mask")), "best")
     marked = pieces.join(best.hint("merge"), ["core", "left", "right"]).groupBy("span").agg(F.collect_list(F.struct("cell", "mask")).alias("cells"))
     whole = F.col("n") > 1
     flags = scratch.put(kinds.join(marked.hint("merge"), "span", "left").filter(whole | F.col("cells").isNotNull()).select("key", "ext", F.when(~whole, F.col("cells")).alias("cells")), "flags")
-    scratch.drop("cells", "strings", "masks")
+    scratch.drop("cells", "strings", "masks", "mixed", "sizes", "best")
     release(spark)
     marks = again.join(flags.hint("merge"), ["key", "ext"]).groupBy("a", "b").agg(F.collect_list(F.struct("anchor", "lo", "hi", "cells")).alias("marks"))
     cut = texts.join(marks.hint("merge"), ["a", "b"], "left").filter("marks is not null or copies > 1").select("a", "b", "copies", "packed", "marks")
