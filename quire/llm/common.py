@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of texts small: rows are a few KB, and two workers share an executor's memory."""
+    if int(spark.conf.get(BATCH_KEY)) > BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -41,6 +51,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
+from quire.llm.common import small_batches
 
 RESULT = "n_words long, n_hit long, n_full long, item_ids array<string>, spans array<struct<start:int,end:int>>"
 #: Bounds of what is broadcast; larger benchmarks are scanned in slices of this size.
@@ -113,6 +114,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, text_col:
     merged into those before, so no broadcast outgrows the bound.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     names = docs.columns
     if result in names:
         raise ValueError(f"docs already has a column {result}")

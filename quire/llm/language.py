@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
+from quire.llm.common import small_batches
 from quire.llm.toxicity import held_out
 
 PLACES = 1 << 16
@@ -128,6 +129,7 @@ def infer(likelihood: np.ndarray, at: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: str = "text") -> DataFrame:
     """``docs`` with struct ``language``: lang, score, and the proportions of the selected languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("shares", pa.map_(pa.string(), pa.float64()))])
     if "language" in docs.columns:
         raise ValueError("docs already has a column language")

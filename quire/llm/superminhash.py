@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int
     parts = components(edges, scratch, "parts")
     of_class = classes.select("set_key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     joined = narrow.join(of_class, "set_key", "left")
-    return joined.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return joined.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def _has_repeats(known: DataFrame) -> bool:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
+from quire.llm.common import small_batches
 
 PLACES = 1 << 20
 MAX_ROWS = 20_000
@@ -142,6 +143,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text_
     if result in docs.columns:
         raise ValueError(f"docs already has a column {result}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         places, weights, bias = shared.value
