@@ -189,3 +189,26 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = 8) -> DataFrame:
     kept = F.array_join(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.decode(F.substr(raw, x.a + 1, x.b - x.a), "UTF-8")), "")
     text = F.when(F.size("hits.spans") > 0, kept).otherwise(F.col("text"))
     return hits.filter(F.col("hits.n_full") == 0).select([text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+#: The contract in plain SQL, for tables whose doc_id is unique.
+ORACLE_SQL = r"""
+WITH bench AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(8, len(w)) AS n, array_to_string(w[i : i + least(8, len(w)) - 1], ' ') AS s
+  FROM bench, unnest(range(1, greatest(1, len(w) - 7) + 1)) t(i) WHERE len(w) > 0),
+doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+occ AS (
+  SELECT x.doc_id, x.i, x.n, win.item_id
+  FROM (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM doc, (SELECT DISTINCT n FROM win) l, unnest(range(1, len(w) - n + 2)) t(i)) x
+  JOIN win ON win.n = x.n AND win.s = x.s),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + n)) u(p) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM occ WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM doc LEFT JOIN hit ON hit.doc_id = doc.doc_id LEFT JOIN items ON items.doc_id = doc.doc_id
+"""

@@ -56,5 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
+    "op5_collision_near_dedup": collision.ORACLE_SQL,
     "op6_perspective_rotation": perspectives.ORACLE_SQL,
+    "op7_superminhash_near_dedup": superminhash.ORACLE_SQL,
+    "op8_benchmark_decontamination": decontaminate.ORACLE_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -306,3 +306,20 @@ def deduplicate(docs: DataFrame, *, size: int = 5, id_col: str = "doc_id", text_
     found = near_duplicates(docs, size=size, id_col=id_col, text_col=text_col)
     gone = found.filter("id != component_id").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+
+
+#: The contract in plain SQL, for tables whose doc_id is unique and not null.
+ORACLE_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g
+  FROM doc, unnest(range(1, greatest(1, len(w) - 3) + 1)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT doc.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id, doc.doc_id = r.component_id AS kept
+FROM doc LEFT JOIN n ON n.doc_id = doc.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = doc.doc_id
+"""

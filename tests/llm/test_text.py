@@ -243,3 +243,19 @@ def test_every_query_is_registered():
     assert set(registry.QUERIES) <= set(names) and "pipeline" in names
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_queries_match_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"create view {os.path.basename(f)[:-8]} as from read_parquet('{f}')")
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLES[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns and len(want) > 0
+    assert Counter(map(tuple, got[columns].astype(object).values)) == Counter(map(tuple, want[columns].astype(object).values))
