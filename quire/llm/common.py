@@ -6,9 +6,12 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -81,6 +84,43 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if seen <= max_rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def own_columns(df: DataFrame) -> list:
+    """The columns of ``df`` by quoted name, so that dots and spaces in names do not matter."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def without(df: DataFrame, name: str) -> DataFrame:
+    """``df`` without a column of that name in any case: results replace such a column."""
+    return df.drop(*[c for c in df.columns if c.lower() == name.lower()])
+
+
+def with_text_result(df: DataFrame, text_col: str, name: str, kind: str, judge: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``df`` with column ``name`` of SQL type ``kind``, which ``judge`` makes of the texts, batch by batch.
+
+    Columns go through Arrow under names of their own, so theirs may be anything; a
+    column called ``name`` is replaced.
+    """
+    df = without(df, name)
+    names = df.columns
+    at = [c.lower() for c in names].index(text_col.lower())
+    plain = df.toDF(*[f"c{k}" for k in range(len(names))])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, judge(batch.column(at).cast(pa.string()))], [*batch.schema.names, "result"])
+
+    out = plain.mapInArrow(run, StructType([*plain.schema.fields]).add("result", _parse_datatype_string(kind)))
+    return out.toDF(*names, name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ every hash hit is verified on the words themselves.
 Defined results: a null or empty text has no words and no hits; a null item text
 has no windows; items without an id mark words as hit but are not listed;
 repeated rows are scored one by one; a repeated item_id is one item; extra columns
-of either input do not matter. Empty tables give empty results or no hits.
+of either input do not matter, and one named as the result is replaced. Empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
-from quire.llm.common import small_batches
+from quire.llm.common import free_name, own_columns, small_batches, with_text_result, without
 
-RESULT = "n_words long, n_hit long, n_full long, item_ids array<string>, spans array<struct<start:int,end:int>>"
+RESULT = "struct<n_words:long,n_hit:long,n_full:long,item_ids:array<string>,spans:array<struct<start:int,end:int>>>"
 #: Bounds of what is broadcast; larger benchmarks are scanned in slices of this size.
 MAX_SLICE_ITEMS = 50_000
 MAX_SLICE_BYTES = 64 << 20
@@ -115,36 +115,33 @@ def annotate(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, text_col:
     """
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
+    docs = without(docs, result)
     names = docs.columns
-    if result in names:
-        raise ValueError(f"docs already has a column {result}")
+    spans_col = free_name(docs, "_spans")
     out = docs
     for k, items in enumerate(slices(benchmark, item_col, item_text_col)):
         index = spark.sparkContext.broadcast(WindowIndex(items, size))
-        out = _annotate_once(out, index, text_col, result if k == 0 else f"{result}_{k}")
+        out = _annotate_once(out, index, text_col, result if k == 0 else free_name(out, f"{result}_{k}"))
     extra = [c for c in out.columns if c not in {*names, result}]
     if extra:
         every = [result, *extra]
         merged = _merge_spans(F.flatten(F.array(*[F.col(c).spans for c in every])))
         ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(c).item_ids for c in every]))))
-        recount = _count_words(F.col(text_col), F.col("_spans"))
+        recount = _count_words(F.col(text_col), F.col(spans_col))
         full = reduce(lambda a, b: a + b, [F.col(c).n_full for c in every])
-        out = out.withColumn("_spans", merged).withColumn(result, F.struct(F.col(result).n_words.alias("n_words"), recount.alias("n_hit"), full.alias("n_full"), ids.alias("item_ids"), F.col("_spans").alias("spans"))).select(*names, result)
+        out = out.withColumn(spans_col, merged).withColumn(result, F.struct(F.col(result).n_words.alias("n_words"), recount.alias("n_hit"), full.alias("n_full"), ids.alias("item_ids"), F.col(spans_col).alias("spans"))).select(*own_columns(docs), result)
     return out
 
 
 def _annotate_once(docs: DataFrame, index, text_col: str, result: str) -> DataFrame:
-    schema = f"struct<{', '.join(x.replace(' ', ':', 1) for x in RESULT.split(', '))}>"
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_full", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    names = ("n_words", "n_hit", "n_full", "item_ids", "spans")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
-    def run(batches):
-        for batch in batches:
-            rows = [dict(zip(("n_words", "n_hit", "n_full", "item_ids", "spans"), r, strict=True)) for p in tk.pieces(batch.column(text_col)) for r in _scan(p, index.value)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, result])
+    def judge(texts: pa.Array) -> pa.Array:
+        rows = [dict(zip(names, r, strict=True)) for p in tk.pieces(texts) for r in _scan(p, index.value)]
+        return pa.array(rows, pa.struct(list(zip(names, kinds, strict=True))))
 
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(result, _parse_datatype_string(schema)))
+    return with_text_result(docs, text_col, result, RESULT, judge)
 
 
 def _merge_spans(spans):
@@ -182,13 +179,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = 8) -> DataFrame:
     A document that holds a window of ``size`` words goes whole; one that only holds
     short items, which ordinary text may hold by chance, loses just those words.
     """
-    hits = annotate(docs, benchmark, size=size)
+    name = free_name(docs, "hits")
+    hits = annotate(docs, benchmark, size=size, result=name)
+    spans = F.col(name).spans
     raw = F.encode(F.col("text"), "UTF-8")
-    ends = F.concat(F.array(F.lit(0)), F.transform("hits.spans", lambda x: x.end))
-    starts = F.concat(F.transform("hits.spans", lambda x: x.start), F.array(F.octet_length("text")))
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x.end))
+    starts = F.concat(F.transform(spans, lambda x: x.start), F.array(F.octet_length("text")))
     kept = F.array_join(F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.decode(F.substr(raw, x.a + 1, x.b - x.a), "UTF-8")), "")
-    text = F.when(F.size("hits.spans") > 0, kept).otherwise(F.col("text"))
-    return hits.filter(F.col("hits.n_full") == 0).select([text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.size(spans) > 0, kept).otherwise(F.col("text"))
+    return hits.filter(F.col(name).n_full == 0).select([text.alias("text") if c == "text" else own for c, own in zip(docs.columns, own_columns(docs), strict=True)])
 
 
 #: The contract in plain SQL, for tables whose doc_id is unique.

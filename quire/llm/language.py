@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
-from quire.llm.common import small_batches
+from quire.llm.common import small_batches, with_text_result
 from quire.llm.toxicity import held_out
 
 PLACES = 1 << 16
@@ -131,32 +131,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *, text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("shares", pa.map_(pa.string(), pa.float64()))])
-    if "language" in docs.columns:
-        raise ValueError("docs already has a column language")
 
-    def run(batches):
+    def judge(texts: pa.Array) -> pa.Array:
         langs, table = shared.value
-        for batch in batches:
-            out = []
-            for piece in tk.pieces(batch.column(text_col).cast(pa.string()), 1 << 17):
-                place, w, word = trigrams(piece)
-                own = [{"lang": "und", "score": 0.0, "shares": []} for _ in range(len(piece))]
-                rows = np.flatnonzero(w.counts > 0)
-                if langs and len(rows):
-                    firsts = np.searchsorted(word, np.arange(len(w.hash)))
-                    value = np.add.reduceat(table[place], firsts, axis=0)
-                    at = np.append(w.at[:-1][rows], len(w.hash))
-                    share = infer(value, at)
-                    for r, p in zip(rows.tolist(), share, strict=True):
-                        if _has_letter(piece.raw[piece.at[r] : piece.at[r + 1]]):
-                            best = int(p.argmax())
-                            own[r] = {"lang": langs[best], "score": float(min(1.0, p[best])), "shares": [(langs[k], float(p[k])) for k in np.flatnonzero(p > 0)]}
-                out += own
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, "language"])
-
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("language", _parse_datatype_string("struct<lang:string,score:double,shares:map<string,double>>")))
+        out = []
+        for piece in tk.pieces(texts, 1 << 17):
+            place, w, word = trigrams(piece)
+            own = [{"lang": "und", "score": 0.0, "shares": []} for _ in range(len(piece))]
+            rows = np.flatnonzero(w.counts > 0)
+            if langs and len(rows):
+                firsts = np.searchsorted(word, np.arange(len(w.hash)))
+                value = np.add.reduceat(table[place], firsts, axis=0)
+                at = np.append(w.at[:-1][rows], len(w.hash))
+                for r, p in zip(rows.tolist(), infer(value, at), strict=True):
+                    if _has_letter(piece.raw[piece.at[r] : piece.at[r + 1]]):
+                        best = int(p.argmax())
+                        own[r] = {"lang": langs[best], "score": float(min(1.0, p[best])), "shares": [(langs[k], float(p[k])) for k in np.flatnonzero(p > 0)]}
+            out += own
+        return pa.array(out, kind)
+
+    return with_text_result(docs, text_col, "language", "struct<lang:string,score:double,shares:map<string,double>>", judge)
 
 
 def _has_letter(raw: np.ndarray) -> bool:

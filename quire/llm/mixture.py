@@ -14,7 +14,7 @@ No source is gathered in one task: words are first summed by source and by one o
 Defined results: a null or empty text has size 0; a null source is a source of its
 own, last in order; sources without words have target 0. Rows that agree in source,
 id and rank are taken or left together. Empty input gives an empty result. A null id
-hashes like any other value. Result columns never clash: they are a struct.
+hashes like any other value. Results are one struct; a column of its name is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch, broadcast_if_small
+from quire.llm.common import Scratch, broadcast_if_small, free_name, own_columns, without
 
 BANDS = 1 << 16
 #: Sources up to this many are broadcast (about 100 bytes each); beyond, the join shuffles.
@@ -71,8 +71,8 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     ``most`` bounds a source's target and so the copies of a document, to its whole
     number rounded up; ``weight_col`` (positive) scales a document's inclusion odds.
     """
-    if result in docs.columns:
-        raise ValueError(f"docs already has a column {result}")
+    docs = without(docs, result)
+    plan_col, doc_col = free_name(docs, "_p"), free_name(docs, "_d")
     scratch = Scratch(docs.sparkSession, "mix")
     size = word_count(F.col(text_col))
     u = _unit(F.lit(seed), F.col(id_col).cast("string"))
@@ -103,16 +103,16 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     plan = scratch.put(
         goal.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
         .select("g.source", "g.source_size", "g.target", "g.whole", "g.part", F.col("e.band").alias("band"), F.col("c.cut").alias("cut")), "plan")
-    p = broadcast_if_small(plan, MAX_BROADCAST_SOURCES).select(F.struct("*").alias("_p"))
-    base = docs.select("*", F.struct(size.alias("size"), u.alias("u"), w.alias("w"), F.col(id_col).cast("string").alias("id")).alias("_d"))
-    joined = base.join(p, F.col(source_col).cast("string").eqNullSafe(F.col("_p.source")))
-    q = F.col("_d.u") / (1 - F.col("_d.u"))
-    v = F.when(F.col("_p.part") > 0, q / (q + F.col("_p.part") / (1 - F.col("_p.part")) * F.col("_d.w"))).otherwise(1.0)
+    p = broadcast_if_small(plan, MAX_BROADCAST_SOURCES).select(F.struct("*").alias(plan_col))
+    base = docs.select(*own_columns(docs), F.struct(size.alias("size"), u.alias("u"), w.alias("w"), F.col(id_col).cast("string").alias("id")).alias(doc_col))
+    joined = base.join(p, F.col(source_col).cast("string").eqNullSafe(F.col(plan_col).source))
+    q = F.col(doc_col).u / (1 - F.col(doc_col).u)
+    v = F.when(F.col(plan_col).part > 0, q / (q + F.col(plan_col).part / (1 - F.col(plan_col).part) * F.col(doc_col).w)).otherwise(1.0)
     band = F.floor(v * BANDS).cast("int")
-    here = F.struct(v.alias("v"), F.col("_d.id").alias("id"))
-    more = (F.col("_p.part") > 0) & F.coalesce((band < F.col("_p.band")) | ((band == F.col("_p.band")) & F.col("_p.cut").isNotNull() & (here <= F.col("_p.cut"))), F.col("_p.band").isNull())
-    copies = F.col("_p.whole") + more.cast("int")
-    return joined.select(*docs.columns, F.struct(F.col("_d.size").alias("size"), F.col("_p.source_size").alias("source_size"), F.col("_p.target").alias("target"), copies.alias("copies")).alias(result))
+    here = F.struct(v.alias("v"), F.col(doc_col).id.alias("id"))
+    more = (F.col(plan_col).part > 0) & F.coalesce((band < F.col(plan_col).band) | ((band == F.col(plan_col).band) & F.col(plan_col).cut.isNotNull() & (here <= F.col(plan_col).cut)), F.col(plan_col).band.isNull())
+    copies = F.col(plan_col).whole + more.cast("int")
+    return joined.select(*own_columns(docs), F.struct(F.col(doc_col).size.alias("size"), F.col(plan_col).source_size.alias("source_size"), F.col(plan_col).target.alias("target"), copies.alias("copies")).alias(result))
 
 
 def digest(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -123,5 +123,7 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
 
 def materialise_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in its own columns, each row as often as the mix takes it."""
-    mixed = mix(docs, **options)
-    return mixed.filter("mix.copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("mix.copies"))).alias("_copy")).select(*docs.columns)
+    name, copy = free_name(docs, "mix"), free_name(docs, "_copy")
+    mixed = mix(docs, **options, result=name)
+    copies = F.col(name).copies
+    return mixed.filter(copies > 0).select("*", F.explode(F.sequence(F.lit(1), copies)).alias(copy)).select(*own_columns(docs))

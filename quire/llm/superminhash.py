@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, free_name
 from quire.llm.graph import components
 
 REGISTERS = 128
@@ -304,8 +304,9 @@ def digest(docs: DataFrame, *, size: int = 4, id_col: str = "doc_id") -> DataFra
 def deduplicate(docs: DataFrame, *, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, in its own columns, without all but one document of each component."""
     found = near_duplicates(docs, size=size, id_col=id_col, text_col=text_col)
-    gone = found.filter("id != component_id").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    name = free_name(docs, "_gone")
+    gone = found.filter("id != component_id").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
 
 
 #: The contract in plain SQL, for tables whose doc_id is unique and not null.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
-from quire.llm.common import small_batches
+from quire.llm.common import free_name, small_batches, with_text_result
 
 PLACES = 1 << 20
 MAX_ROWS = 20_000
@@ -140,29 +140,23 @@ def train(docs: DataFrame, labels: DataFrame, *, how: Ftrl = Ftrl(), id_col: str
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text_col: str = "text", result: str = "toxic_score") -> DataFrame:
     """``docs`` with the probability of label 1 as column ``result``."""
-    if result in docs.columns:
-        raise ValueError(f"docs already has a column {result}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
 
-    def run(batches):
+    def judge(texts: pa.Array) -> pa.Array:
         places, weights, bias = shared.value
         dense = np.zeros(PLACES)
         dense[places] = weights
-        used = dense != 0
-        for batch in batches:
-            out = []
-            for piece in tk.pieces(batch.column(text_col).cast(pa.string())):
-                place, row = features(piece)
-                hit = used[place]
-                place, row = distinct(place[hit], row[hit])
-                total = np.bincount(row, dense[place], len(piece)) + bias
-                out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, result])
-
-    from pyspark.sql.types import DoubleType, StructType
+        used, out = dense != 0, []
+        for piece in tk.pieces(texts):
+            place, row = features(piece)
+            hit = used[place]
+            place, row = distinct(place[hit], row[hit])
+            total = np.bincount(row, dense[place], len(piece)) + bias
+            out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(result, DoubleType()))
+    return with_text_result(docs, text_col, result, "double", judge)
 
 
 def held_out(id_col: Column, parts: int = 5, part: int = 0) -> Column:
@@ -179,5 +173,6 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, *, limit: float = 0.5) -> DataFrame:
     """``docs`` in its own columns without those scored at ``limit`` or above."""
-    scored = score(docs, train(docs, labels), result="_toxic_score")
-    return scored.filter(F.col("_toxic_score") < limit).drop("_toxic_score")
+    name = free_name(docs, "_toxic_score")
+    scored = score(docs, train(docs, labels), result=name)
+    return scored.filter(F.col(name) < limit).drop(name)

@@ -259,3 +259,16 @@ def test_queries_match_sql(spark, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns and len(want) > 0
     assert Counter(map(tuple, got[columns].astype(object).values)) == Counter(map(tuple, want[columns].astype(object).values))
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["hits", "mix", "_copy", "_p", "_D", "_gone", "_toxic_score", "_spans", "Hits_1", "language", "a.b", "group", "component", "toxic", "key"]
+    frame = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    frame = frame.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)]).cache()
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, frame, SF)
+        assert out.columns == frame.columns, name
+        row = out.first()
+        assert [row[n] for n in names] == list(range(len(names))), name
+    assert corpus_pipeline.write_tokens(spark, frame, SF).count() > 0
+    assert language.predict(frame, language.train(frame)).filter("language.lang is null").count() == 0
