@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from quire.formats import caj, kdh, package, paged, pdf
+from quire.formats import caj, jpeg, kdh, package, paged, pdf, writer
 from quire.formats.errors import FormatError, Limits
 from quire.operators.relational import dangling, first_match
 
@@ -146,15 +146,36 @@ def _pdf_bytes(data: bytes, limits: Limits) -> bytes:
     return data[max(0, data[:SEARCHED].find(b"%PDF-")) :]
 
 
+def jpeg_info(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Size and colour of each JPEG image of HN and C8 documents, with what is wrong with it."""
+
+    def kernel(data):
+        box = paged.Container(data, limits)
+        for k in range(1, box.header.page_count + 1):
+            for i in box.images(box.page(k)):
+                if i["record_type"] in (1, 2):
+                    body = data[i["payload_offset"] : i["payload_offset"] + i["payload_length"]]
+                    problem = jpeg.problem(body)
+                    info = {} if problem else jpeg.read(body)
+                    yield {"page": k, "image": i["image_number"], "width": info.get("width"), "height": info.get("height"), "color": info.get("color"), "problem": problem}
+
+    return each_document(_of(files, "HN", "C8"), kernel, "page long, image long, width long, height long, color string, problem string")
+
+
 def to_pdf(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``pdf`` of PDF files (byte for byte, from their header on) and of KDH wrappers, once their structure is read."""
+    """``pdf`` of PDF files (byte for byte, from their header on), of KDH wrappers, and of HN and C8
+    documents whose pages are JPEG images, once their structure is read."""
 
     def kernel(data):
+        if data[:2] == b"HN" or data[:4] == b"\xc8\0\0\0":
+            body, pages = writer.compose(data, limits)
+            yield {"pdf": body, "page_count": pages, "output_bytes": len(body)}
+            return
         body = _pdf_bytes(data, limits)
         index = pdf.Pdf(body, limits)
         yield {"pdf": body, "page_count": len(index.pages), "output_bytes": len(body)}
 
-    return each_document(_of(files, "PDF", "KDH"), kernel, "pdf binary, page_count long, output_bytes long")
+    return each_document(_of(files, "PDF", "KDH", "HN", "C8"), kernel, "pdf binary, page_count long, output_bytes long")
 
 
 def pdf_objects(files: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -81,3 +81,18 @@ def kdh(body, version=b"\0\0\x02\0"):
     head[0x28:0x2C] = version
     key = b"FZHMEI"
     return bytes(head) + bytes(b ^ key[k % 6] for k, b in enumerate(body))
+
+
+def jpeg(width=16, height=8, gray=True, extra=b"", tail=b""):
+    """A file with the structure of a baseline JPEG; its scan is not meant to be decoded."""
+    n = 1 if gray else 3
+    segment = lambda kind, body: bytes([255, kind]) + struct.pack(">H", len(body) + 2) + body
+    out = b"\xff\xd8" + segment(0xE0, b"JFIF\0" + bytes(9)) + segment(0xDB, b"\0" + bytes(64)) + extra
+    out += segment(0xC0, struct.pack(">BHHB", 8, height, width, n) + b"".join(bytes([k + 1, 0x11, 0]) for k in range(n)))
+    out += segment(0xC4, b"\0" + bytes([1]) + bytes(15) + b"\0") + segment(0xC4, b"\x10" + bytes([1]) + bytes(15) + b"\0")
+    return out + segment(0xDA, bytes([n]) + b"".join(bytes([k + 1, 0]) for k in range(n)) + b"\0\x3f\0") + b"\x12\xff\0\x34" + b"\xff\xd9" + tail
+
+
+def image_text(*places):
+    """Compressed page text that ends with an image record for each place (x, y, width, height)."""
+    return compressed(b"glyphs" + b"".join(b"\x0a\x80\0\xd3" + struct.pack("<HHHH", *p) + bytes(16) for p in places))

@@ -4,7 +4,7 @@ import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
 
-from quire.formats import caj, kdh, package, paged, pdf, text
+from quire.formats import caj, jpeg, kdh, package, paged, pdf, text, writer
 from quire.formats.errors import FormatError, Limits
 from quire.functions import binary
 from quire.operators import documents
@@ -133,7 +133,7 @@ def test_tables(spark, tmp_path):
     assert tuple(documents.image_counts(images).first())[1:] == (0, 1, 1)
     objects, refs = documents.pdf_objects(seen), documents.pdf_references(seen)
     assert objects.filter("kind = 'plain'").count() == 7 and documents.dangling_references(objects, refs).count() == 0
-    made = documents.to_pdf(seen)
+    made = documents.to_pdf(seen.filter("path rlike '(pdf|kdh)$'"))
     assert sorted(r.page_count for r in made.collect()) == [1, 2]
     outlines = made.select("path", F.lit(0).alias("ordinal"), F.lit(0).alias("depth"), F.lit("x").alias("title"), F.lit(0).alias("page_index"), F.lit(None).alias("error"))
     done = documents.add_bookmarks(made, outlines)
@@ -155,3 +155,24 @@ def test_stream_has_the_rows_of_the_batch(spark, tmp_path):
     for _ in range(2):
         ingest(spark, str(tmp_path / "in"), documents.bookmarks, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == documents.bookmarks(source.read(spark, str(tmp_path / "in"))).count() == 6
+
+
+def test_jpeg():
+    assert jpeg.read(fx.jpeg(16, 8)) == {"width": 16, "height": 8, "color": "gray"} and jpeg.read(fx.jpeg(gray=False))["color"] == "ycc"
+    for bad, reason in ((fx.jpeg(tail=b"x"), "bytes after EOI"), (fx.jpeg(extra=b"\xff\xee\0\2"), "marker FFEE"), (fx.jpeg().replace(b"\xff\xc0", b"\xff\xc2"), "frame type"), (fx.jpeg()[:-2], "scan has no end"), (fx.jpeg(0, 8), "no extent"), (fx.jpeg().replace(b"\x12\xff\0", b"\x12\xff\xd0"), "restart marker"), (b"x", "SOI")):
+        assert reason in jpeg.problem(bad)
+
+
+def test_image_pages_to_pdf(spark):
+    photo = fx.jpeg(gray=False)
+    data = fx.c8([fx.image_text((0, 0, 742, 1484), (10, 20, 30, 40)), b""], [(1, photo), (2, fx.jpeg())])
+    out, pages = writer.compose(data)
+    index = pdf.Pdf(out)
+    assert pages == len(index.pages) == 2 and photo in out and out.count(b"/DCTDecode") == 2
+    assert index.pages[0]["media_box"] == [0, 0, 72, 144]
+    assert b"q 72 0 0 144 0 0 cm /I0 Do Q" in out and b"q 2.911051 0 0 -3.881402 0.97035 142.059299 cm /I1 Do Q" in out
+    assert "image codec" in fails(writer.compose, fx.c8([fx.image_text((0, 0, 1, 1))], [(3, b"x")]))
+    assert "image coordinates of none text" in fails(writer.compose, fx.c8([b""], [(2, photo)]))
+    made = documents.to_pdf(files(spark, data, fx.hn_a([("t", b"2", 1)]), fx.c8([fx.image_text((0, 0, 1, 1))], [(0, b"x")]))).orderBy("path").collect()
+    assert [r.page_count for r in made] == [2, 2, None] and pdf.Pdf(bytes(made[1].pdf)).has_outline and made[2].error.kind == "UnsupportedFormat"
+    assert [(r.width, r.color, r.problem) for r in documents.jpeg_info(files(spark, data)).collect()] == [(16, "ycc", None), (16, "gray", None)]
