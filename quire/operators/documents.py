@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from quire.formats import caj, jpeg, kdh, package, paged, pdf, writer
+from quire.formats import bilevel, caj, jpeg, kdh, package, paged, pdf, writer
 from quire.formats.errors import FormatError, Limits
 from quire.operators.relational import dangling, first_match
 
@@ -162,6 +162,40 @@ def jpeg_info(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return each_document(_of(files, "HN", "C8"), kernel, "page long, image long, width long, height long, color string, problem string")
 
 
+def bilevel_images(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Size of each type-0 and type-3 image, the segment profile of type 3, and what is wrong with it."""
+
+    def kernel(data):
+        box = paged.Container(data, limits)
+        for k in range(1, box.header.page_count + 1):
+            for i in box.images(box.page(k)):
+                if i["record_type"] in (0, 3):
+                    body = data[i["payload_offset"] : i["payload_offset"] + i["payload_length"]]
+                    row = {"page": k, "image": i["image_number"], "type": i["record_type"]}
+                    try:
+                        row |= bilevel.wrapper(body, limits)
+                        row["profile"] = bilevel.profile(body) if i["record_type"] == 3 else None
+                    except FormatError as error:
+                        row["problem"] = str(error)
+                    yield row
+
+    return each_document(_of(files, "HN", "C8"), kernel, "page long, image long, type long, width long, height long, stride long, visible_bytes long, profile string, problem string")
+
+
+def jbig2_segments(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The JBIG2 segments of type-3 images; offsets count from the payload's start."""
+
+    def kernel(data):
+        box = paged.Container(data, limits)
+        for k in range(1, box.header.page_count + 1):
+            for i in box.images(box.page(k)):
+                if i["record_type"] == 3:
+                    body = data[i["payload_offset"] : i["payload_offset"] + i["payload_length"]]
+                    yield from ({"page": k, "image": i["image_number"]} | s for s in bilevel.segments(body))
+
+    return each_document(_of(files, "HN", "C8"), kernel, "page long, image long, number long, type long, name string, page_association long, referred_to array<long>, data_offset long, data_length long")
+
+
 def to_pdf(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``pdf`` of PDF files (byte for byte, from their header on), of KDH wrappers, and of HN and C8
     documents whose pages are JPEG images, once their structure is read."""

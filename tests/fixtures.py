@@ -96,3 +96,16 @@ def jpeg(width=16, height=8, gray=True, extra=b"", tail=b""):
 def image_text(*places):
     """Compressed page text that ends with an image record for each place (x, y, width, height)."""
     return compressed(b"glyphs" + b"".join(b"\x0a\x80\0\xd3" + struct.pack("<HHHH", *p) + bytes(16) for p in places))
+
+
+def bitmap(width=33, height=4, palette=b"\xff\xff\xff\0\0\0\0\0"):
+    return struct.pack("<IiiHHIIiiII", 40, width, height, 1, 1, 0, 0, 0, 0, 2, 0) + palette
+
+
+def segment(number, kind, referred=(), data=b"", page=1):
+    return struct.pack(">IBB", number, kind, len(referred) << 5) + bytes(referred) + bytes([page]) + struct.pack(">I", len(data)) + data
+
+
+def symbols_image(width=33, height=4):
+    info = struct.pack(">II", width, height) + bytes(11)
+    return bitmap() + segment(0, 48, data=info) + segment(1, 0) + segment(2, 0, [1], b"ab") + segment(3, 6, [2], b"c") + segment(4, 38)

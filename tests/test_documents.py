@@ -4,7 +4,7 @@ import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
 
-from quire.formats import caj, jpeg, kdh, package, paged, pdf, text, writer
+from quire.formats import bilevel, caj, jpeg, kdh, package, paged, pdf, text, writer
 from quire.formats.errors import FormatError, Limits
 from quire.functions import binary
 from quire.operators import documents
@@ -176,3 +176,19 @@ def test_image_pages_to_pdf(spark):
     made = documents.to_pdf(files(spark, data, fx.hn_a([("t", b"2", 1)]), fx.c8([fx.image_text((0, 0, 1, 1))], [(0, b"x")]))).orderBy("path").collect()
     assert [r.page_count for r in made] == [2, 2, None] and pdf.Pdf(bytes(made[1].pdf)).has_outline and made[2].error.kind == "UnsupportedFormat"
     assert [(r.width, r.color, r.problem) for r in documents.jpeg_info(files(spark, data)).collect()] == [(16, "ycc", None), (16, "gray", None)]
+
+
+def test_bilevel_images(spark):
+    assert bilevel.wrapper(fx.bitmap()) == {"width": 33, "height": 4, "stride": 8, "visible_bytes": 5}
+    for bad, reason in ((fx.bitmap(0), "width must be positive"), (fx.bitmap(palette=bytes(8)), "palette"), (fx.bitmap()[:40], "truncated image at byte 0"), (fx.bitmap(10**5, 10**5), "pixels limit exceeded")):
+        assert reason in fails(bilevel.wrapper, bad)
+    assert bilevel.profile(fx.symbols_image()) == "symbols"
+    assert bilevel.profile(fx.bitmap() + fx.segment(0, 48, data=struct.pack(">II", 33, 4) + bytes(11)) + fx.segment(1, 38)) == "generic"
+    assert "sizes differ" in fails(bilevel.profile, fx.symbols_image(34)) and "segment profile" in fails(bilevel.profile, fx.bitmap())
+    read = lambda data: list(bilevel.segments(data, 0))
+    assert "do not rise" in fails(read, fx.segment(1, 0) + fx.segment(1, 0)) and "not before it" in fails(read, fx.segment(0, 0, [3]))
+    assert "extends beyond source" in fails(read, fx.segment(0, 0, data=b"abc")[:-1])
+    data = files(spark, fx.c8([b""], [(0, fx.bitmap()), (3, fx.symbols_image()), (3, b"x" * 50)]))
+    got = documents.bilevel_images(data).orderBy("image").collect()
+    assert [(r.type, r.width, r.profile, r.problem is None) for r in got] == [(0, 33, None, True), (3, 33, "symbols", True), (3, None, None, False)]
+    assert [r.referred_to for r in documents.jbig2_segments(data).filter("number is not null and image = 2").orderBy("number").collect()] == [[], [], [1], [2], []]
