@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from quire.formats import bilevel, caj, jpeg, kdh, package, paged, pdf, writer
+from quire.formats import bilevel, caj, fragment, jpeg, kdh, package, paged, pdf, writer
 from quire.formats.errors import FormatError, Limits
 from quire.operators.relational import dangling, first_match
 
@@ -196,11 +196,19 @@ def jbig2_segments(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return each_document(_of(files, "HN", "C8"), kernel, "page long, image long, number long, type long, name string, page_association long, referred_to array<long>, data_offset long, data_length long")
 
 
-def to_pdf(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``pdf`` of PDF files (byte for byte, from their header on), of KDH wrappers, and of HN and C8
-    documents whose pages are JPEG images, once their structure is read."""
+def to_pdf(files: DataFrame, limits: Limits = Limits(), *, include_bookmarks: bool = True, allow_damaged: bool = False) -> DataFrame:
+    """``pdf`` of PDF files (byte for byte, from their header on), of KDH wrappers, of CAJ documents
+    rebuilt from their objects, and of HN and C8 documents whose pages are images.
+
+    ``omitted_pages`` of CAJ documents are blank, since what they depend on is damaged; without
+    ``allow_damaged`` such a document is an error.
+    """
 
     def kernel(data):
+        if data[:3] == b"CAJ":
+            row = fragment.rebuild(data, limits, include_bookmarks=include_bookmarks, allow_damaged=allow_damaged)
+            yield row | {"output_bytes": len(row["pdf"])}
+            return
         if data[:2] == b"HN" or data[:4] == b"\xc8\0\0\0":
             body, pages = writer.compose(data, limits)
             yield {"pdf": body, "page_count": pages, "output_bytes": len(body)}
@@ -209,7 +217,35 @@ def to_pdf(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
         index = pdf.Pdf(body, limits)
         yield {"pdf": body, "page_count": len(index.pages), "output_bytes": len(body)}
 
-    return each_document(_of(files, "PDF", "KDH", "HN", "C8"), kernel, "pdf binary, page_count long, output_bytes long")
+    return each_document(_of(files, "PDF", "CAJ", "KDH", "HN", "C8"), kernel, "pdf binary, page_count long, output_bytes long, bookmark_count long, repaired_links long, omitted_pages array<struct<page_index:long,offset:long>>")
+
+
+def _fragment(data: bytes, limits: Limits) -> fragment.Fragment:
+    rows = caj.read(data, limits)["pages"]
+    return fragment.Fragment(data, rows[0][0], rows[-1][0] + rows[-1][1], limits)
+
+
+def caj_objects(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The PDF objects of CAJ documents; ``kind`` is the /Type of a dictionary, ``stream`` or the sort of value."""
+
+    def kernel(data):
+        body = _fragment(data, limits)
+        for number, (_, at, generation) in sorted(body.rows.items()):
+            value = body.values[number]
+            kind = value.get("Type") or ("stream" if "Length" in value else "dictionary") if isinstance(value, dict) else type(value).__name__
+            yield {"number": number, "generation": generation, "kind": str(kind), "offset": at, "length": body.spans[number][1] - at}
+
+    return each_document(_of(files, "CAJ"), kernel, "number long, generation long, kind string, offset long, length long")
+
+
+def caj_references(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Which object of a CAJ document refers to which, each pair once."""
+
+    def kernel(data):
+        for owner, value in sorted(_fragment(data, limits).values.items()):
+            yield from ({"owner": owner, "target": t} for t in sorted(set(fragment.targets(value))))
+
+    return each_document(_of(files, "CAJ"), kernel, "owner long, target long")
 
 
 def pdf_objects(files: DataFrame, limits: Limits = Limits()) -> DataFrame:

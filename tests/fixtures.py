@@ -24,6 +24,20 @@ def caj(entries=(("标题", b"1", 1),), rows=((0, 40, 5), (40, 20, 9)), pages=No
     return bytes(head) + outline + b"".join(struct.pack("<III", body + o, n, k) for o, n, k in rows) + b"x" * max(o + n for o, n, _ in rows)
 
 
+def caj_body(pages, objects, entries=()):
+    """A document of PDF objects (number, text or bytes); ``pages`` are the numbers in the page table."""
+    body = b"".join(f"{n} 0 obj\n".encode() + (t if isinstance(t, bytes) else t.encode()) + b"\nendobj\n" for n, t in objects)
+    head = bytearray(0x114)
+    head[:4] = b"CAJ\0"
+    outline = b"".join(toc(*e) for e in entries)
+    table = 0x114 + len(outline)
+    start = table + 12 * len(pages)
+    struct.pack_into("<iI", head, 0x10, len(pages), table)
+    struct.pack_into("<i", head, 0x110, len(entries))
+    cut = [start] + [start] * (len(pages) - 1) + [start + len(body)]
+    return bytes(head) + outline + b"".join(struct.pack("<III", a, b - a, n) for a, b, n in zip(cut, cut[1:], pages, strict=False)) + body
+
+
 def hn_a(entries, pages=2):
     head = bytearray(0x15C)
     head[:8] = b"HN\0\0\x90\x01\0\0"
