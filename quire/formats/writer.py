@@ -1,9 +1,12 @@
-"""PDF files of image pages, and the pages of a container that are JPEG images alone."""
+"""PDF files of image pages, and containers whose pages are images."""
 
 from __future__ import annotations
 
-from quire.formats import jpeg
-from quire.formats.errors import Limits
+import zlib
+from dataclasses import replace
+
+from quire.formats import jpeg, pixels
+from quire.formats.errors import FormatError, Limits
 from quire.formats.paged import Container
 from quire.formats.pdf import append_outline
 
@@ -39,8 +42,22 @@ def number(x: float) -> str:
     return f"{x:.6f}".rstrip("0").rstrip(".") if x else "0"
 
 
-def image_pdf(pages: list[tuple[float, float, list[tuple[bytes, list[float]]]]]) -> bytes:
-    """A file of pages (width, height, images), an image being JPEG bytes and the matrix that places it."""
+def jpeg_object(data: bytes) -> tuple[str, bytes]:
+    """Dictionary and stream of a JPEG image, its bytes as they are."""
+    info = jpeg.read(data)
+    space = "DeviceGray" if info["color"] == "gray" else "DeviceRGB"
+    return f"/Type /XObject /Subtype /Image /Width {info['width']} /Height {info['height']} /ColorSpace /{space} /BitsPerComponent 8 /Filter /DCTDecode", data
+
+
+def bilevel_object(kind: int, data: bytes, limits: Limits) -> tuple[str, bytes]:
+    """Dictionary and stream of a type-0 or type-3 image, decoded; one is black."""
+    rows = pixels.read(kind, data, limits)
+    head = f"/Type /XObject /Subtype /Image /Width {rows.shape[1]} /Height {rows.shape[0]} /ColorSpace /DeviceGray /BitsPerComponent 1 /Decode [1 0] /Filter /FlateDecode"
+    return head, zlib.compress(pixels.packed(rows))
+
+
+def image_pdf(pages: list[tuple[float, float, list[tuple[tuple[str, bytes], list[float]]]]]) -> bytes:
+    """A file of pages (width, height, images), an image being its object (dictionary, stream) and the matrix that places it."""
     out = Writer()
     first = 3
     tree, kids = 2, []
@@ -55,10 +72,8 @@ def image_pdf(pages: list[tuple[float, float, list[tuple[bytes, list[float]]]]])
         out.add(f"<< /Type /Page /Parent {tree} 0 R /MediaBox [0 0 {number(width)} {number(height)}] /Contents {own + 1} 0 R /Resources << /XObject << {names} >> >> >>")
         draw = "\n".join(f"q {' '.join(map(number, matrix))} cm /I{k} Do Q" for k, (_, matrix) in enumerate(images))
         out.add("", draw.encode())
-        for data, _ in images:
-            info = jpeg.read(data)
-            space = "DeviceGray" if info["color"] == "gray" else "DeviceRGB"
-            out.add(f"/Type /XObject /Subtype /Image /Width {info['width']} /Height {info['height']} /ColorSpace /{space} /BitsPerComponent 8 /Filter /DCTDecode", data)
+        for (head, stream), _ in images:
+            out.add(head, stream)
     return out.finish(1)
 
 
@@ -76,7 +91,7 @@ def image_coordinates(box: Container, page: dict) -> list[tuple[int, int, int, i
 
 
 def compose(data: bytes, limits: Limits = Limits()) -> tuple[bytes, int]:
-    """The PDF of a container whose images are all JPEG, and its page count; anything else is unsupported."""
+    """The PDF of a container of image pages, and its page count; HN-B has JPEG images of type 2 alone."""
     box = Container(data, limits)
     width, height = (x * UNIT for x in box.header.page_size)
     if not width or not height:
@@ -87,13 +102,19 @@ def compose(data: bytes, limits: Limits = Limits()) -> tuple[bytes, int]:
         images = []
         places = image_coordinates(box, page) if page["image_count"] else []
         for image, (x, y, w, h) in zip(box.images(page), places, strict=True):
-            if image["record_type"] not in (1, 2) or box.header.variant == "HN-B" and image["record_type"] != 2:
+            kind = image["record_type"]
+            if box.header.variant == "HN-B" and kind != 2:
                 raise box.v.error("UnsupportedFormat", "image codec", image["descriptor_offset"], page=k, image=image["image_number"])
             start = image["payload_offset"]
-            flip = image["record_type"] == 2
+            payload = data[start : start + image["payload_length"]]
+            flip = kind == 2
             left, top = x * UNIT, height - y * UNIT
             matrix = [w * UNIT, 0, 0, -h * UNIT, left, top] if flip else [w * UNIT, 0, 0, h * UNIT, left, top - h * UNIT]
-            images.append((data[start : start + image["payload_length"]], matrix))
+            try:
+                shown = jpeg_object(payload) if kind in (1, 2) else bilevel_object(kind, payload, limits)
+            except FormatError as error:
+                raise replace(error, place=(("page", k), ("image", image["image_number"]), *error.place)) from None
+            images.append((shown, matrix))
         pages.append((width, height, images))
     out = image_pdf(pages)
     if box.header.outline_count:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from quire.formats import bilevel, caj, fragment, jpeg, kdh, package, paged, pdf, writer
+from quire.formats import bilevel, caj, fragment, jpeg, kdh, package, paged, pdf, pixels, writer
 from quire.formats.errors import FormatError, Limits
 from quire.operators.relational import dangling, first_match
 
@@ -182,6 +182,34 @@ def bilevel_images(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return each_document(_of(files, "HN", "C8"), kernel, "page long, image long, type long, width long, height long, stride long, visible_bytes long, profile string, problem string")
 
 
+def decoded_images(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Pixels of each type-0 and type-3 image: rows of eight pixels a byte, one being black; ``problem`` if it cannot be decoded.
+
+    Pages are decoded apart from each other, so that one long document does not keep one task busy:
+    its descriptors are read first, then its payloads are spread.
+    """
+    wanted = hnc8_images(hnc8_pages(files, limits).filter("error is null")).filter("type in (0, 3)")
+    payloads = wanted.join(files.select("path", "content"), "path").select("path", "page", "image", "type", F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("payload"))
+    spread = payloads.repartition(F.col("path"), F.col("page"), F.col("image"))
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                body = row.pop("payload")
+                try:
+                    found = pixels.read(row["type"], body, limits)
+                    row |= {"height": found.shape[0], "width": found.shape[1], "rows": pixels.packed(found), "problem": None}
+                except FormatError as error:
+                    row |= {"height": None, "width": None, "rows": None, "problem": str(error)}
+                yield pa.RecordBatch.from_pylist([row], kinds)
+
+    schema = "path string, page long, image long, type long, height long, width long, rows binary, problem string"
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    return spread.mapInArrow(run, schema)
+
+
 def jbig2_segments(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The JBIG2 segments of type-3 images; offsets count from the payload's start."""
 
