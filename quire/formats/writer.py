@@ -9,9 +9,10 @@ from quire.formats import jpeg, pixels
 from quire.formats.errors import FormatError, Limits
 from quire.formats.paged import Container
 from quire.formats.pdf import append_outline
+from quire.formats.records import PageText
 
-#: Fixed value: points of one container unit.
-UNIT = 72 / 742
+#: Points of one container unit, and of a pixel at 300 an inch.
+UNIT, PIXEL = 72 / 742, 72 / 300
 
 
 class Writer:
@@ -77,49 +78,77 @@ def image_pdf(pages: list[tuple[float, float, list[tuple[tuple[str, bytes], list
     return out.finish(1)
 
 
-def image_coordinates(box: Container, page: dict) -> list[tuple[int, int, int, int]]:
-    """(x, y, width, height) in container units of each image, from the records that end a compressed page text."""
-    n = page["image_count"]
-    kind = box.framing(page)[0] if page["text_length"] else "none"
-    if kind not in ("compresstext", "legacy-24"):
-        raise box.v.error("UnsupportedFormat", f"image coordinates of {kind} text", page["text_offset"], page=page["page_number"])
-    text = box.page_text(page)
-    if len(text) < 28 * n:
-        raise box.v.malformed("page text is shorter than its image records", page["text_offset"], page=page["page_number"])
-    tail = text[len(text) - 28 * n :]
-    return [tuple(int.from_bytes(tail[28 * k + f : 28 * k + f + 2], "little") for f in (4, 6, 8, 10)) for k in range(n)]
+def _placed(box: Container, page: dict) -> tuple[list[tuple[int, int, int, int]], tuple[int, int]]:
+    """(x, y, width, height) of each image record in container units, and the size of the page."""
+    text = PageText(box, page)
+    if text.grammar in ("none", "native"):
+        raise box.v.error("UnsupportedFormat", f"image coordinates of {text.grammar} text", page["text_offset"], page=page["page_number"])
+    places = [tuple(r[k] for k in ("x", "y", "width", "height")) for r in text.records() if r["kind"] == "image"]
+    if not places or page["image_count"] % len(places):
+        raise box.v.error("UnsupportedFormat", "image descriptor count is not a complete coordinate group", page["text_offset"], page=page["page_number"])
+    return places, text.size or box.header.page_size
+
+
+def _distinct(box: Container, page: dict, group: int) -> tuple[list[dict], int]:
+    """The images of the first coordinate group, and how many later ones repeat them byte for byte."""
+    found = list(box.images(page))
+    body = lambda i: box.v.data[i["payload_offset"] : i["payload_offset"] + i["payload_length"]]
+    for k in range(group, len(found)):
+        first = found[k % group]
+        if first["record_type"] != found[k]["record_type"] or body(first) != body(found[k]):
+            raise box.v.error("UnsupportedFormat", "repeated image payload differs", found[k]["payload_offset"], page=page["page_number"], image=found[k]["image_number"])
+    return found[:group], len(found) - group
+
+
+def _page(box: Container, page: dict, limits: Limits) -> tuple[float, float, list, int]:
+    """Width, height and images of a page in points, and the number of repeated image records.
+
+    HN-B places one JPEG of type 2 on a page of its own size at 300 pixels an inch.
+    """
+    variant, number_ = box.header.variant, page["page_number"]
+    size, places, repeats, found = box.header.page_size, [], 0, []
+    if page["image_count"]:
+        if variant == "HN-B":
+            found = list(box.images(page))
+            if len(found) != 1 or found[0]["record_type"] != 2:
+                raise box.v.error("UnsupportedFormat", "HN-B image-bearing rows require exactly one JPEG", page["row_offset"], page=number_)
+        else:
+            places, size = _placed(box, page)
+            found, repeats = _distinct(box, page, len(places))
+    width, height = (x * UNIT for x in size)
+    images = []
+    for k, image in enumerate(found):
+        start, kind = image["payload_offset"], image["record_type"]
+        payload = box.v.data[start : start + image["payload_length"]]
+        try:
+            shown = jpeg_object(payload) if kind in (1, 2) else bilevel_object(kind, payload, limits)
+            if variant == "HN-B":
+                info = jpeg.read(payload)
+                width, height = info["width"] * PIXEL, info["height"] * PIXEL
+                images.append((shown, [width, 0, 0, -height, 0, height]))
+                continue
+        except FormatError as error:
+            raise replace(error, place=(("page", number_), ("image", image["image_number"]), *error.place)) from None
+        x, y, w, h = (c * UNIT for c in places[k])
+        if not w or not h:
+            raise box.v.malformed("image placement has no extent", page["text_offset"], page=number_, image=image["image_number"])
+        images.append((shown, [w, 0, 0, -h, x, height - y] if kind == 2 else [w, 0, 0, h, x, height - y - h]))
+    if not width or not height:
+        raise box.v.malformed("declared source dimensions must be positive", None, page=number_)
+    return width, height, images, repeats
 
 
-def compose(data: bytes, limits: Limits = Limits()) -> tuple[bytes, int]:
-    """The PDF of a container of image pages, and its page count; HN-B has JPEG images of type 2 alone."""
+def compose(data: bytes, limits: Limits = Limits(), *, include_bookmarks: bool = True) -> dict:
+    """``pdf, page_count, bookmark_count, duplicate_images, no_image_pages`` of a container of image pages.
+
+    No page is dropped; a page without images is blank.
+    """
     box = Container(data, limits)
-    width, height = (x * UNIT for x in box.header.page_size)
-    if not width or not height:
-        raise box.v.malformed("declared source dimensions must be positive", None)
-    pages = []
-    for k in range(1, box.header.page_count + 1):
-        page = box.page(k)
-        images = []
-        places = image_coordinates(box, page) if page["image_count"] else []
-        for image, (x, y, w, h) in zip(box.images(page), places, strict=True):
-            kind = image["record_type"]
-            if box.header.variant == "HN-B" and kind != 2:
-                raise box.v.error("UnsupportedFormat", "image codec", image["descriptor_offset"], page=k, image=image["image_number"])
-            start = image["payload_offset"]
-            payload = data[start : start + image["payload_length"]]
-            flip = kind == 2
-            left, top = x * UNIT, height - y * UNIT
-            matrix = [w * UNIT, 0, 0, -h * UNIT, left, top] if flip else [w * UNIT, 0, 0, h * UNIT, left, top - h * UNIT]
-            try:
-                shown = jpeg_object(payload) if kind in (1, 2) else bilevel_object(kind, payload, limits)
-            except FormatError as error:
-                raise replace(error, place=(("page", k), ("image", image["image_number"]), *error.place)) from None
-            images.append((shown, matrix))
-        pages.append((width, height, images))
-    out = image_pdf(pages)
-    if box.header.outline_count:
-        rows = [(r["depth"], r["title"], r["page_index"]) for r in box.outline() if r["kind"] == "bookmark" and r["title"]]
-        out = append_outline(out, rows, limits)
+    rows = [_page(box, box.page(k), limits) for k in range(1, box.header.page_count + 1)]
+    out, entries = image_pdf([r[:3] for r in rows]), []
+    if include_bookmarks and box.header.outline_count:
+        entries = [(r["depth"], r["title"], r["page_index"]) for r in box.outline() if r["kind"] == "bookmark" and r["title"]]
+        out = append_outline(out, entries, limits)
     if len(out) > limits.max_output_bytes:
         raise box.v.error("LimitExceeded", "output bytes", None, (limits.max_output_bytes, len(out)))
-    return out, len(pages)
+    return {"pdf": out, "page_count": len(rows), "bookmark_count": len(entries), "duplicate_images": sum(r[3] for r in rows), "no_image_pages": sum(not r[2] for r in rows)}

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from quire.formats import bilevel, caj, fragment, jpeg, kdh, package, paged, pdf, pixels, writer
+from quire.formats import bilevel, caj, fragment, jpeg, kdh, package, paged, pdf, pixels, records, writer
 from quire.formats.errors import FormatError, Limits
 from quire.operators.relational import dangling, first_match
 
@@ -136,6 +136,28 @@ def image_counts(images: DataFrame) -> DataFrame:
     return images.groupBy("path").agg(F.count_if(F.col("type") == 0).alias("type0"), F.count_if(F.col("type").isin(1, 2)).alias("jpeg"), F.count_if(F.col("type") == 3).alias("type3"))
 
 
+def text_records(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The records of each page's text in order; ``page_error`` tells where a page's grammar ends early."""
+
+    def kernel(data):
+        box = paged.Container(data, limits)
+        for k in range(1, box.header.page_count + 1):
+            n = 0
+            try:
+                for n, r in enumerate(records.PageText(box, box.page(k)).records(), 1):
+                    yield {"page": k, "ordinal": n} | r
+            except FormatError as error:
+                yield {"page": k, "ordinal": n + 1, "page_error": str(error)}
+
+    return each_document(_of(files, "HN", "C8"), kernel, "page long, ordinal long, offset long, kind string, tag int, value int, x int, y int, width int, height int, style int, code int, character string, text string, name binary, words array<int>, page_error string")
+
+
+def needs_fonts(pages: DataFrame) -> DataFrame:
+    """``path, native, unknown_pages``: whether the first page with text of ``hnc8_pages`` is native text."""
+    first = F.expr("min_by(text_framing, page) filter (where text_length > 0)")
+    return pages.filter("error is null").groupBy("path").agg(F.coalesce(first == "native", F.lit(False)).alias("native"), F.count_if(F.col("page_error").isNotNull() | F.col("text_error").isNotNull()).alias("unknown_pages"))
+
+
 def application_info(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return each_document(_of(files, "HN", "C8"), lambda data: iter([package.read(data, limits)]), "doi string, url string, note_count long, status string, defect string")
 
@@ -238,14 +260,14 @@ def to_pdf(files: DataFrame, limits: Limits = Limits(), *, include_bookmarks: bo
             yield row | {"output_bytes": len(row["pdf"])}
             return
         if data[:2] == b"HN" or data[:4] == b"\xc8\0\0\0":
-            body, pages = writer.compose(data, limits)
-            yield {"pdf": body, "page_count": pages, "output_bytes": len(body)}
+            row = writer.compose(data, limits, include_bookmarks=include_bookmarks)
+            yield row | {"output_bytes": len(row["pdf"])}
             return
         body = _pdf_bytes(data, limits)
         index = pdf.Pdf(body, limits)
         yield {"pdf": body, "page_count": len(index.pages), "output_bytes": len(body)}
 
-    return each_document(_of(files, "PDF", "CAJ", "KDH", "HN", "C8"), kernel, "pdf binary, page_count long, output_bytes long, bookmark_count long, repaired_links long, omitted_pages array<struct<page_index:long,offset:long>>")
+    return each_document(_of(files, "PDF", "CAJ", "KDH", "HN", "C8"), kernel, "pdf binary, page_count long, output_bytes long, bookmark_count long, repaired_links long, duplicate_images long, no_image_pages long, omitted_pages array<struct<page_index:long,offset:long>>")
 
 
 def _fragment(data: bytes, limits: Limits) -> fragment.Fragment:

@@ -109,7 +109,7 @@ def jpeg(width=16, height=8, gray=True, extra=b"", tail=b""):
 
 def image_text(*places):
     """Compressed page text that ends with an image record for each place (x, y, width, height)."""
-    return compressed(b"glyphs" + b"".join(b"\x0a\x80\0\xd3" + struct.pack("<HHHH", *p) + bytes(16) for p in places))
+    return compressed(b"\x10\x20\xa1\xb0" + b"".join(b"\x0a\x80\0\xd3" + struct.pack("<HHHH", *p) + bytes(16) for p in places) + b"\x04\x80\0\0")
 
 
 def bitmap(width=33, height=4, palette=b"\xff\xff\xff\0\0\0\0\0"):

@@ -166,15 +166,16 @@ def test_jpeg():
 def test_image_pages_to_pdf(spark):
     photo = fx.jpeg(gray=False)
     data = fx.c8([fx.image_text((0, 0, 742, 1484), (10, 20, 30, 40)), b""], [(1, photo), (2, fx.jpeg())])
-    out, pages = writer.compose(data)
+    made = writer.compose(data)
+    out = made["pdf"]
     index = pdf.Pdf(out)
-    assert pages == len(index.pages) == 2 and photo in out and out.count(b"/DCTDecode") == 2
+    assert made["no_image_pages"] == 1 and made["page_count"] == len(index.pages) == 2 and photo in out and out.count(b"/DCTDecode") == 2
     assert index.pages[0]["media_box"] == [0, 0, 72, 144]
     assert b"q 72 0 0 144 0 0 cm /I0 Do Q" in out and b"q 2.911051 0 0 -3.881402 0.97035 142.059299 cm /I1 Do Q" in out
     assert "page 1, image 1: bitmap header" in fails(writer.compose, fx.c8([fx.image_text((0, 0, 1, 1))], [(3, b"x")]))
     assert "image coordinates of none text" in fails(writer.compose, fx.c8([b""], [(2, photo)]))
     made = documents.to_pdf(files(spark, data, fx.hn_a([("t", b"2", 1)]), fx.c8([fx.image_text((0, 0, 1, 1))], [(0, b"x")]))).orderBy("path").collect()
-    assert [r.page_count for r in made] == [2, 2, None] and pdf.Pdf(bytes(made[1].pdf)).has_outline and made[2].error.kind == "UnsupportedFormat"
+    assert [r.page_count for r in made] == [2, 2, None] and pdf.Pdf(bytes(made[1].pdf)).has_outline and made[2].error.kind == "Truncated"
     assert [(r.width, r.color, r.problem) for r in documents.jpeg_info(files(spark, data)).collect()] == [(16, "ycc", None), (16, "gray", None)]
 
 
