@@ -54,6 +54,24 @@ class FormatError(Exception):
         return ": ".join(parts)
 
 
+#: Stable codes by structure and kind; what is not listed falls to the structure's own, then to the kind's.
+STRUCTURE_CODES = {"CAJ": 13, "KDH": 15}
+KIND_CODES = {"UnsupportedFormat": 1, "Malformed": 2, "Encrypted": 2, "Truncated": 3, "LimitExceeded": 4}
+EXACT_CODES = {("PDF", "Malformed"): 8, ("PDF", "Encrypted"): 9, ("PDF", "UnsupportedFormat"): 10, ("PDF", "LimitExceeded"): 12, ("CAJ", "LimitExceeded"): 14}
+CONTAINER_CODE, CONTAINER_PARTS = 16, ("HN/C8", "JBIG2", "JPEG", "image")
+
+
+def error_code(error: FormatError) -> int:
+    """The stable number of an error's category."""
+    name, kind = error.structure, error.kind
+    if name.startswith(CONTAINER_PARTS):
+        return CONTAINER_CODE
+    exact = EXACT_CODES.get((name, kind))
+    if exact or kind in ("Truncated", "LimitExceeded"):
+        return exact or KIND_CODES[kind]
+    return STRUCTURE_CODES.get(name) or KIND_CODES[kind]
+
+
 class View:
     """Bytes of a document with checked little-endian fields; errors carry the structure's name."""
 

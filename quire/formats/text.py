@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 
 def gb18030(raw: bytes) -> str | int:
     """The decoded text, or the position of the first invalid byte."""
@@ -13,12 +15,12 @@ def gb18030(raw: bytes) -> str | int:
 
 def printable(text: str) -> str:
     """Control characters written as escapes, so that a report stays one line an entry."""
-    return "".join(c if c.isprintable() or c == " " else c.encode("unicode_escape").decode() if ord(c) < 256 else f"\\u{{{ord(c):x}}}" for c in text)
+    return "".join(f"\\u{{{ord(c):x}}}" if unicodedata.category(c) == "Cc" else c for c in text)
 
 
 def signature_text(raw: bytes) -> str:
-    """Printable ASCII as it is, everything else as two hex digits."""
-    return "".join(chr(b) if 0x20 <= b < 0x7F and b != 0x5C else f"\\x{b:02x}" for b in raw)
+    """Printable ASCII as it is; quotes, backslashes and everything else as two hex digits."""
+    return "".join(chr(b) if 0x20 <= b < 0x7F and b not in b'"\\' else f"\\x{b:02x}" for b in raw)
 
 
 def utf16_hex(text: str) -> str:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from quire.formats import bilevel, caj, fragment, jpeg, kdh, package, paged, pdf, pixels, records, writer
-from quire.formats.errors import FormatError, Limits
+from quire.formats import bilevel, caj, fragment, inspection, jpeg, kdh, package, paged, pdf, pixels, records, writer
+from quire.formats.errors import FormatError, Limits, error_code
 from quire.operators.relational import dangling, first_match
 
 #: Signatures in the order they are tried.
@@ -43,9 +43,13 @@ def detections(files: DataFrame) -> DataFrame:
     return files.select("path", name.alias("format"), offset.cast("long").alias("header_offset"), read.cast("long").alias("bytes_read"), F.coalesce(name.isin(*CONVERTIBLE), F.lit(False)).alias("convertible"))
 
 
-def each_document(files: DataFrame, kernel: Callable[[bytes], Iterator[dict]], schema: str) -> DataFrame:
-    """Rows of ``kernel`` for each file, with its path; ``error`` columns tell why there are none."""
-    full = f"path string, {schema}, error struct<kind:string,offset:long,reason:string,message:string>"
+def each_document(files: DataFrame, kernel: Callable[..., Iterator[dict]], schema: str, *, more: list[str] | None = None) -> DataFrame:
+    """Rows of ``kernel`` for each file, with its path; ``error`` columns tell why there are none.
+
+    The kernel gets the content and the columns named in ``more``.
+    """
+    more = more or []
+    full = f"path string, {schema}, error struct<kind:string,code:int,offset:long,reason:string,message:string>"
     names = [f.name for f in _parse_datatype_string(full).fields]
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -53,20 +57,21 @@ def each_document(files: DataFrame, kernel: Callable[[bytes], Iterator[dict]], s
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            others = [c.to_pylist() for c in batch.columns[2:]]
+            for path, content, *rest in zip(batch.column(0).to_pylist(), batch.column(1), *others, strict=True):
                 rows = []
                 try:
-                    for row in kernel(content.as_py() or b""):
+                    for row in kernel(content.as_py() or b"", *rest):
                         rows.append({"path": path} | row)
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
                             rows = []
                 except FormatError as e:
-                    rows.append({"path": path, "error": {"kind": e.kind, "offset": e.offset, "reason": e.reason, "message": str(e)}})
+                    rows.append({"path": path, "error": {"kind": e.kind, "code": error_code(e), "offset": e.offset, "reason": e.reason, "message": str(e)}})
                 if rows:
                     yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
 
-    return files.select("path", "content").mapInArrow(run, full)
+    return files.select("path", "content", *more).mapInArrow(run, full)
 
 
 def _of(files: DataFrame, *formats: str) -> DataFrame:
@@ -118,12 +123,15 @@ def hnc8_headers(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def hnc8_pages(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row for each page with its images, framing and its own error."""
 
+    return each_document(_of(files, "HN", "C8"), _page_kernel(limits), "page long, text_offset long, text_length long, image_count long, images array<struct<type:long,offset:long,length:long>>, text_framing string, text_records long, text_decoded_length long, text_error string, page_error string")
+
+
+def _page_kernel(limits: Limits) -> Callable[[bytes], Iterator[dict]]:
     def kernel(data):
-        for r in paged.probe(data, limits):
-            images = [{"type": i["record_type"], "offset": i["payload_offset"], "length": i["payload_length"]} for i in r.get("images", ())]
-            yield {"page": r["page_number"], "text_offset": r.get("text_offset"), "text_length": r.get("text_length"), "image_count": r.get("image_count"), "images": images, "text_framing": r.get("framing"), "text_decoded_length": r.get("decoded_length"), "text_error": r.get("text_error"), "page_error": r.get("error")}
+        for row in inspection.page_rows(data, limits):
+            yield row | {"page_error": row.pop("error")}
 
-    return each_document(_of(files, "HN", "C8"), kernel, "page long, text_offset long, text_length long, image_count long, images array<struct<type:long,offset:long,length:long>>, text_framing string, text_decoded_length long, text_error string, page_error string")
+    return kernel
 
 
 def hnc8_images(pages: DataFrame) -> DataFrame:
@@ -349,13 +357,22 @@ def document_info(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return detections(known).select("path", "format").join(info, "path")
 
 
-def add_bookmarks(pdfs: DataFrame, outlines: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Outlines (path, ordinal, depth, title, page_index) written into the PDFs (path, pdf) of the same path."""
+def add_bookmarks(pdfs: DataFrame, outlines: DataFrame, limits: Limits = Limits(), *, refuse_existing: bool = False) -> DataFrame:
+    """Outlines (path, ordinal, depth, title, page_index) written into the PDFs (path, pdf) of the same path.
+
+    A PDF that has an outline keeps it, or is an error if ``refuse_existing``; so is one without entries then.
+    """
     entries = outlines.filter("error is null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "depth", "title", "page_index"))).alias("entries"))
 
     @F.udf("struct<pdf:binary,error:string>")
     def append(data, rows):
+        if data is None:
+            return None, "no document"
         try:
+            if refuse_existing and not rows:
+                return None, "source has no bookmarks"
+            if refuse_existing and pdf.Pdf(bytes(data), limits).has_outline:
+                return None, "PDF already has an outline"
             return pdf.append_outline(bytes(data), [(r["depth"], r["title"], r["page_index"]) for r in rows or ()], limits), None
         except FormatError as error:
             return None, str(error)

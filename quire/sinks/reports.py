@@ -10,22 +10,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.formats import inspection
+from quire.formats.errors import FormatError, Limits
+from quire.operators.documents import detect_format, each_document
 
-def json_report(info: DataFrame) -> DataFrame:
-    """``path, report``: version 1, unknown values as null."""
-    fields = F.struct(F.lit(1).alias("version"), "format", "variant", "page_count", "has_outline", "bookmark_count", F.col("error.message").alias("error"))
-    return info.select("path", F.to_json(fields, {"ignoreNullFields": "false"}).alias("report"))
 
+def inspections(files: DataFrame, *, bookmarks: bool = False, pages: bool = False, limits: Limits = Limits()) -> DataFrame:
+    """``path, json, text, error``: both reports on each file; a file of unknown format is an error."""
 
-def text_report(info: DataFrame) -> DataFrame:
-    """``path, report``: a line for each known field."""
-    line = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{label}: "), F.col(c).cast("string")))
-    return info.select("path", F.concat_ws("\n", line("Format", "format"), line("Variant", "variant"), line("Pages", "page_count"), line("Bookmarks", "bookmark_count"), line("Error", "error.message")).alias("report"))
+    def kernel(data, name):
+        if name is None:
+            raise FormatError("UnsupportedFormat")
+        found = inspection.read(data, name, limits, pages=pages)
+        yield {"json": inspection.as_json(found, bookmarks=bookmarks, pages=pages), "text": inspection.as_text(found, bookmarks=bookmarks, pages=pages)}
 
+    named = files.select("path", "content", detect_format(F.col("content")).alias("format"))
+    return each_document(named, kernel, "json string, text string", more=["format"])
 
-def write_files(rows: DataFrame, content: str, uri: str, suffix: str) -> DataFrame:
+
+def write_files(rows: DataFrame, content: str, uri: str, suffix: str, *, keep_errors: bool = False) -> DataFrame:
     """A file for each row (path, content) in the shared folder ``uri``; ``path, written, bytes``.
 
+    Rows without content are left out, or kept with their ``error`` as text if ``keep_errors``.
+
     Names come from a hash of the source's path, so no output can replace an input; a file
     appears by renaming a whole one.
     """
@@ -35,15 +42,21 @@ def write_files(rows: DataFrame, content: str, uri: str, suffix: str) -> DataFra
         fs.create_dir(root, recursive=True)
         for batch in batches:
             done = []
-            for path, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path, body, error in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 body = body.as_py()
                 if body is None:
+                    if keep_errors:
+                        done.append((path, None, None, error or "no content"))
                     continue
                 name = f"{root}/{hashlib.sha256(path.encode()).hexdigest()[:32]}{suffix}"
                 with fs.open_output_stream(part := f"{name}.{TaskContext.get().taskAttemptId()}.tmp") as out:
                     out.write(body)
                 fs.move(part, name)
-                done.append((path, name, len(body)))
-            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["path", "written", "bytes"])
-
-    return rows.select("path", content).mapInArrow(run, "path string, written string, bytes long")
+                done.append((path, name, len(body), None))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)], ["path", "written", "bytes", "error"])
+
+    kind = dict(rows.dtypes).get("error")
+    error = F.lit(None).cast("string") if kind is None else F.col("error") if kind == "string" else F.col("error.message")
+    wrote = rows.select("path", content, error.alias("error")).mapInArrow(run, "path string, written string, bytes long, error string")
+    return wrote if keep_errors else wrote.drop("error")
