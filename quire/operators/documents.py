@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from quire.formats import bilevel, caj, fragment, inspection, jpeg, kdh, package, paged, pdf, pixels, records, writer
+from quire.formats import bilevel, caj, fragment, inspection, jpeg, kdh, package, paged, pdf, pdfcheck, pixels, records, writer
 from quire.formats.errors import FormatError, Limits, error_code
 from quire.operators.relational import dangling, first_match
 
@@ -325,6 +325,29 @@ def pdf_pages(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return each_document(_of(files, "PDF", "KDH"), kernel, "page_index long, number long, generation long, media_box array<double>")
 
 
+def pdf_spans(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Where each object of a PDF begins and ends; ``overlaps`` of ``quire.operators.relational`` finds those that run into others."""
+    return _checked(files, pdfcheck.spans, "number long, offset long, end long, gap_problem long", limits)
+
+
+def pdf_outlines(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The outline entries of PDFs with what is wrong with their links."""
+    return _checked(files, pdfcheck.outline, "ordinal int, number long, depth long, title string, page_index long, problem string", limits)
+
+
+def named_destinations(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    return _checked(files, pdfcheck.named_destinations, "name string, page_index long, problem string", limits)
+
+
+def pdf_problems(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """What is wrong with PDFs that can be read; the ``error`` of those that cannot."""
+    return _checked(files, pdfcheck.problems, "number long, offset long, problem string", limits)
+
+
+def _checked(files: DataFrame, check: Callable[[pdf.Pdf], Iterator[dict]], schema: str, limits: Limits) -> DataFrame:
+    return each_document(_of(files, "PDF", "KDH"), lambda data: check(pdf.Pdf(_pdf_bytes(data, limits), limits)), schema)
+
+
 def dangling_references(objects: DataFrame, references: DataFrame) -> DataFrame:
     """References of a file to objects it does not have."""
     live = objects.filter("kind != 'free' and error is null").select(F.col("path").alias("p"), "number")
