@@ -21,6 +21,8 @@ from quire.operators.relational import dangling, first_match
 #: Signatures in the order they are tried.
 SIGNATURES = [(b"%PDF-", "PDF"), (b"CAJ", "CAJ"), (b"KDH", "KDH"), (b"HN", "HN"), (b"\xc8\0\0\0", "C8"), (b"TEB", "TEB")]
 SEARCHED = 1024
+#: Rows, and bytes of binary values, after which a kernel's rows are handed on.
+BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 #: Fixed value: lines of a CAA target descriptor, each closed, then blanks alone.
 CAA = r"^\[TARGET\]\r?\nA1=[0-9]+\r?\nA2=[A-Za-z0-9+/=]+\r?\nB1=0\r?\nB2=\r?\nC1=0\r?\nC2=\r?\nD1=[0-9]+\r?\nD2=[A-Za-z0-9+/=]+\r?\nDOCTYPE=(NH|KDH)\r?\n[ \t\r\n]*$"
 CONVERTIBLE = ("PDF", "CAJ", "KDH", "HN", "C8")
@@ -59,13 +61,14 @@ def each_document(files: DataFrame, kernel: Callable[..., Iterator[dict]], schem
         for batch in batches:
             others = [c.to_pylist() for c in batch.columns[2:]]
             for path, content, *rest in zip(batch.column(0).to_pylist(), batch.column(1), *others, strict=True):
-                rows = []
+                rows, held = [], 0
                 try:
                     for row in kernel(content.as_py() or b"", *rest):
                         rows.append({"path": path} | row)
-                        if len(rows) == 4096:
+                        held += sum(len(x) for x in row.values() if isinstance(x, bytes))
+                        if len(rows) == BATCH_ROWS or held > BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
-                            rows = []
+                            rows, held = [], 0
                 except FormatError as e:
                     rows.append({"path": path, "error": {"kind": e.kind, "code": error_code(e), "offset": e.offset, "reason": e.reason, "message": str(e)}})
                 if rows:
@@ -215,12 +218,21 @@ def bilevel_images(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def decoded_images(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Pixels of each type-0 and type-3 image: rows of eight pixels a byte, one being black; ``problem`` if it cannot be decoded.
 
-    Pages are decoded apart from each other, so that one long document does not keep one task busy:
-    its descriptors are read first, then its payloads are spread.
+    Payloads are cut out where a document is read, then spread, so that one long document does
+    not keep one task busy; whole documents are not shuffled.
     """
-    wanted = hnc8_images(hnc8_pages(files, limits).filter("error is null")).filter("type in (0, 3)")
-    payloads = wanted.join(files.select("path", "content"), "path").select("path", "page", "image", "type", F.substring("content", F.col("offset").cast("int") + 1, F.col("length").cast("int")).alias("payload"))
-    spread = payloads.repartition(F.col("path"), F.col("page"), F.col("image"))
+    def payloads(data):
+        box = paged.Container(data, limits)
+        for k in range(1, box.header.page_count + 1):
+            try:
+                for i in box.images(box.page(k)):
+                    if i["record_type"] in (0, 3):
+                        yield {"page": k, "image": i["image_number"], "type": i["record_type"], "payload": data[i["payload_offset"] : i["payload_offset"] + i["payload_length"]]}
+            except FormatError:
+                continue  # ``hnc8_pages`` tells what is wrong with the page
+
+    rows = each_document(_of(files, "HN", "C8"), payloads, "page long, image long, type long, payload binary").filter("error is null").drop("error")
+    spread = rows.repartition(F.col("path"), F.col("page"), F.col("image"))
 
     def run(batches):
         for batch in batches:
