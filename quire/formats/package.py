@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import xml.parsers.expat
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
 from quire.formats.errors import FormatError, Limits
 from quire.formats.paged import Container
@@ -13,6 +15,9 @@ DOI = ("Package", "FileProperty-Package", "DOI")
 URL = ("Package", "FileProperty-Package", "DURL")
 NOTE = ("Package", "Note-Package", "NoteItems", "Item")
 MAX_DEPTH, MAX_VALUE_BYTES = 16, 4096
+#: Fixed values of links: attributes that a list of notes and a link must have; bounds of coordinates and of their number.
+NOTES_PROFILE, LINK_PROFILE = {"Version": "1.0", "Unit": "PointsM"}, {"Type": "Link", "LineStyle": "4", "ShowType": "1"}
+MAX_COORDINATE, MAX_LINKS = 1_440_000, 8192
 
 
 def parse(raw: bytes) -> dict:
@@ -71,3 +76,50 @@ def read(data: bytes, limits: Limits = Limits()) -> dict:
         return none | {"status": "Absent"} if found is None else none | parse(found[2]) | {"status": "Read"}
     except (FormatError, ValueError) as error:
         return none | {"status": "Ignored", "defect": str(error)}
+
+
+def links(data: bytes, limits: Limits = Limits()) -> Iterator[dict]:
+    """``ordinal, page, rect, color, uri, problem`` of the links a C8 package keeps as notes; they are data and never followed.
+
+    ``rect`` is left, top, right, bottom in points from the upper left; a note of another kind
+    has its ``problem`` alone. A damaged package has no rows, ``read`` tells why.
+    """
+    box = Container(data, limits)
+    if read(data, limits)["status"] != "Read":
+        return
+    ordinal = 0
+    for notes in ElementTree.fromstring(box.package()[2]).findall("Note-Package/NoteItems"):
+        known = all(notes.get(k) == v for k, v in NOTES_PROFILE.items())
+        for note in notes:
+            if ordinal == MAX_LINKS:
+                raise box.v.error("LimitExceeded", "application-info links", None, (MAX_LINKS, ordinal + 1))
+            row = {"ordinal": ordinal}
+            try:
+                row |= _link(note, known, box.header.page_count)
+            except ValueError as error:
+                row["problem"] = str(error)
+            yield row
+            ordinal += 1
+
+
+def _link(note: ElementTree.Element, known: bool, pages: int) -> dict:
+    areas, goals = note.findall("RC"), note.findall("Item")
+    if not known or note.tag != "Item" or any(note.get(k) != v for k, v in LINK_PROFILE.items()):
+        raise ValueError("note is not a link of the known kind")
+    if len(areas) != 1 or len(goals) != 1 or len(note) != 2 or any(len(x) for x in note):
+        raise ValueError("link does not have one rectangle and one target")
+    page, color = note.get("Page", ""), note.get("Color", "")
+    if not re.fullmatch("[0-9]{1,9}", page) or not 0 < int(page) <= pages:
+        raise ValueError("page is outside the document")
+    if not re.fullmatch("00[0-9A-Fa-f]{6}", color):
+        raise ValueError("color is not known")
+    sides = [areas[0].get(k, "") for k in "ltrb"]
+    if not all(re.fullmatch("-?[0-9]{1,7}", x) and abs(int(x)) <= MAX_COORDINATE for x in sides):
+        raise ValueError("coordinate is invalid")
+    left, top, right, bottom = (int(x) / 100 for x in sides)
+    if left >= right or top >= bottom:
+        raise ValueError("rectangle is empty or inverted")
+    uri = goals[0].get("Aim", "")
+    if goals[0].get("Type") != "UrlLink" or not re.fullmatch("https?://[!-~]*", uri):
+        raise ValueError("target is not a web address in ASCII")
+    return {"page": int(page), "rect": [left, top, right, bottom], "color": f"{color[6:]}{color[4:6]}{color[2:4]}".lower(), "uri": uri}

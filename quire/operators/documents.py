@@ -173,6 +173,11 @@ def application_info(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return each_document(_of(files, "HN", "C8"), lambda data: iter([package.read(data, limits)]), "doi string, url string, note_count long, status string, defect string")
 
 
+def package_links(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The links that C8 packages keep as notes: page, place in points, color and address."""
+    return each_document(_of(files, "C8"), lambda data: package.links(data, limits), "ordinal int, page long, rect array<double>, color string, uri string, problem string")
+
+
 def _pdf_bytes(data: bytes, limits: Limits) -> bytes:
     if data[:3] == b"KDH":
         return kdh.decode(data, limits)[0]

@@ -76,3 +76,16 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "pdf" / "a.pdf").write_bytes(marked.read_bytes())
     assert main(["add-bookmarks", *pair], spark) == 1 and "already has an outline" in capsys.readouterr().err
     assert documents.hnc8_pages(spark.createDataFrame([("x", bytearray(fx.c8([b""])))], "path string, content binary")).first().text_records == 0
+
+
+def test_links(spark):
+    def note(more="", **change):
+        a = {"Type": "Link", "Page": "1", "Color": "000000FF", "LineStyle": "4", "ShowType": "1"} | change
+        return f"<Item {' '.join(f'{k}=\"{v}\"' for k, v in a.items())}><RC l='100' t='-50' r='250' b='300'/><Item Type='UrlLink' Aim='https://example.org/a' ID='1'/>{more}</Item>"
+
+    notes = [note(), note(Page="9"), note(Type="Text"), note("<RC l='1' t='1' r='2' b='2'/>"), note(Color="FF000000")]
+    package = f"<Package><Note-Package><NoteItems Version='1.0' Unit='PointsM'>{''.join(notes)}</NoteItems></Note-Package></Package>".encode()
+    files = spark.createDataFrame([("a", bytearray(fx.c8([b""], package=package))), ("b", bytearray(fx.c8([b""], package=b"<Package>")))], "path string, content binary")
+    rows = documents.package_links(files).orderBy("ordinal").collect()
+    assert (rows[0].page, rows[0].rect, rows[0].color, rows[0].uri, rows[0].problem) == (1, [1.0, -0.5, 2.5, 3.0], "ff0000", "https://example.org/a", None)
+    assert [r.problem for r in rows[1:]] == ["page is outside the document", "note is not a link of the known kind", "link does not have one rectangle and one target", "color is not known"]
