@@ -173,9 +173,9 @@ def _cells(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _sort(strings: DataFrame) -> DataFrame:
-    """``core, left, right, mask`` of strings whose windows recur; in, strings come sorted by core.
+    """``core, left, right, mask`` of strings whose windows recur; in, strings come laid out and sorted by core.
 
-    Strings of one core stay in one block. No core here has more than CROWD strings.
+    Strings of one core come in one task and stay in one block. No core here has more than CROWD strings.
     """
     names = ["core", "left", "right", "mask"]
 
@@ -283,9 +283,12 @@ def repeated_bytes(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
     strings = pieces.groupBy("core", "left", "right").agg(F.count(F.lit(1)).alias("n"))
     strings = scratch.put(strings, "strings")
     size = scratch.put(strings.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "sizes")
-    several = strings.join(size.filter(F.col("c").between(2, CROWD)).select("core").hint("merge"), "core").sortWithinPartitions("core")
+    # Spark may split a join's hot partition by rows, so what it gives is written and then laid out by core.
+    several = scratch.put(strings.join(size.filter(F.col("c").between(2, CROWD)).select("core").hint("merge"), "core"), "several")
+    release(spark)
     crowded = strings.join(size.filter(F.col("c") > CROWD).select("core").hint("merge"), "core")
-    masks = scratch.put(_sort(several).union(_count_windows(crowded)), "masks")
+    masks = scratch.put(_sort(several.repartition("core").sortWithinPartitions("core")).union(_count_windows(crowded)), "masks")
+    scratch.drop("several")
     release(spark)
     # A string that stands in several intervals recurs at all its positions, whatever the sort says of it.
     every = F.expr(f"(shiftleft(1, length(left) + 1) - 1) & ~(shiftleft(1, greatest(0, {CELL - 1} - length(right))) - 1)")

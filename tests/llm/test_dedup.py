@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import collision, graph, repeats, superminhash, suffix
 from quire.llm.common import Scratch
@@ -175,6 +176,35 @@ def test_repeats_match_brute_force(spark, monkeypatch, crowd):
     assert got == Counter((i, *w) for (i, _), w in zip(rows, removed([t for _, t in rows], 200), strict=True))
 
 
+def test_repeats_when_hot_cores_split_a_join(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD", 40)
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "5000"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rng = random.Random(12)
+    hot = prose(rng, 60)[:230]
+    texts = [prose(rng, 3) + hot + prose(rng, 3) for _ in range(1500)]
+    for _ in range(120):
+        passage = prose(rng, 60)[:201]
+        texts += [prose(rng, 6) + passage + prose(rng, 6) for _ in range(2)]
+    rng.shuffle(texts)
+    sort, tasks = repeats._sort, []
+
+    def spy(strings):
+        tasks.extend(strings.withColumn("task", F.spark_partition_id()).select("core", "task").collect())
+        return sort(strings)
+
+    monkeypatch.setattr(repeats, "_sort", spy)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest(frame(spark, list(enumerate(texts)))).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({r.core for r in tasks}) == len(set(tasks)) > 100  # one task a core
+    assert got == dict(enumerate(removed(texts, 200)))
+
+
 def test_repeats_empty(spark):
     assert repeats.digest(frame(spark, [])).count() == 0
     assert repeats.intervals(next(repeats.tk.pieces(pa.array(["x"]))), 200)["row"].size == 0
