@@ -1,6 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every text is read whole, in lines, long lines in overlapping windows. A segment's
+Every text is read whole, in lines and, for each template, in all runs of as many words
+as the template has, across lines too, so a notice counts wherever it stands. A segment's
 TF-IDF vector is compared with those of the templates; document frequencies of the
 templates' words are counted over all texts, and words of no template weigh as much as
 a word seen in no text. A file is licensed by its best segment at LIMIT or above. If that
@@ -28,7 +29,6 @@ from quire.llm.common import Scratch, broadcast_if_small
 
 LIMIT = 0.6
 HALF = 0.5
-WINDOW, STRIDE = 64, 32
 MAX_BROADCAST_DIRS = 200_000
 
 #: Public notices by SPDX name.
@@ -63,6 +63,7 @@ class Templates:
     def __init__(self, templates: list[tuple[str, str]]):
         own = _hashes([t for _, t in templates])
         self.names = [n for n, _ in templates]
+        self.sizes = [len(h) for h in own]
         self.vocabulary = np.unique(np.concatenate(own))
         self.counts = np.stack([np.bincount(np.searchsorted(self.vocabulary, h), minlength=len(self.vocabulary)) for h in own], axis=1).astype(float)
 
@@ -95,16 +96,34 @@ def frequencies(texts: DataFrame, t: Templates) -> tuple[np.ndarray, int]:
     return np.array([found.get(k, 0) for k in range(len(t.vocabulary))]), found.get(-1, 0)
 
 
-def _segments(piece: tk.Piece, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Word ranges [first, last): lines, and windows of long lines."""
+def _lines(piece: tk.Piece, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges [first, last) of lines."""
     breaks = np.concatenate((np.flatnonzero(piece.raw == 10), piece.at[:-1]))
     cut = np.unique(np.concatenate((np.searchsorted(w.start, breaks), [len(w.hash)])))
-    first, last = cut[:-1], cut[1:]
-    short = last - first <= WINDOW
-    long_first, long_last = first[~short], last[~short]
-    n = (long_last - long_first - WINDOW + STRIDE - 1) // STRIDE + 1
-    starts = np.repeat(long_first, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
-    return np.concatenate((first[short], starts)), np.concatenate((last[short], np.minimum(starts + WINDOW, np.repeat(long_last, n))))
+    return cut[:-1], cut[1:]
+
+
+def _likely(piece: tk.Piece, w: tk.Words, t: Templates, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges whose bound reaches ``limit``: lines, and runs as long as the template they are like."""
+    at, known = t.find(w.hash)
+    square = np.concatenate(([0], np.cumsum(np.where(known, t.idf[at], t.unseen) ** 2)))
+    row = np.repeat(np.arange(len(piece)), w.counts)
+    first, last = _lines(piece, w)
+    least = limit * np.sqrt(square[last] - square[first]) - 1e-9
+    whole = np.zeros(len(first), bool)
+    begins, sizes, floors = [], [], {}
+    for k, size in enumerate(t.sizes):
+        dot = np.concatenate(([0], np.cumsum(np.where(known, t.table[at, k], 0))))
+        whole |= dot[last] - dot[first] >= least
+        if len(row) >= size:
+            if size not in floors:
+                floors[size] = limit * np.sqrt(square[size:] - square[:-size]) - 1e-9
+            s = np.flatnonzero(dot[size:] - dot[:-size] >= floors[size])
+            begins.append(s[row[s] == row[s + size - 1]])
+            sizes.append(np.full(len(begins[-1]), size))
+    begin = np.concatenate((first[whole], *begins))
+    spans = np.unique(np.stack((begin, np.concatenate((last[whole], *(b + n for b, n in zip(begins, sizes, strict=True))))), axis=1), axis=0)
+    return spans[:, 0], spans[:, 1]
 
 
 def best_segments(piece: tk.Piece, t: Templates, limit: float) -> list[tuple[str | None, float | None, float | None]]:
@@ -113,25 +132,18 @@ def best_segments(piece: tk.Piece, t: Templates, limit: float) -> list[tuple[str
     w = tk.words(piece, tk.ALNUM)
     if not len(w.hash):
         return out
-    first, last = _segments(piece, w)
-    at, known = t.find(w.hash)
-    square = np.concatenate(([0], np.cumsum(np.where(known, t.idf[at], t.unseen) ** 2)))
-    least = np.sqrt(square[last] - square[first])
-    likely = np.zeros(len(first), bool)
-    for k in range(t.table.shape[1]):
-        dot = np.concatenate(([0], np.cumsum(np.where(known, t.table[at, k], 0))))
-        likely |= dot[last] - dot[first] >= limit * least - 1e-9
+    first, last = _likely(piece, w, t, limit)
     rows = tk.row_of(w.at, first)
-    for s in np.flatnonzero(likely).tolist():
+    for s, r in enumerate(rows.tolist()):
         h = w.hash[first[s] : last[s]]
         value, count = np.unique(h, return_counts=True)
         place, ok = t.find(value)
         norm = np.sqrt((count**2 * np.where(ok, t.idf[place], t.unseen) ** 2).sum())
         cosine = (t.table[place[ok]] * count[ok][:, None]).sum(axis=0) / norm
         k = min(range(len(cosine)), key=lambda k: (-round(cosine[k], 12), t.names[k]))
-        r = int(rows[s])
-        if cosine[k] >= limit and (out[r][1] is None or (-cosine[k], t.names[k]) < (-out[r][1], out[r][0])):
-            out[r] = (t.names[k], float(min(1.0, cosine[k])), len(h) / int(w.counts[r]))
+        share = len(h) / int(w.counts[r])
+        if cosine[k] >= limit and (out[r][1] is None or (-round(cosine[k], 12), t.names[k], -share) < (-round(out[r][1], 12), out[r][0], -out[r][2])):
+            out[r] = (t.names[k], float(min(1.0, cosine[k])), share)
     return out
 
 

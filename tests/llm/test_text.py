@@ -212,6 +212,21 @@ def test_licenses(spark):
     assert licenses.scan(frame.limit(0), F.col("p")).count() == 0
 
 
+def licensed(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, p string, text string")
+    return {r.id: (r.license, r.origin, r.from_dir) for r in licenses.scan(frame, F.col("p")).collect()}
+
+
+def test_licenses_within_lines(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    rows = [(k, f"{k}/file", f"{words(rng.randrange(20, 300))} {text} {words(rng.randrange(20, 300))}") for k, (_, text) in enumerate(licenses.TEMPLATES)]
+    rows += [(100, "w/file", words(40) + "\n# Licensed under the Apache\n# License, Version 2.0.\n" + words(40)), (101, "n/file", words(500)), (102, "x/file", "word " * 500 + "Licensed under the Apache License, Version 2.0")]
+    got = licensed(spark, rows)
+    assert {k: got[k][0] for k in range(len(licenses.TEMPLATES))} == {k: name for k, (name, _) in enumerate(licenses.TEMPLATES)}
+    assert got[100][0] == got[102][0] == "Apache-2.0" and got[101] == (None, "none", None)
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "who?"), (1, 3, None, "who?"), (2, 0, "system", "alone"), (None, None, "eve", "x"), (3, 200, "ann", "late"), (3, 1, "ann", "early")]
     rows += [(4, 7, "ann" if k % 2 else "bob", f"t{k}") for k in range(1000)]
