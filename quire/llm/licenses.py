@@ -4,10 +4,12 @@ Every text is read whole, in lines and, for each template, in all runs of as man
 as the template has, across lines too, so a notice counts wherever it stands. A segment's
 TF-IDF vector is compared with those of the templates; document frequencies of the
 templates' words are counted over all texts, and words of no template weigh as much as
-a word seen in no text. A file is licensed by its best segment at LIMIT or above. If that
-segment makes up HALF of the file's words it is a licence file and licenses its
-directory; a file without a licence of its own inherits from the nearest ancestor directory
-that has one. Directories meet their ancestors in equi-joins on paths, one row per level.
+a word seen in no text. A file is licensed by its best segment at LIMIT or above. If it is
+named as licence files are, or if the segments at LIMIT or above that speak for its licence
+hold HALF of its words together, it is a licence file and licenses its directory; a file
+without a licence of its own inherits from the nearest ancestor directory that has one.
+Directories meet their ancestors in equi-joins on paths, one row per level; the root, whose
+path is empty, is an ancestor of all.
 
 Exact pruning: the norm of a segment is at least the root of its summed squared weights,
 which bounds its cosine from above; only segments whose bound reaches LIMIT are scored.
@@ -29,25 +31,32 @@ from quire.llm.common import Scratch, broadcast_if_small
 
 LIMIT = 0.6
 HALF = 0.5
+#: Base names of licence files: LICENSE, COPYING.LESSER, MIT-LICENSE.txt, LICENSE-2.0.md, UNLICENSE, but no source files.
+NAMED = r"(?i)^([a-z0-9.]+[-_])?((un)?licen[cs]es?|copying)([-_][a-z0-9+-]*(\.[0-9]+)*)?(\.(txt|md|rst|html?|lesser|lib|apache|mit|gpl|lgpl|bsd|mpl))?$"
 MAX_BROADCAST_DIRS = 200_000
 
 #: Public notices by SPDX name.
 TEMPLATES = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights under CC0."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("Proprietary", "Copyright. All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
@@ -127,23 +136,28 @@ def _likely(piece: tk.Piece, w: tk.Words, t: Templates, limit: float) -> tuple[n
 
 
 def best_segments(piece: tk.Piece, t: Templates, limit: float) -> list[tuple[str | None, float | None, float | None]]:
-    """Licence, cosine and share of words of each row's best segment at ``limit`` or above."""
+    """Licence and cosine of each row's best segment at ``limit`` or above, and the share of words in all for that licence."""
     out: list[tuple[str | None, float | None, float | None]] = [(None, None, None)] * len(piece)
     w = tk.words(piece, tk.ALNUM)
     if not len(w.hash):
         return out
     first, last = _likely(piece, w, t, limit)
-    rows = tk.row_of(w.at, first)
-    for s, r in enumerate(rows.tolist()):
-        h = w.hash[first[s] : last[s]]
-        value, count = np.unique(h, return_counts=True)
+    found: dict[int, list[tuple[float, str, int, int]]] = {}
+    for s, r in enumerate(tk.row_of(w.at, first).tolist()):
+        value, count = np.unique(w.hash[first[s] : last[s]], return_counts=True)
         place, ok = t.find(value)
         norm = np.sqrt((count**2 * np.where(ok, t.idf[place], t.unseen) ** 2).sum())
         cosine = (t.table[place[ok]] * count[ok][:, None]).sum(axis=0) / norm
         k = min(range(len(cosine)), key=lambda k: (-round(cosine[k], 12), t.names[k]))
-        share = len(h) / int(w.counts[r])
-        if cosine[k] >= limit and (out[r][1] is None or (-round(cosine[k], 12), t.names[k], -share) < (-round(out[r][1], 12), out[r][0], -out[r][2])):
-            out[r] = (t.names[k], float(min(1.0, cosine[k])), share)
+        if cosine[k] >= limit:
+            found.setdefault(r, []).append((-round(float(cosine[k]), 12), t.names[k], int(first[s]), int(last[s])))
+    for r, matches in found.items():
+        score, name, _, _ = min(matches)
+        held = np.zeros(int(w.counts[r]), bool)
+        for _, _, a, b in sorted((m for m in matches if m[1] == name), key=lambda m: (m[0], m[2] - m[3], m[2])):
+            if not held[a - w.at[r] : b - w.at[r]].any():  # a run shifted from a better one adds words that are none of the notice
+                held[a - w.at[r] : b - w.at[r]] = True
+        out[r] = (name, min(1.0, -score), float(held.mean()))
     return out
 
 
@@ -165,9 +179,9 @@ def scan(files: DataFrame, path: Column, *, templates: list[tuple[str, str]] = T
                 first += len(piece)
 
     own = scratch.put(files.select(F.col(id_col).cast("long").alias("id"), path.cast("string").alias("path"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, path string, license string, score double, share double").withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)), "own")
-    licensed = own.filter((F.col("share") >= HALF) & (F.col("dir") != "")).groupBy(F.col("dir").alias("at")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")).select("at", F.col("best.license").alias("license"))
-    dirs = own.filter("license is null and dir != ''").select("dir").distinct()
-    steps = dirs.select("dir", F.split("dir", "/").alias("p")).select("dir", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("depth"), "p").select("dir", "depth", F.array_join(F.slice("p", F.lit(1), F.col("depth")), "/").alias("at"))
+    licensed = own.filter("dir is not null").filter((F.col("share") >= HALF) | (F.col("license").isNotNull() & F.regexp_extract("path", "([^/]*)$", 1).rlike(NAMED))).groupBy(F.col("dir").alias("at")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")).select("at", F.col("best.license").alias("license"))
+    dirs = own.filter("license is null and dir is not null").select("dir").distinct()
+    steps = dirs.select("dir", F.split("dir", "/").alias("p")).select("dir", F.explode(F.sequence(F.lit(0), F.size("p"))).alias("depth"), "p").select("dir", "depth", F.array_join(F.slice("p", F.lit(1), F.col("depth")), "/").alias("at"))
     nearest = scratch.put(steps.join(licensed, "at").groupBy("dir").agg(F.max(F.struct("depth", "at", "license")).alias("n")).select("dir", F.col("n.at").alias("from_dir"), F.col("n.license").alias("inherited")), "nearest")
     joined = own.join(broadcast_if_small(nearest, MAX_BROADCAST_DIRS), "dir", "left")
     takes = F.col("license").isNull() & F.col("inherited").isNotNull()

@@ -227,6 +227,42 @@ def test_licenses_within_lines(spark):
     assert got[100][0] == got[102][0] == "Apache-2.0" and got[101] == (None, "none", None)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_license_files(spark):
+    code = " ".join(f"c{k}" for k in range(200))
+    gpl = f"GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n{code}"
+    notice = "Licensed under the Apache License, Version 2.0.\n"
+    rows = [
+        (1, "m/LICENSE.txt", MIT_TEXT), (2, "m/src/a.py", code), (3, "g/COPYING", gpl), (4, "g/a.c", code), (5, "n/NOTICE", notice + "one two three four\n" + notice + "five six seven eight"), (6, "n/a", code),
+        (7, "s/license.py", notice + code), (8, "s/license_utils.py", notice + code), (9, "s/a", code), (10, None, "free"), (11, "t/LICENSE", code), (12, "t/a", code),
+    ]
+    got = licensed(spark, rows)
+    assert got[1] == ("MIT", "own", None) and got[2] == ("MIT", "inherited", "m")
+    assert got[3] == ("GPL-3.0", "own", None) and got[4] == ("GPL-3.0", "inherited", "g")
+    assert got[6] == ("Apache-2.0", "inherited", "n")
+    assert got[7] == ("Apache-2.0", "own", None) and got[9] == got[10] == got[11] == got[12] == (None, "none", None)
+    for root in ("LICENSE", "/LICENSE"):
+        low = root[: -len("LICENSE")]
+        got = licensed(spark, [(1, root, "Released under the MIT License."), (2, low + "b/c/file", code), (3, low + "file", None), (4, low + "b/COPYING", gpl), (5, low + "b/file", ""), (6, None, "free")])
+        assert got[2] == got[5] == ("GPL-3.0", "inherited", low + "b") and got[3] == ("MIT", "inherited", "") and got[6] == (None, "none", None)
+        assert licensed(spark, [(1, root, MIT_TEXT), (2, low + "b/c/file", code)])[2] == ("MIT", "inherited", "")
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "who?"), (1, 3, None, "who?"), (2, 0, "system", "alone"), (None, None, "eve", "x"), (3, 200, "ann", "late"), (3, 1, "ann", "early")]
     rows += [(4, 7, "ann" if k % 2 else "bob", f"t{k}") for k in range(1000)]
