@@ -40,10 +40,10 @@ TEMPLATES = [
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all rights under CC0."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
@@ -60,6 +60,13 @@ TEMPLATES = [
     ("Proprietary", "Copyright. All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+TEMPLATES += [(f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {v} 4.0 International License.") for k, v in _CC.items()]
+TEMPLATES += [(f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in _CC]
+#: Tags name a licence by one word among words that all tags share, so they must match whole.
+TAG = "SPDX-License-Identifier:"
+WHOLE = 0.999
+TEMPLATES += [(k, f"{TAG} {k}") for k in sorted({k for k, _ in TEMPLATES} - {"Proprietary"})]
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -73,6 +80,7 @@ class Templates:
         own = _hashes([t for _, t in templates])
         self.names = [n for n, _ in templates]
         self.sizes = [len(h) for h in own]
+        self.whole = np.array([text.startswith(TAG) for _, text in templates])
         self.vocabulary = np.unique(np.concatenate(own))
         self.counts = np.stack([np.bincount(np.searchsorted(self.vocabulary, h), minlength=len(self.vocabulary)) for h in own], axis=1).astype(float)
 
@@ -82,6 +90,9 @@ class Templates:
         vectors = self.counts * self.idf[:, None]
         self.table = vectors / np.sqrt((vectors**2).sum(axis=0)) * self.idf[:, None]  # times a term's count gives its share of the dot product
 
+    def limits(self, limit: float) -> np.ndarray:
+        return np.where(self.whole, max(limit, WHOLE), limit)
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         return at, self.vocabulary[at] == h
@@ -118,16 +129,16 @@ def _likely(piece: tk.Piece, w: tk.Words, t: Templates, limit: float) -> tuple[n
     square = np.concatenate(([0], np.cumsum(np.where(known, t.idf[at], t.unseen) ** 2)))
     row = np.repeat(np.arange(len(piece)), w.counts)
     first, last = _lines(piece, w)
-    least = limit * np.sqrt(square[last] - square[first]) - 1e-9
+    least, limits = np.sqrt(square[last] - square[first]), t.limits(limit)
     whole = np.zeros(len(first), bool)
     begins, sizes, floors = [], [], {}
     for k, size in enumerate(t.sizes):
         dot = np.concatenate(([0], np.cumsum(np.where(known, t.table[at, k], 0))))
-        whole |= dot[last] - dot[first] >= least
+        whole |= dot[last] - dot[first] >= limits[k] * least - 1e-9
         if len(row) >= size:
             if size not in floors:
-                floors[size] = limit * np.sqrt(square[size:] - square[:-size]) - 1e-9
-            s = np.flatnonzero(dot[size:] - dot[:-size] >= floors[size])
+                floors[size] = np.sqrt(square[size:] - square[:-size])
+            s = np.flatnonzero(dot[size:] - dot[:-size] >= limits[k] * floors[size] - 1e-9)
             begins.append(s[row[s] == row[s + size - 1]])
             sizes.append(np.full(len(begins[-1]), size))
     begin = np.concatenate((first[whole], *begins))
@@ -142,14 +153,15 @@ def best_segments(piece: tk.Piece, t: Templates, limit: float) -> list[tuple[str
     if not len(w.hash):
         return out
     first, last = _likely(piece, w, t, limit)
+    limits = t.limits(limit)
     found: dict[int, list[tuple[float, str, int, int]]] = {}
     for s, r in enumerate(tk.row_of(w.at, first).tolist()):
         value, count = np.unique(w.hash[first[s] : last[s]], return_counts=True)
         place, ok = t.find(value)
         norm = np.sqrt((count**2 * np.where(ok, t.idf[place], t.unseen) ** 2).sum())
         cosine = (t.table[place[ok]] * count[ok][:, None]).sum(axis=0) / norm
-        k = min(range(len(cosine)), key=lambda k: (-round(cosine[k], 12), t.names[k]))
-        if cosine[k] >= limit:
+        k = min(np.flatnonzero(cosine >= limits).tolist(), key=lambda k: (-round(cosine[k], 12), t.names[k]), default=None)
+        if k is not None:
             found.setdefault(r, []).append((-round(float(cosine[k]), 12), t.names[k], int(first[s]), int(last[s])))
     for r, matches in found.items():
         score, name, _, _ = min(matches)

@@ -227,6 +227,22 @@ def test_licenses_within_lines(spark):
     assert got[100][0] == got[102][0] == "Apache-2.0" and got[101] == (None, "none", None)
 
 
+FORMS = {
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+    "Licensed under the BSD 2-Clause License.": "BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "SPDX-License-Identifier: CC-BY-NC-4.0": "CC-BY-NC-4.0",
+    "SPDX-License-Identifier: Zlib": None, "Copyright (c) 2020 John Smith. All rights reserved.": "Proprietary",
+}
+
+
+def test_license_forms(spark):
+    rows = [(k, f"{k}/file", f"some words of code\n{text}\nand other words after it") for k, text in enumerate(FORMS)]
+    rows += [(100 + k, f"x{k}/file", "plain words of a text") for k in range(50)]
+    got = licensed(spark, rows)
+    assert {text: got[k][0] for k, text in enumerate(FORMS)} == FORMS
+
+
 MIT_TEXT = """MIT License
 
 Copyright (c) 2020 A. Person
