@@ -19,11 +19,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a folder of our own is made and recorded there.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of
+    our own is made and recorded there, but only if all of Spark runs on this machine:
+    elsewhere executors would write to disks that no one else reads, so it is an error.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -31,12 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2000
+BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of texts small: rows are a few KB, and two workers share an executor's memory."""
+    """Bounds Arrow batches by rows and by bytes: two workers share an executor's memory, and texts may be very long.
+
+    Plans read these settings when they run, which is after the operator returns, so they
+    stay set in the session; smaller bounds that are set already are kept.
+    """
     if int(spark.conf.get(BATCH_KEY)) > BATCH_ROWS:
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(BYTES_KEY, str(1 << 30)).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(BYTES_KEY, str(BATCH_BYTES))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -8,14 +8,18 @@ holds less than the next rank, no later offer can win and a set is done.
 
 The operator: (1) documents with equal shingle sets form one class; (2) class
 representatives get a signature and 32 bands of 4 registers, which miss a pair at
-similarity 0.8 with probability 5e-8; (3) representatives that meet in bands, directly
-or through others, form candidate groups; (4) inside a group all sets are compared
-exactly, in blocks of bounded size, and every link that joins two parts is kept;
-(5) links give the components.
-
-Copies cost nothing after step 1. A candidate group is never gathered whole: its
-members are dealt to blocks in order of set size, pairs of blocks whose sizes cannot
-reach the threshold are skipped, and each task holds two blocks.
+similarity 0.8 with probability 5e-8; (3) representatives that meet in a band are
+compared by their signatures, one byte a register, and those that agree in at least
+72 of 128 places are linked as candidates (a pair at 0.8 falls short of that with
+probability 1e-10, a pair at 0.4 reaches it with 1e-4), so groups of candidates do not
+grow together through bands that unlike texts share by chance; (4) inside a group of
+candidates all sets are compared exactly, in blocks of bounded size; (5) exact links give
+the components.
+
+Copies cost nothing after step 1. Buckets and groups are never gathered whole: their
+members are dealt to blocks and each task holds two. Blocks of step 4 are cut by set size and
+bounded in documents and in shingles; pairs of blocks whose sizes cannot reach the
+threshold are skipped. Shingles are told apart by 64-bit hashes of mixed words.
 
 Defined results: null and empty texts, and texts without words, have an empty set, are
 linked with nothing and are kept. Rows that repeat an id are one document as to
@@ -34,14 +38,21 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm import meetings
 from quire.llm import textkit as tk
 from quire.llm.common import Scratch, free_name
 from quire.llm.graph import components
 
 REGISTERS = 128
 BANDS = 32
-#: Shingles in a block; a task holds one or two blocks.
-BLOCK_ELEMENTS = 1 << 18
+#: Places in which the signatures of candidates agree: 6.7 deviations below what a pair at 0.8 has.
+AGREE = 72
+#: Documents of a bucket, and shingles of a group, in a block; a task holds one or two blocks.
+BUCKET_BLOCK, BLOCK_ELEMENTS = 1024, 1 << 18
+#: Shingles that a document counts for at least, so a block of a group has 2,048 documents at most.
+LEAST_ELEMENTS = 128
+#: Shingles held by more documents of a task are counted by a matrix product, others pair by pair.
+OFTEN, COLUMNS = 8, 1024
 U64 = np.uint64
 _STEP = tk.LANE[0]
 #: Elements whose permutations are held at once; memory is this times REGISTERS bytes.
@@ -105,6 +116,11 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return tk.mix(h + np.arange(bands, dtype=np.uint64) * tk.LANE[40])
 
 
+def short_signatures(sig: np.ndarray) -> np.ndarray:
+    """A byte for each register; registers that differ agree by chance once in 256 times."""
+    return (tk.mix(np.ascontiguousarray(sig).view(np.uint64)) >> U64(56)).astype(np.uint8)
+
+
 def shingle_sets(piece: tk.Piece, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each row; a row of fewer words has its whole sequence as one."""
     w = tk.words(piece, tk.SPACED)
@@ -129,7 +145,7 @@ def _set_key(elements: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``id, n_shingles, set_key, bands`` of every row of ``docs`` (id, text)."""
+    """``id, n_shingles, set_key, bands, signature`` (a byte a register) of every row of ``docs`` (id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -137,12 +153,14 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
             for piece in tk.pieces(batch.column(1)):
                 h, at = shingle_sets(piece, size)
                 keys = [_set_key(h[a:b]) if b > a else None for a, b in itertools.pairwise(at.tolist())]
-                bands = band_keys(signatures(h, at)).reshape(-1).view(np.int64)
+                sig = signatures(h, at)
+                bands = band_keys(sig).reshape(-1).view(np.int64)
+                short = pa.Array.from_buffers(pa.binary(REGISTERS), len(sig), [None, pa.py_buffer(short_signatures(sig).tobytes())]).cast(pa.binary())
                 ends = pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(piece)), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands))], ["id", "n_shingles", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(piece)), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands)), short], ["id", "n_shingles", "set_key", "bands", "signature"])
                 first += len(piece)
 
-    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>, signature binary")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -174,66 +192,79 @@ def _members(found: DataFrame, size: int) -> DataFrame:
     return found.select("id", "packed", "tasks").mapInArrow(run, "rep long, tasks array<struct<task:string,side:int>>, set_key binary, elements array<long>")
 
 
-def _compare(sets: list[np.ndarray], reps: np.ndarray, split: int, threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links among sets (split 0), or between those before and those from ``split``, that join two parts.
+def _candidates(rows: DataFrame) -> DataFrame:
+    """``a, b``: members of one bucket whose signatures agree, as stars. ``rows``: rep, homes, signature."""
 
-    Similar pairs are found by exact intersection sizes; of those, a spanning forest is returned.
-    """
-    size = np.array([len(s) for s in sets])
-    n = len(sets)
-    flat, row = np.concatenate(sets), np.repeat(np.arange(n), size)
-    values, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[inverse] > 1
-    column = (np.cumsum(count > 1) - 1)[inverse[shared]]
-    row = row[shared]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    width = int(column[-1]) + 1 if len(column) else 0
-    left, right = (slice(0, n), slice(0, n)) if not split else (slice(0, split), slice(split, n))
-    common = np.zeros((n if not split else split, n if not split else n - split), np.float64)
-    for a in range(0, width, 2048):
-        lo, hi = np.searchsorted(column, (a, a + 2048))
-        dense = np.zeros((n, min(2048, width - a)), np.float32)
-        dense[row[lo:hi], column[lo:hi] - a] = 1
-        common += dense[left] @ dense[right].T
-    union = size[left][:, None] + size[right][None, :] - common
-    i, j = np.nonzero(common * threshold[1] >= union * threshold[0])
-    if split:
-        j = j + split
-    else:
-        i, j = i[i < j], j[i < j]
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links = []
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[p] = q
-            links.append((int(reps[x]), int(reps[y])))
-    return links
+    def run(batches):
+        for table in meetings.chunks(batches):
+            rep = table.column("rep").to_numpy()
+            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            for i, j in meetings.pairs(table):
+                alike = (sig[i] == sig[j]).sum(axis=1) >= AGREE
+                x, y = meetings.stars(i[alike], j[alike])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[x], pa.int64()), pa.array(rep[y], pa.int64())], ["a", "b"])
+
+    return meetings.deal(rows, BUCKET_BLOCK).select("rep", "signature", *meetings.TASK, "side").mapInArrow(run, "a long, b long")
+
+
+def _shared(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many elements each two of the sets have in common."""
+    n = len(size)
+    row = np.repeat(np.arange(n), size)
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(inverse, kind="stable")
+    row, times = row[order], count[inverse[order]]
+    common = np.zeros((n, n), np.int32)
+    # Shingles of many sets: columns of a 0/1 matrix.
+    often = times > OFTEN
+    if often.any():
+        column = np.cumsum(np.concatenate(([0], np.diff(inverse[order][often]) != 0)))
+        own = row[often]
+        for a in range(0, int(column[-1]) + 1, COLUMNS):
+            lo, hi = np.searchsorted(column, (a, a + COLUMNS))
+            dense = np.zeros((n, COLUMNS), np.float32)
+            dense[own[lo:hi], column[lo:hi] - a] = 1
+            common += (dense @ dense.T).astype(np.int32)
+    # Shingles of few: each with those after it.
+    for c in range(2, OFTEN + 1):
+        own = row[times == c].reshape(-1, c)
+        for x in range(c):
+            for y in range(x + 1, c):
+                np.add.at(common, (own[:, x], own[:, y]), 1)
+                np.add.at(common, (own[:, y], own[:, x]), 1)
+    return common
+
+
+def _compare(flat: np.ndarray, size: np.ndarray, split: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links among sets (split 0), or between those before and those from ``split``, as stars over the sets' numbers."""
+    n = len(size)
+    common = _shared(flat, size)
+    rows, columns = (n, np.arange(n)) if not split else (split, np.arange(split, n))
+    found = []
+    for a in range(0, rows, 256):
+        b = min(a + 256, rows)
+        here = common[a:b, columns[0] :].astype(np.int64)
+        union = size[a:b, None] + size[None, columns] - here
+        i, j = np.nonzero(here * threshold[1] >= union * threshold[0])
+        i, j = i + a, columns[j]
+        found.append(np.stack((i[i < j], j[i < j])))
+    i, j = np.concatenate(found, axis=1)
+    return meetings.stars(i, j)
 
 
 def _links(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Spanning links inside candidate groups. ``members``: task (one or two blocks), side, rep, elements."""
+    """Links inside candidate groups, as stars. ``members``: task (one or two blocks), side, rep, elements."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("rep", "ascending")])
         reps = table.column("rep").to_numpy()
         side = table.column("side").to_numpy()
         lists = table.column("elements").combine_chunks()
-        at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-        flat = lists.flatten().to_numpy()
-        sets = [flat[a:b] for a, b in itertools.pairwise(at.tolist())]
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         split = int(np.searchsorted(side, 1)) if side[0] == 0 else 0
         whole = side[0] == 2 and len(reps) > 1
-        found = _compare(sets, reps, split, threshold) if whole or 0 < split < len(reps) else []
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        x, y = _compare(lists.flatten().to_numpy(), size, split, threshold) if whole or 0 < split < len(reps) else (np.zeros(0, int),) * 2
+        return pa.table({"a": pa.array(reps[x], pa.int64()), "b": pa.array(reps[y], pa.int64())})
 
     return members.groupBy("task").applyInArrow(run, "a long, b long")
 
@@ -242,12 +273,12 @@ def _deal(groups: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """``rep, tasks``: the tasks, of one block or of two whose set sizes allow links, that compare a member.
 
     ``groups`` has group, rep and n. Blocks hold about BLOCK_ELEMENTS shingles in order of
-    set size. They are cut by a histogram over set sizes, so a large group is never
+    set size, a document counting for LEAST_ELEMENTS at least. They are cut by a histogram over set sizes, so a large group is never
     sorted in one task; members of one size are dealt to its blocks by hash.
     """
     bins = groups.groupBy("group", "n").agg(F.count(F.lit(1)).alias("c"))
     running = Window.partitionBy("group").orderBy("n")
-    mass = F.col("c") * F.col("n")
+    mass = F.col("c") * F.greatest(F.col("n"), F.lit(LEAST_ELEMENTS))
     bins = bins.withColumn("before", F.sum(mass).over(running) - mass)
     bins = bins.select("group", "n", F.floor(F.col("before") / BLOCK_ELEMENTS).alias("first"), F.greatest(F.lit(1), F.ceil(mass / BLOCK_ELEMENTS)).alias("spans"))
     placed = groups.join(bins, ["group", "n"]).select("group", "rep", "n", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("spans"))).alias("block"))
@@ -270,11 +301,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int
     narrow = sketches.select("id", "n_shingles", "set_key")
     known = sketches.filter("set_key is not null and id is not null")
     # Equal sets form a class; only the row with its least id goes on.
-    classes = scratch.put(known.groupBy("set_key").agg(F.min_by(F.struct("id", "n_shingles", "bands"), "id").alias("r")).select("set_key", "r.*"), "classes")
-    keys = classes.select(F.col("id").alias("rep"), F.posexplode("bands").alias("band", "key")).select("rep", "key")
-    least = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    stars = keys.join(least, "key").filter("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(stars, scratch, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("component", "group")
+    classes = scratch.put(known.groupBy("set_key").agg(F.min_by(F.struct("id", "n_shingles", "bands", "signature"), "id").alias("r")).select("set_key", "r.*"), "classes")
+    keys = classes.select(F.col("id").alias("rep"), F.posexplode("bands").alias("place", "key"))
+    met = meetings.homes(keys, scratch).join(classes.select(F.col("id").alias("rep"), "signature").hint("merge"), "rep")
+    alike = scratch.put(_candidates(met), "alike")
+    groups = components(alike, scratch, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("component", "group")
     groups = scratch.put(groups.join(classes.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n")), "rep"), "groups")
     tasks = scratch.put(_deal(groups, threshold), "tasks")
     # A merge join at every size: a table of tasks that is small here would be broadcast, one that grows could not.

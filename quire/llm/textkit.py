@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE_BYTES = 1 << 19
 U64 = np.uint64
@@ -105,19 +106,54 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
 
 
 def prefix_hash(raw: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
-    """Prefix sums of a polynomial hash; ``span_hash`` takes any span from them."""
+    """Prefix sums of a polynomial hash; ``span_hash`` takes any span from them.
+
+    Only for spans of fewer than SPAN_LIMIT bytes: modulo 2**64, longer ones can be built to collide.
+    """
     up, _ = POWERS.get(len(raw) + 1)
     out = np.zeros(len(raw) + 1, U64)
     np.cumsum(BYTE_HASH[fold[raw]] * up[:-1], out=out[1:])
     return out
 
 
+#: BASE - 1 has two factors of 2, so words over two letters built to collide (Thue-Morse words) have 512 bytes at least.
+SPAN_LIMIT = 512
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the spans ``[start, end)``, equal for equal bytes wherever they stand."""
     _, down = POWERS.get(len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
+#: Longer spans are hashed one by one.
+CHUNKED = 512
+
+
+def chunk_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = LOWER) -> np.ndarray:
+    """Hashes of spans of any length, eight bytes a step; every step mixes, so no structure of the bytes survives.
+
+    Spans are not empty.
+    """
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[:-8] = fold[raw]
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    left = (end - start).astype(np.int64)
+    out = mix(left.astype(np.uint64) * LANE[50])
+    for k in np.flatnonzero(left > CHUNKED).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(padded[start[k] : end[k]].tobytes())
+        left[k] = 0
+    live = np.flatnonzero(left)
+    at, left = start[live], left[live]
+    while len(live):
+        keep = (U64(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - U64(1)
+        keep[left >= 8] = ~U64(0)
+        out[live] = mix(out[live] * LANE[51] ^ (eights[at] & keep))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
 @dataclass
 class Words:
     """Word spans of a piece, their hashes, and ``at``: the first word of each row."""
@@ -145,7 +181,7 @@ def words(piece: Piece, kind: np.ndarray) -> Words:
     lasts = at[1:][at[:-1] < at[1:]] - 1
     right[lasts] = inside[lasts]
     start, end = np.flatnonzero(left), np.flatnonzero(right) + 1
-    h = span_hash(prefix_hash(raw), start, end) if len(start) else np.zeros(0, U64)
+    h = chunk_hash(raw, start, end) if len(start) else np.zeros(0, U64)
     return Words(start, end, h, np.searchsorted(start, at))
 
 

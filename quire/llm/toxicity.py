@@ -55,10 +55,9 @@ def features(piece: tk.Piece) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(piece)), w.counts)
     hashes, rows = [tk.mix(w.hash)], [row]
     if n:
-        prefix = tk.prefix_hash(piece.raw)
         for size in STEMS:
             long = np.flatnonzero(w.end - w.start >= size)
-            hashes.append(tk.mix(tk.span_hash(prefix, w.start[long], w.start[long] + size) * tk.LANE[20 + size]))
+            hashes.append(tk.mix(tk.chunk_hash(piece.raw, w.start[long], w.start[long] + size) * tk.LANE[20 + size]))
             rows.append(row[long])
     for gap, lane in PAIRS:
         if n > gap:

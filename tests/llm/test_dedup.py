@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import collision, graph, repeats, superminhash, suffix
+from quire.llm import collision, graph, meetings, repeats, superminhash, suffix
 from quire.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, elements string, id string"
@@ -58,7 +59,10 @@ def shingles(text, k):
 
 
 def test_superminhash_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(superminhash, "BLOCK_ELEMENTS", 700)  # several blocks a group
+    monkeypatch.setattr(superminhash, "BLOCK_ELEMENTS", 2000)  # several blocks a group
+    monkeypatch.setattr(superminhash, "BUCKET_BLOCK", 7)  # and a bucket
+    monkeypatch.setattr(meetings, "PAIRS", 50)
+    monkeypatch.setattr(meetings, "CHUNK_ROWS", 20)
     rows = near_copies()
     got = {r.doc_id: r for r in superminhash.digest(frame(spark, rows)).collect()}
     sets = {i: shingles(t, 4) for i, t in rows}
@@ -73,6 +77,44 @@ def test_superminhash_matches_brute_force(spark, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_words_built_to_collide_are_told_apart(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    got = superminhash.digest(frame(spark, [(1, word), (2, other), (3, word.upper()), (4, "x" * 600), (5, "x" * 601)])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_pairs_of_many_small_documents_are_compared_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 62, 17, dtype=np.int64)
+    sets = []
+    for k in range(2 * superminhash.BLOCK_ELEMENTS // superminhash.LEAST_ELEMENTS):
+        own, at = base.copy(), int(rng.integers(0, 14))
+        own[at : at + 4] = rng.integers(0, 1 << 62, 4)[: len(own[at : at + 4])]
+        sets.append(np.unique(own))
+    size = np.array([len(s) for s in sets])
+    tracemalloc.start()
+    common = superminhash._shared(np.concatenate(sets), size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+    for a, b in rng.integers(0, len(sets), (300, 2)).tolist():
+        assert common[a, b] == len(np.intersect1d(sets[a], sets[b])) or a == b
+
+
+def test_unlike_texts_that_share_a_band_are_no_candidates():
+    rng = np.random.default_rng(4)
+    for share, low, high in ((0.8, 1, 1), (0.2, 0, 0)):
+        both = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        own = int(400 * (1 / share - 1) / 2)
+        pairs = [np.concatenate((both, rng.integers(0, 1 << 63, own, dtype=np.uint64))) for _ in range(60)]
+        sig = superminhash.short_signatures(superminhash.signatures(np.concatenate(pairs), np.cumsum([0] + [len(p) for p in pairs])))
+        met = ((sig[::2] == sig[1::2]).sum(axis=1) >= superminhash.AGREE).mean()
+        assert low <= met <= high
+
+
 def test_superminhash_cases(spark):
     assert superminhash.digest(frame(spark, [])).count() == 0
     got = superminhash.digest(frame(spark, [(None, "a b c d e"), (1, "a b c d e"), (1, "q r s t u"), (2, "q r s t u"), (2, "q r s t u")])).collect()
