@@ -150,7 +150,9 @@ def test_components(spark):
 
 
 def test_collisions_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(collision, "BLOCK", 40)
+    monkeypatch.setattr(collision, "BLOCK", 9)
+    monkeypatch.setattr(meetings, "PAIRS", 100)
+    monkeypatch.setattr(meetings, "CHUNK_ROWS", 50)
     rng = np.random.default_rng(2)
     rows = []
     for label in (1, 2, None):
@@ -178,6 +180,29 @@ def test_collision_count_is_calibrated():
     assert collision.digest.__doc__
 
 
+def test_collision_extremes_and_repeats(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1e308, 1.7e308], 1), (4, [5e-324, 1e-323], 1), (5, [1e200, 2e200], 1), (5, [1e200, 2e200], 1), (6, [-1.0, -2.0], 1), (None, [1.0, 2.0], 1), (7, [0.0, 0.0], 1), (8, [1.0, 2.0], 2)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in collision.digest(spark.createDataFrame([(*r, "x", 1.0) for r in rows], "vec_id long, embedding array<double>, label int, line string, rep double")).collect())
+    assert got == [(0, 0, 0, True), (1, 5, 1, True), (2, 5, 1, False), (3, 5, 1, False), (4, 5, 1, False), (5, 5, 1, False), (5, 5, 1, False), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True)]
+
+
+def test_collision_meetings_find_pairs_and_grow_slowly():
+    rng = np.random.default_rng(6)
+    n, t = 4000, 0.98
+    each, groups = collision.plan(n, t)
+    x = rng.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    other = rng.standard_normal((n, 32))
+    other -= (other * x).sum(axis=1)[:, None] * x
+    near = t * x + math.sqrt(1 - t * t) * other / np.linalg.norm(other, axis=1)[:, None]
+    size = np.full(n, 32)
+    a, b = (collision.places(v, size, each, groups, t) for v in (x, near))
+    assert (a == b).any(axis=1).all()  # every pair at the threshold meets
+    met = sum(int((c * (c - 1) // 2).sum()) for g in range(groups) for c in [np.unique(a[:, g], return_counts=True)[1]])
+    assert met / groups < n * collision.COMPANIONS  # unlike vectors hardly do
+    assert collision.plan(10**9, t)[1] < 12 * groups
+
+
 def test_collision_empty(spark):
     assert collision.digest(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
