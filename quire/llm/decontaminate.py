@@ -5,6 +5,12 @@ characters. A window is ``size`` consecutive item words, or the whole item if it
 has fewer words but not none. Training texts are scanned window by window;
 every hash hit is verified on the words themselves.
 
+What is broadcast is bounded whatever the benchmark's size: items go by slices of at most
+MAX_SLICE_ITEMS and about MAX_SLICE_BYTES, items of more than PART_WORDS words in parts that
+share ``size - 1`` words with the next. A benchmark of one slice takes one pass over the
+texts. Of a larger one, each slice is broadcast alone, its hits are written by the text's
+hash, and it is freed before the next; the hits of all slices are then joined to the texts.
+
 Defined results: a null or empty text has no words and no hits; a null item text
 has no windows; items without an id mark words as hit but are not listed;
 repeated rows are scored one by one; a repeated item_id is one item; extra columns
@@ -15,7 +21,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,37 +28,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
-from quire.llm.common import free_name, own_columns, small_batches, with_text_result, without
+from quire.llm.common import Scratch, free_name, own_columns, small_batches, with_text_result, without
 
 RESULT = "struct<n_words:long,n_hit:long,n_full:long,item_ids:array<string>,spans:array<struct<start:int,end:int>>>"
+#: A word, before A-Z are lower case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bounds of what is broadcast; larger benchmarks are scanned in slices of this size.
 MAX_SLICE_ITEMS = 50_000
-MAX_SLICE_BYTES = 64 << 20
+MAX_SLICE_BYTES = 8 << 20
+PART_WORDS = 100_000
+#: Items of fewer words are found, but nothing is cut out for them: ordinary text holds them by chance.
+SPECIFIC = 5
 
 
 class WindowIndex:
-    """Windows of benchmark items by length: sorted hashes, the words, the items of each."""
+    """Windows of benchmark items by length: sorted hashes, where the words of each stand, and its items."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item_id, text in items:
-            piece = next(tk.pieces(pa.array([text or ""], pa.string()), 1))
-            w = tk.words(piece, tk.ALNUM)
-            low = tk.LOWER[piece.raw].tobytes()
-            spelled = [low[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-            n = min(size, len(spelled))
-            for i in range(len(spelled) - n + 1 if n else 0):
-                owners[tuple(spelled[i : i + n])] |= {item_id} - {None}
         self.size = size
-        self.lengths: dict[int, tuple[np.ndarray, list[bytes], list[list[str]]]] = {}
-        by_length = defaultdict(list)
-        for spelled, ids in owners.items():
-            by_length[len(spelled)].append((b" ".join(spelled), sorted(ids)))
-        for n, found in by_length.items():
-            texts = pa.array([x[0] for x in found], pa.binary())
-            hashes = np.concatenate([tk.windows(tk.words(p, tk.ALNUM), n)[0] for p in tk.pieces(texts)])
-            order = np.argsort(hashes, kind="stable")
-            self.lengths[n] = hashes[order], [found[i][0] for i in order], [found[i][1] for i in order]
+        self.ids = [i for i, _ in items]
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        raws, starts, ends, hashes, words, length = [], [], [], [], 0, 0
+        for piece in tk.pieces(pa.array([t for _, t in items], pa.large_string()), 1 << 20):
+            w = tk.words(piece, tk.ALNUM)
+            for n in np.unique(np.minimum(w.counts, size)).tolist():
+                if n:
+                    h, begin = tk.windows(w, n)
+                    row = tk.row_of(w.at, begin)
+                    whole = np.minimum(w.counts, size)[row] == n
+                    parts[n].append((h[whole], begin[whole] + words, row[whole] + piece.first))
+            raws.append(tk.LOWER[piece.raw].tobytes())
+            starts.append(w.start + length)
+            ends.append(w.end + length)
+            hashes.append(w.hash)
+            words, length = words + len(w.hash), length + len(piece.raw)
+        self.raw = b"".join(raws)
+        self.start, self.end = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends))
+        each = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, found in parts.items():
+            h, begin, item = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, begin, item = h[order], begin[order], item[order]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = h[1:] != h[:-1]
+            for k in range(n):  # unlike windows that share a hash stay apart
+                fresh[1:] |= each[begin[1:] + k] != each[begin[:-1] + k]
+            first = np.flatnonzero(fresh)
+            self.lengths[n] = h[first], begin[first], np.append(first, len(h)), item
+
+    def spelled(self, begin: int, n: int) -> bytes:
+        return b" ".join(self.raw[a:b] for a, b in zip(self.start[begin : begin + n].tolist(), self.end[begin : begin + n].tolist(), strict=True))
 
 
 def _scan(piece: tk.Piece, index: WindowIndex) -> Iterator[tuple[int, int, int, list[str], list[dict]]]:
@@ -62,7 +87,7 @@ def _scan(piece: tk.Piece, index: WindowIndex) -> Iterator[tuple[int, int, int,
     full = np.zeros(len(piece), np.int64)
     ids: dict[int, set[str]] = defaultdict(set)
     low = None
-    for n, (hashes, spelled, owners) in index.lengths.items():
+    for n, (hashes, first, cut, owners) in index.lengths.items():
         h, begin = tk.windows(w, n)
         at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
         maybe = np.flatnonzero(hashes[at] == h)
@@ -73,13 +98,13 @@ def _scan(piece: tk.Piece, index: WindowIndex) -> Iterator[tuple[int, int, int,
         for k, row in zip(maybe.tolist(), rows.tolist(), strict=True):
             b, j = int(begin[k]), int(at[k])
             text = b" ".join(low[s:e] for s, e in zip(w.start[b : b + n].tolist(), w.end[b : b + n].tolist(), strict=True))
-            while j < len(hashes) and hashes[j] == h[k] and spelled[j] != text:  # several windows may share a hash
+            while j < len(hashes) and hashes[j] == h[k]:  # several windows may share a hash
+                if index.spelled(int(first[j]), n) == text:
+                    cover[b] += 1
+                    cover[b + n] -= 1
+                    full[row] += n == index.size
+                    ids[row].update(index.ids[i] for i in owners[cut[j] : cut[j + 1]].tolist())
                 j += 1
-            if j < len(hashes) and hashes[j] == h[k]:
-                cover[b] += 1
-                cover[b + n] -= 1
-                full[row] += n == index.size
-                ids[row].update(owners[j])
     hit = np.cumsum(cover)[:-1] > 0
     for row in range(len(piece)):
         a, b = int(w.at[row]), int(w.at[row + 1])
@@ -88,49 +113,70 @@ def _scan(piece: tk.Piece, index: WindowIndex) -> Iterator[tuple[int, int, int,
         if own.any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
             spans = [{"start": int(w.start[a + s] - piece.at[row]), "end": int(w.end[a + e - 1] - piece.at[row])} for s, e in zip(edge[::2], edge[1::2], strict=True)]
-        yield b - a, int(own.sum()), int(full[row]), sorted(ids.get(row, ())), spans
-
-
-def slices(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The benchmark in slices whose row count and bytes are bounded, read one at a time."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    n, size, longest = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    parts = max(1, -(-n // MAX_SLICE_ITEMS), -(-size // max(1, MAX_SLICE_BYTES - longest)))
+        yield b - a, int(own.sum()), int(full[row]), sorted(ids.get(row, set()) - {None}), spans
+
+
+def _parts(items: DataFrame, size: int) -> DataFrame:
+    """``item, text`` with long items as several rows whose windows are those of the whole."""
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                pieces = [text]
+                if text and len(text) > PART_WORDS:
+                    piece = next(tk.pieces(pa.array([text], pa.large_string())))
+                    w = tk.words(piece, tk.ALNUM)
+                    ends = np.append(w.end, len(piece.raw))
+                    begins = range(0, max(1, len(w.hash) - size + 1), PART_WORDS)
+                    pieces = [piece.raw[w.start[a] : ends[min(a + PART_WORDS + size - 1, len(w.hash)) - 1]].tobytes().decode() if len(w.hash) else "" for a in begins]
+                ids += [item] * len(pieces)
+                rows += pieces
+            for k in range(0, len(rows), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 16], pa.string()), pa.array(rows[k : k + 16], pa.string())], ["item", "text"])
+
+    return items.mapInArrow(run, "item string, text string")
+
+
+def slices(benchmark: DataFrame, item_col: str, text_col: str, size: int, scratch: Scratch) -> tuple[int, Iterator[list[tuple[str | None, str | None]]]]:
+    """How many slices the benchmark has, and they, read one at a time; rows and bytes of each are bounded."""
+    items = _parts(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")), size)
+    items = scratch.put(items, "items")
+    n, weight = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // MAX_SLICE_ITEMS), -(-weight // MAX_SLICE_BYTES))
     if parts == 1:
-        yield [tuple(r) for r in items.collect()]
-        return
+        return 1, iter([[tuple(r) for r in items.collect()]])
     parts *= 2  # hashing deals slices unevenly
     keyed = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
-    for k in range(parts):
-        yield [tuple(r)[:2] for r in keyed.filter(F.col("part") == k).collect()]
+    return parts, ([tuple(r)[:2] for r in keyed.filter(F.col("part") == k).collect()] for k in range(parts))
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", result: str = "hits") -> DataFrame:
     """``docs`` with a struct column ``result``: words, words hit, full-length windows
-    hit, items found, byte spans hit.
-
-    One pass over the texts while the benchmark fits one slice (50,000 items and 64 MB).
-    A larger benchmark is scanned slice by slice, each broadcast by itself and its hits
-    merged into those before, so no broadcast outgrows the bound.
-    """
+    hit, items found, byte spans hit."""
     spark = docs.sparkSession
-    small_batches(docs.sparkSession)
+    scratch = Scratch(spark, "decontaminate")
     docs = without(docs, result)
-    names = docs.columns
-    spans_col = free_name(docs, "_spans")
-    out = docs
-    for k, items in enumerate(slices(benchmark, item_col, item_text_col)):
+    parts, found = slices(benchmark, item_col, item_text_col, size, scratch)
+    if parts == 1:
+        return _annotate_once(docs, spark.sparkContext.broadcast(WindowIndex(next(found), size)), text_col, result)
+    key = F.sha2(F.col(text_col).cast("string"), 256)
+    kind = None
+    for k, items in enumerate(found):
         index = spark.sparkContext.broadcast(WindowIndex(items, size))
-        out = _annotate_once(out, index, text_col, result if k == 0 else free_name(out, f"{result}_{k}"))
-    extra = [c for c in out.columns if c not in {*names, result}]
-    if extra:
-        every = [result, *extra]
-        merged = _merge_spans(F.flatten(F.array(*[F.col(c).spans for c in every])))
-        ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(c).item_ids for c in every]))))
-        recount = _count_words(F.col(text_col), F.col(spans_col))
-        full = reduce(lambda a, b: a + b, [F.col(c).n_full for c in every])
-        out = out.withColumn(spans_col, merged).withColumn(result, F.struct(F.col(result).n_words.alias("n_words"), recount.alias("n_hit"), full.alias("n_full"), ids.alias("item_ids"), F.col(spans_col).alias("spans"))).select(*own_columns(docs), result)
-    return out
+        hits = _annotate_once(docs.select(F.col(text_col).cast("string").alias("text")), index, "text", "h").filter("h.n_hit > 0")
+        kind = scratch.put(hits.select(F.sha2("text", 256).alias("key"), "h.n_full", "h.item_ids", "h.spans").dropDuplicates(["key"]), f"hits/{k}").schema
+        index.destroy()
+    every = spark.read.schema(kind).parquet(f"{scratch.root}/hits/*")
+    merged = every.groupBy("key").agg(F.sum("n_full").alias("n_full"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), _merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"))
+    name = free_name(docs, "_merged")
+    merged = scratch.put(merged, "merged").select(F.col("key").alias(f"{name}_key"), F.struct("n_full", "item_ids", "spans").alias(name))
+    joined = docs.join(merged, key == F.col(f"{name}_key"), "left")
+    at, none = F.col(name), F.array()
+    spans = F.coalesce(at.spans, none.cast("array<struct<start:int,end:int>>"))
+    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    value = F.struct(words.alias("n_words"), _count_words(F.col(text_col), spans).alias("n_hit"), F.coalesce(at.n_full, F.lit(0)).cast("long").alias("n_full"), F.coalesce(at.item_ids, none.cast("array<string>")).alias("item_ids"), spans.alias("spans"))
+    return joined.select(*own_columns(docs), value.alias(result))
 
 
 def _annotate_once(docs: DataFrame, index, text_col: str, result: str) -> DataFrame:
@@ -158,9 +204,8 @@ def _merge_spans(spans):
 
 def _count_words(text, spans):
     """How many words lie in byte spans of ``text``."""
-    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     raw = F.encode(text, "UTF-8")
-    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + F.regexp_count(F.decode(F.substr(raw, x.start + 1, x.end - x.start), "UTF-8"), F.lit(pattern)))
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + F.regexp_count(F.decode(F.substr(raw, x.start + 1, x.end - x.start), "UTF-8"), F.lit(WORD)))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, *, size: int = 8, min_items: int = 2, id_col: str = "doc_id") -> DataFrame:
@@ -177,10 +222,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = 8) -> DataFrame:
     """``docs`` without its benchmark passages, in the same columns.
 
     A document that holds a window of ``size`` words goes whole; one that only holds
-    short items, which ordinary text may hold by chance, loses just those words.
+    shorter items loses just those words, and none for items of fewer than SPECIFIC words,
+    which ordinary text holds by chance.
     """
     name = free_name(docs, "hits")
-    hits = annotate(docs, benchmark, size=size, result=name)
+    specific = benchmark.filter(F.regexp_count(F.col("text"), F.lit(WORD)) >= min(size, SPECIFIC))
+    hits = annotate(docs, specific, size=size, result=name)
     spans = F.col(name).spans
     raw = F.encode(F.col("text"), "UTF-8")
     ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x.end))

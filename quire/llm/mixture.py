@@ -1,20 +1,25 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-Every source has a target number of words. Targets below or above what the source
-holds are met in two parts: certain whole copies of every document, then a sample of
-one more copy. The sample ranks documents by random odds over inclusion odds,
+Every source has a target number of words. It is met in two parts: certain whole copies
+of every document, then a sample of one more copy. The sample has unequal inclusion
+probabilities: they are proportional to the documents' words (the size measure that the
+targets count in), and documents whose probability would reach one are certain and leave
+the rest to the others, until the probabilities' words add up to what is left of the
+target. Documents are ranked by random odds over inclusion odds,
 ``q = (u / (1 - u)) / (p / (1 - p))`` with ``u`` a hash of the document's id and the
-seed, and takes them in that order up to the words that are left. Inclusion odds
-follow the documents' weights (``weight_col``; equal if there is none) times the
-share of the source's words that is wanted, so they differ between sources and documents.
+seed, and taken in that order until the words that are left are reached, so a sample's
+size in words is fixed, not random.
 
-No source is gathered in one task: words are first summed by source and by one of
-65,536 bands of ``q``; only the band in which the sample ends is ordered exactly.
+No source is gathered in one task: probabilities come from the histogram of a source's
+sizes; words are summed by source and by one of 65,536 bands of ``q``; only the band in
+which the sample ends is ordered exactly. Sources are ranked by range partitions, and
+their shares and caps meet over distinct ratios, so there may be very many of them.
 
 Defined results: a null or empty text has size 0; a null source is a source of its
-own, last in order; sources without words have target 0. Rows that agree in source,
-id and rank are taken or left together. Empty input gives an empty result. A null id
-hashes like any other value. Results are one struct; a column of its name is replaced.
+own, last in order; sources without words have target 0. If ids repeat or are null, rows
+are told apart by their place in the input instead of by id, so such an input should be
+a table that is read the same way twice. Documents of one rank go by id. Empty input
+gives an empty result. Results are one struct; a column of its name is replaced.
 """
 
 from __future__ import annotations
@@ -34,62 +39,72 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sources: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
+def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sources`` with ``rank``: the place of each in order of code points, null last, from 0."""
+    order = F.col("source").asc_nulls_last()
+    placed = scratch.put(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "placed")
+    # The id's upper bits are the partition, the lower 33 the place in it.
+    placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    firsts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))  # a row for each partition
+    return placed.join(firsts, "part").select("source", "source_size", (F.col("first") + F.col("place")).alias("rank"))
+
+
+def targets(sources: DataFrame, weights: list[float], share: float, most: float, scratch: Scratch) -> DataFrame:
     """``sources`` (source, source_size) with weight and target columns.
 
     Water filling in closed form: sources reach their cap in the order of cap over
-    weight, so one pass in that order finds the level at which shares and caps meet.
-    """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    rank = F.row_number().over(by_name) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    capped = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    order = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    total = F.sum("source_size").over(every) * share
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(from_here)
-    # The level holds from the first source that it leaves below its cap.
-    fits = F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.col("_level"))
-    ranked = capped.withColumn("_level", level).withColumn("_rank", F.row_number().over(order))
-    first = F.min(F.when(fits.isNotNull(), F.struct("_rank", "_level"))).over(every)
-    return ranked.withColumn("_first", first).select(
-        "source", "source_size", "weight",
-        F.when(F.col("_first").isNull() | (F.col("_rank") < F.col("_first._rank")), F.col("cap")).otherwise(F.col("_first._level") * F.col("weight")).alias("target"),
-    )
-
-
-def _unit(*columns: Column) -> Column:
-    """A uniform number strictly between 0 and 1 from a hash of the columns."""
-    return (F.shiftrightunsigned(F.xxhash64(*columns), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-
-
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight_col: str | None = None, result: str = "mix") -> DataFrame:
-    """``docs`` with a struct ``result``: size, source_size, target, copies.
-
-    ``most`` bounds a source's target and so the copies of a document, to its whole
-    number rounded up; ``weight_col`` (positive) scales a document's inclusion odds.
+    weight, so one pass over distinct ratios finds the level at which shares and caps meet.
     """
-    docs = without(docs, result)
-    plan_col, doc_col = free_name(docs, "_p"), free_name(docs, "_d")
-    scratch = Scratch(docs.sparkSession, "mix")
-    size = word_count(F.col(text_col))
-    u = _unit(F.lit(seed), F.col(id_col).cast("string"))
-    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    narrow = scratch.put(docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("string").alias("id"), size.alias("size"), u.alias("u"), w.alias("w")), "narrow")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    capped = _ranked(sources, scratch).withColumn("weight", weight).withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("weight"))
+    capped = scratch.put(capped, "capped")
+    ratios = capped.groupBy("ratio").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"), F.sum("source_size").alias("size"))
+    order = Window.orderBy("ratio")
+    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * share
+    level = (total - before) / F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # The level holds from the first ratio that it does not pass.
+    first = ratios.select("ratio", level.alias("level")).filter("level <= ratio").agg(F.min(F.struct("ratio", "level")).alias("f")).first().f
+    target = F.col("cap") if first is None else F.when(F.col("ratio") < F.lit(first.ratio), F.col("cap")).otherwise(F.lit(first.level) * F.col("weight"))
+    return capped.select("source", "source_size", "weight", target.alias("target"))
+
+
+def _unit(*parts: Column) -> Column:
+    """A uniform number strictly between 0 and 1: 52 bits of a hash of the parts."""
+    return (F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def _rank(size: Column, u: Column, per_word: Column, below: Column) -> Column:
+    """``q / (1 + q)``, which lies between 0 and 1: 0 for certain documents, 1 for those without words."""
+    p = F.when(F.coalesce(size > below, F.lit(True)), 1.0).otherwise(per_word * size)
+    return u * (1 - p) / (u * (1 - p) + p * (1 - u))
+
+
+def _odds(narrow: DataFrame, goal: DataFrame) -> DataFrame:
+    """``goal`` with the inclusion probability of a word, ``per_word``, and the largest size that is not certain, ``below``."""
+    sizes = narrow.groupBy("source", "size").agg(F.count(F.lit(1)).cast("double").alias("n")).filter("size > 0")
+    same = F.col("h.source").eqNullSafe(F.col("g.source"))
+    sizes = sizes.alias("h").join(broadcast_if_small(goal, MAX_BROADCAST_SOURCES).alias("g"), same).select("h.*", "left")
+    order = Window.partitionBy("source").orderBy(F.desc("size"))
+    certain = F.coalesce(F.sum(F.col("n") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    squares = F.sum(F.col("n") * F.col("size") * F.col("size")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    tried = sizes.select("source", "size", ((F.col("left") - certain) / squares).alias("per_word")).filter("per_word * size < 1")
+    found = tried.groupBy("source").agg(F.max(F.struct("size", "per_word")).alias("o"))
+    same = F.col("g.source").eqNullSafe(F.col("o.source"))
+    return goal.alias("g").join(found.alias("o"), same, "left").select("g.*", F.col("o.o.per_word").alias("per_word"), F.col("o.o.size").alias("below"))
+
+
+def _plan(narrow: DataFrame, weights: tuple[float, ...], share: float, most: float, scratch: Scratch) -> DataFrame:
+    """What to take of each source: whole copies, the odds of one more, and where the sample ends (band, cut)."""
     sources = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = scratch.put(targets(sources, list(weights), share, most).withColumn("whole", F.floor(ratio).cast("int")).withColumn("part", ratio - F.floor(ratio)), "goal")
-
-    def rank(frame: DataFrame) -> DataFrame:
-        """Adds v, the rank of a document, as q / (1 + q), which lies between 0 and 1."""
-        odds = F.col("part") / (1 - F.col("part")) * F.col("w")
-        return frame.withColumn("v", F.when(F.col("part") > 0, (F.col("u") / (1 - F.col("u"))) / ((F.col("u") / (1 - F.col("u"))) + odds)).otherwise(1.0))
-
+    goal = targets(sources, list(weights), share, most, scratch).withColumn("whole", F.floor(ratio).cast("int")).withColumn("part", ratio - F.floor(ratio))
+    goal = scratch.put(goal.withColumn("left", F.col("target") - F.col("whole") * F.col("source_size")), "goal")
+    goal = scratch.put(_odds(narrow, goal), "odds")
     same = F.col("n.source").eqNullSafe(F.col("g.source"))
-    small = broadcast_if_small(goal, MAX_BROADCAST_SOURCES).alias("g")
-    banded = rank(narrow.alias("n").join(small, same).select("n.source", "id", "size", "u", "w", "part", (F.col("target") - F.col("whole") * F.col("g.source_size")).alias("left"))).filter("part > 0").withColumn("band", F.floor(F.col("v") * BANDS).cast("int"))
+    ranked = narrow.alias("n").join(broadcast_if_small(goal, MAX_BROADCAST_SOURCES).alias("g"), same).filter("part > 0").select("n.source", "id", "size", "left", _rank(F.col("size"), F.col("u"), F.col("per_word"), F.col("below")).alias("v"))
+    banded = ranked.withColumn("band", F.floor(F.col("v") * BANDS).cast("int"))
     sums = banded.groupBy("source", "left", "band").agg(F.sum("size").alias("size"))
     running = Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = sums.withColumn("upto", F.sum("size").over(running)).filter(F.col("upto") >= F.col("left"))
@@ -100,25 +115,55 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     taken = ties.withColumn("upto", F.col("before") + F.sum("size").over(exact)).filter(F.col("upto") - F.col("size") / 2 <= F.col("left"))
     cut = taken.groupBy("source").agg(F.max(F.struct("v", "id")).alias("cut"))
     # Without a document in the last band, the sample ends with the band before it.
-    plan = scratch.put(
-        goal.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
-        .select("g.source", "g.source_size", "g.target", "g.whole", "g.part", F.col("e.band").alias("band"), F.col("c.cut").alias("cut")), "plan")
-    p = broadcast_if_small(plan, MAX_BROADCAST_SOURCES).select(F.struct("*").alias(plan_col))
-    base = docs.select(*own_columns(docs), F.struct(size.alias("size"), u.alias("u"), w.alias("w"), F.col(id_col).cast("string").alias("id")).alias(doc_col))
-    joined = base.join(p, F.col(source_col).cast("string").eqNullSafe(F.col(plan_col).source))
-    q = F.col(doc_col).u / (1 - F.col(doc_col).u)
-    v = F.when(F.col(plan_col).part > 0, q / (q + F.col(plan_col).part / (1 - F.col(plan_col).part) * F.col(doc_col).w)).otherwise(1.0)
+    joined = goal.alias("g").join(edge.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source")), "left").join(cut.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
+    return scratch.put(joined.select("g.*", F.col("e.band").alias("band"), F.col("c.cut").alias("cut")), "plan")
+
+
+def _copies(size: Column, u: Column, id_: Column, plan: Column) -> Column:
+    v = _rank(size, u, plan.per_word, plan.below)
     band = F.floor(v * BANDS).cast("int")
-    here = F.struct(v.alias("v"), F.col(doc_col).id.alias("id"))
-    more = (F.col(plan_col).part > 0) & F.coalesce((band < F.col(plan_col).band) | ((band == F.col(plan_col).band) & F.col(plan_col).cut.isNotNull() & (here <= F.col(plan_col).cut)), F.col(plan_col).band.isNull())
-    copies = F.col(plan_col).whole + more.cast("int")
-    return joined.select(*own_columns(docs), F.struct(F.col(doc_col).size.alias("size"), F.col(plan_col).source_size.alias("source_size"), F.col(plan_col).target.alias("target"), copies.alias("copies")).alias(result))
+    before = (band < plan.band) | ((band == plan.band) & plan.cut.isNotNull() & (F.struct(v.alias("v"), id_.alias("id")) <= plan.cut))
+    more = (plan.part > 0) & F.coalesce(before, plan.band.isNull())
+    return plan.whole + more.cast("int")
+
 
+def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> Column:
+    """A struct of what sampling needs of a row: source, id, size and u."""
+    name = F.col(id_col).cast("string")
+    repeats = docs.select(name.alias("id")).groupBy("id").count().filter("count > 1 or id is null").limit(1).count()
+    place = F.monotonically_increasing_id().cast("string") if repeats else F.lit("")
+    own = F.concat_ws("#", name, place) if repeats else name
+    return F.struct(F.col(source_col).cast("string").alias("source"), own.alias("id"), word_count(F.col(text_col)).alias("size"), _unit(F.lit(str(seed)), name, place).alias("u"))
 
-def digest(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The columns of the query's contract, one row per row of ``docs``."""
-    mixed = mix(docs.select(id_col, "source", "text"), id_col=id_col, **options)
-    return mixed.select(id_col, "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", result: str = "mix") -> DataFrame:
+    """``docs`` with a struct ``result``: size, source_size, target, copies.
+
+    ``most`` bounds a source's target and so the copies of a document, to its whole
+    number rounded up.
+    """
+    docs = without(docs, result)
+    plan_col, doc_col = free_name(docs, "_p"), free_name(docs, "_d")
+    scratch = Scratch(docs.sparkSession, "mix")
+    key = _keyed(docs, id_col, source_col, text_col, seed)
+    narrow = scratch.put(docs.select(key.alias("d")).select("d.*"), "narrow")
+    plan = _plan(narrow, weights, share, most, scratch)
+    p = broadcast_if_small(plan, MAX_BROADCAST_SOURCES).select(F.struct("*").alias(plan_col))
+    base = docs.select(*own_columns(docs), key.alias(doc_col))
+    joined = base.join(p, F.col(doc_col).source.eqNullSafe(F.col(plan_col).source))
+    d, at = F.col(doc_col), F.col(plan_col)
+    return joined.select(*own_columns(docs), F.struct(d.size.alias("size"), at.source_size.alias("source_size"), at.target.alias("target"), _copies(d.size, d.u, d.id, at).alias("copies")).alias(result))
+
+
+def digest(docs: DataFrame, *, id_col: str = "doc_id", seed: int = 17) -> DataFrame:
+    """The columns of the query's contract, one row per row of ``docs``; texts are read once."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    docs = docs.select(id_col, "source", "text")
+    narrow = scratch.put(docs.select(F.col(id_col).alias("own"), _keyed(docs, id_col, "source", "text", seed).alias("d")).select("own", "d.*"), "narrow")
+    plan = _plan(narrow, (5, 2, 1), 1.5, 2.0, scratch)
+    joined = narrow.alias("d").join(broadcast_if_small(plan, MAX_BROADCAST_SOURCES).select(F.struct("*").alias("p")), F.col("d.source").eqNullSafe(F.col("p.source")))
+    copies = _copies(F.col("d.size"), F.col("d.u"), F.col("d.id"), F.col("p"))
+    return joined.select(F.col("d.own").alias(id_col), F.col("d.size").alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), (copies * F.col("d.size")).alias("taken"))
 
 
 def materialise_mix(docs: DataFrame, **options) -> DataFrame:
@@ -127,3 +172,36 @@ def materialise_mix(docs: DataFrame, **options) -> DataFrame:
     mixed = mix(docs, **options, result=name)
     copies = F.col(name).copies
     return mixed.filter(copies > 0).select("*", F.explode(F.sequence(F.lit(1), copies)).alias(copy)).select(*own_columns(docs))
+
+
+#: The contract in plain SQL, for tables whose doc_id is unique and not null.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         (CAST(CAST('0x' || substr(md5('17/' || CAST(doc_id AS VARCHAR) || '/'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, source_size * 2 AS cap, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+r AS (SELECT cap / weight AS ratio, sum(cap) AS cap, CAST(sum(weight) AS DOUBLE) AS weight FROM w GROUP BY cap / weight),
+l AS (
+  SELECT ratio, ((SELECT sum(source_size) FROM s) * CAST(1.5 AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY ratio ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM r),
+f AS (SELECT ratio, level FROM l WHERE level <= ratio ORDER BY ratio LIMIT 1),
+t AS (SELECT w.source, w.source_size, CASE WHEN f.ratio IS NULL OR w.cap / w.weight < f.ratio THEN w.cap ELSE f.level * w.weight END AS target FROM w LEFT JOIN f ON true),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole, CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS part FROM t),
+h AS (SELECT source, size, CAST(count(*) AS DOUBLE) AS n FROM d WHERE size > 0 GROUP BY source, size),
+o AS (
+  SELECT h.source, size, (target - whole * source_size - coalesce(sum(n * size) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                         / sum(n * size * size) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS per_word
+  FROM h JOIN g ON g.source IS NOT DISTINCT FROM h.source),
+b AS (SELECT source, size AS below, per_word FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS i FROM o WHERE per_word * size < 1) WHERE i = 1),
+p AS (
+  SELECT d.*, g.source_size, g.target, g.whole, g.part, g.target - g.whole * g.source_size AS rest, CASE WHEN coalesce(d.size > b.below, true) THEN CAST(1 AS DOUBLE) ELSE b.per_word * d.size END AS p
+  FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN b ON b.source IS NOT DISTINCT FROM d.source),
+q AS (SELECT *, u * (1 - p) / (u * (1 - p) + p * (1 - u)) AS v FROM p),
+z AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST((whole + CASE WHEN part > 0 AND upto - CAST(size AS DOUBLE) / 2 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM z
+"""

@@ -60,4 +60,5 @@ ORACLES: dict[str, str] = {
     "op6_perspective_rotation": perspectives.ORACLE_SQL,
     "op7_superminhash_near_dedup": superminhash.ORACLE_SQL,
     "op8_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op9_source_mixture": mixture.ORACLE_SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

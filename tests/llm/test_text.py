@@ -46,7 +46,7 @@ def test_words_and_windows(texts):
 
 
 BENCH = [(1, "the quick brown fox jumps over the lazy dog again"), (2, "Seven words are not enough here, sorry"), (3, None), (4, "..."), (None, "an item without any id at all but words"), (1, "a second text of the very same item id here"), (15, "lone")]
-DOCS = [(0, None), (1, ""), (2, "x The QUICK brown, fox jumps over the lazy dog again y"), (3, "quick brown fox jumps over the lazy"), (4, "seven words are not enough here sorry"), (5, "an item without any id at all but words " * 3), (6, "a lone word; a second text of the very same item"), (6, "a lone word; a second text of the very same item"), (7, "fox " * 5000)]
+DOCS = [(0, None), (1, ""), (2, "x The QUICK brown, fox jumps over the lazy dog again y"), (3, "quick brown fox jumps over the lazy"), (4, "seven words are not enough here sorry"), (5, "an item without any id at all but words " * 3), (6, "a lone word; a second text of the very same item"), (6, "a lone word; a second text of the very same item"), (7, "fox " * 5000), (8, "so lone")]
 
 
 def docs(spark, rows):
@@ -80,14 +80,49 @@ def test_decontaminate(spark, monkeypatch, slice_items):
     got = Counter(tuple(r) for r in decontaminate.digest(docs(spark, DOCS), bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
     assert got == Counter(hits(DOCS, BENCH))
     left = {r.doc_id: r.text for r in decontaminate.clean(docs(spark, DOCS), bench).collect()}
-    assert set(left) == {0, 1, 3, 4, 7} and left[0] is None and left[3] == DOCS[3][1] and left[4] == ""
+    assert set(left) == {0, 1, 3, 4, 7, 8} and left[8] == "so lone" and left[0] is None and left[3] == DOCS[3][1] and left[4] == ""
     assert decontaminate.digest(docs(spark, DOCS), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.digest(docs(spark, []), bench).count() == 0
 
 
+def test_long_items_go_in_parts_and_one_slice_is_broadcast_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 20)
+    monkeypatch.setattr(decontaminate, "MAX_SLICE_BYTES", 400)
+    rng = random.Random(2)
+    item = " ".join(f"w{rng.randrange(60)}" for _ in range(300))
+    words = item.split()
+    bench = [(k, t) for k, t in enumerate([item, " ".join(words[100:140]), "Z" * 500, "Z" * 300 + " a b"])]
+    rows = [(k, " ".join(["x", *words[k : k + 8 + k % 5], "y"])) for k in range(0, 290, 7)] + [(1000, "z" * 500), (1001, item), (1002, None)]
+    live, most = set(), []
+    context = spark.sparkContext
+    real = type(context).broadcast
+
+    def broadcast(self, value):
+        out = real(self, value)
+        if isinstance(value, decontaminate.WindowIndex):
+            live.add(out)
+            most.append(len(live))
+            destroy = out.destroy
+            out.destroy = lambda *a: (live.discard(out), destroy(*a))
+        return out
+
+    monkeypatch.setattr(type(context), "broadcast", broadcast)
+    got = Counter(tuple(r) for r in decontaminate.digest(docs(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+    assert got == Counter(hits(rows, bench))
+    assert len(most) > 4 and max(most) == 1 and not live
+
+
+def test_a_benchmark_item_of_many_megabytes():
+    text = "word " * 1_000_000
+    index = decontaminate.WindowIndex([("a", text), ("b", "word " * 9)], 8)
+    assert [len(x[0]) for x in index.lengths.values()] == [1]
+    piece = next(tk.pieces(pa.array(["word " * 8])))
+    assert list(decontaminate._scan(piece, index))[0][3] == ["a", "b"]
+
+
 def test_mixture(spark):
     rng = random.Random(4)
-    rows = [(i, None if i == 3 else "w " * rng.randrange(0, 60), rng.choice(["b", "a", "a", "a", "c", "d", "e", None])) for i in range(3000)] + [(5, "w w", "b")] * 2
+    rows = [(i, None if i == 3 else "w " * rng.randrange(0, 60), rng.choice(["b", "a", "a", "a", "c", "d", "e", None])) for i in range(3000)]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, size int, id int")
     got = mixture.digest(frame).collect()
     size = Counter()
@@ -119,11 +154,28 @@ def test_mixture(spark):
     assert mixture.materialise_mix(frame).columns == frame.columns
 
 
-def test_mixture_prefers_weighted_documents(spark):
-    rows = [(i, "w", s, 10.0 if i % 2 else 0.1) for i in range(2000) for s in ("a", "b")]
-    out = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, w double"), weights=(1,), share=0.5, weight_col="w")
-    taken = dict(out.groupBy((F.col("doc_id") % 2).alias("k")).agg(F.sum("mix.copies")).collect())
-    assert taken[1] > 3 * taken[0] and sum(taken.values()) == pytest.approx(2000, abs=2)
+def test_mixture_with_repeated_and_null_ids(spark):
+    rows = [(None, "w " * 10, "a")] * 1000 + [(5, "w " * 10, "b")] * 1000 + [(k, "w " * 10, "c") for k in range(1000)]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, u int, v int")
+    for got in (mixture.digest(frame), mixture.digest(frame)):
+        for r in got.groupBy("source_size", "target").agg(F.sum("taken").alias("n"), F.count("*").alias("c")).collect():
+            assert abs(r.n - r.target * r.c // 1000) <= 15
+    for name, n in frame.join(mixture.mix(frame).groupBy("source").agg(F.sum("mix.copies").alias("n"), F.max("mix.target").alias("t")), "source").select("source", F.col("n") * 10 - F.col("t")).distinct().collect():
+        assert abs(n) <= 10, name
+
+
+def test_mixture_takes_documents_by_their_size(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice([1, 2, 4, 8]), "a") for i in range(8000)] + [(8000, "w " * 4000, "a"), (8001, "w " * 6000, "b")]
+    out = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=0.3)
+    by_size = {r.size: (r.n, r.c) for r in out.filter("source = 'a'").groupBy("mix.size").agg(F.sum("mix.copies").alias("n"), F.count("*").alias("c")).collect()}
+    target = out.filter("source = 'a'").first().mix.target
+    assert by_size[4000] == (1, 1)  # certain
+    squares = sum(s * s * c for s, (_, c) in by_size.items() if s < 4000)
+    for size, (n, c) in by_size.items():
+        if size < 4000:
+            assert n / c == pytest.approx((target - 4000) / squares * size, abs=0.05)
+    assert abs(sum(s * n for s, (n, _) in by_size.items()) - target) <= 8
 
 
 def test_feistel_is_a_permutation():
