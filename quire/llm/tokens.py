@@ -6,8 +6,10 @@ length; only the last sequence of a partition is padded, with the end token. The
 dense number of a sequence (partition, then place) goes through a keyed Feistel
 permutation, whose cycle-walking keeps it below the number of sequences: that is the
 sequence's global slot. Slots go in order to shards of a fixed number of sequences;
-each range partition holds whole shards, so slot ``s`` lies in shard ``s // per_shard``
-at byte ``(s % per_shard) * stride`` and a reader resumes at any slot by arithmetic.
+each range partition holds one or more whole shards (MAX_PARTITIONS partitions at most), so
+slot ``s`` lies in shard ``s // per_shard`` at byte ``(s % per_shard) * stride`` and a reader
+resumes at any slot by arithmetic. ``write`` writes the shards as files and returns what it
+read back of them; shards that are whole already are not written again.
 
 Defined results: null and empty texts write nothing; repeated rows are written as
 often as they stand; empty tables give no rows and no shards; other columns are not
@@ -42,6 +44,9 @@ LENGTH = 2048
 PER_SHARD = 4096
 KEY = 0x51A5_0F1E_57E1
 ROUNDS = 6
+#: Sequences that are compressed together until they are dealt to shards, and how hard zstd tries.
+GROUP, LEVEL = 16, 6
+MAX_PARTITIONS = 20_000
 _ENCODERS: dict[str, object] = {}
 
 
@@ -84,28 +89,36 @@ def feistel(index: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
 
 
 def _sequences(docs: DataFrame, vocabulary: bytes, length: int) -> DataFrame:
-    """``part, place, n_tokens, doc_ids, packed``: sequences in the order of each partition."""
+    """``part, place, n_tokens, doc_ids, packed``: runs of GROUP sequences in the order of each partition, from ``place`` on."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     names = ["part", "place", "n_tokens", "doc_ids", "packed"]
+    kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64())), pa.binary())
 
     def run(batches):
-        encode, pack = encoder(shared.value).encode_to_numpy, zstandard.ZstdCompressor(level=1).compress
+        encode, pack = encoder(shared.value).encode_to_numpy, zstandard.ZstdCompressor(level=LEVEL).compress
         part, place = TaskContext.get().partitionId(), 0
-        held, ids, size = [], [], 0
-        rows: list[tuple] = []
-
-        def close(n: int) -> None:
-            nonlocal held, ids, size, place
-            flat = np.concatenate(held)
-            body = np.full(length, END, np.uint16)
-            body[:n] = flat[:n]
-            rows.append((part, place, n, ids, pack(body.tobytes())))
-            held, ids, size, place = ([flat[n:]], ids[-1:], size - n, place + 1) if size > n else ([], [], 0, place + 1)
+        group = np.full((GROUP, length), END, np.uint16)
+        row, fill, sizes, ids, rows = 0, 0, [], [[]], []
+
+        def close() -> None:
+            """Ends the sequence, and the group if it is full."""
+            nonlocal row, fill, ids
+            sizes.append(fill)
+            row, fill = row + 1, 0
+            if row == GROUP:
+                finish()
+            else:
+                ids.append([])
+
+        def finish() -> None:
+            nonlocal group, row, sizes, ids, place
+            rows.append((part, place, sizes, ids[:row], pack(group[:row].tobytes())))
+            group[:] = END
+            place, row, sizes, ids = place + row, 0, [], [[]]
 
         def flush() -> pa.RecordBatch:
             nonlocal rows
             done, rows = rows, []
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], kind) for k, kind in enumerate(kinds)], names)
 
         for batch in batches:
@@ -113,19 +126,24 @@ def _sequences(docs: DataFrame, vocabulary: bytes, length: int) -> DataFrame:
                 text = text.as_py()
                 if not text:
                     continue
-                held.append(np.append(encode(text), END).astype(np.uint16))
-                ids.append(doc_id)
-                size += len(held[-1])
-                while size >= length:
-                    close(length)
-                if len(rows) >= 1024:
-                    yield flush()
-        if size:
-            close(size)
+                found, at = np.append(encode(text), END).astype(np.uint16), 0
+                while at < len(found):
+                    n = min(length - fill, len(found) - at)
+                    group[row, fill : fill + n] = found[at : at + n]
+                    ids[row].append(doc_id)
+                    fill, at = fill + n, at + n
+                    if fill == length:
+                        close()
+                        if len(rows) >= 64:
+                            yield flush()
+        if fill:
+            close()
+        if row:
+            finish()
         if rows:
             yield flush()
 
-    return docs.mapInArrow(run, "part int, place long, n_tokens int, doc_ids array<long>, packed binary")
+    return docs.mapInArrow(run, "part int, place long, n_tokens array<int>, doc_ids array<array<long>>, packed binary")
 
 
 def materialise(docs: DataFrame, *, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,17 +155,25 @@ def materialise(docs: DataFrame, *, vocabulary: str = VOCABULARY, length: int =
     scratch = Scratch(docs.sparkSession, "tokens")
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = scratch.put(_sequences(narrow, load_vocabulary(vocabulary), length), "sequences")
-    sizes = found.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = found.groupBy("part").agg(F.sum(F.size("n_tokens")).alias("n"))
     bases = scratch.put(sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), F.col("n").alias("here")), "bases")
     total = bases.agg(F.coalesce(F.sum("here"), F.lit(0))).first()[0]
     shards = max(1, -(-total // per_shard))
     stride = 2 * length
+    together = -(-shards // MAX_PARTITIONS)
 
     def place(batches):
+        open_, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=LEVEL).compress
         for batch in batches:
-            index = batch.column("index").to_numpy()
-            slot = feistel(index, total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * stride), *(batch.column(c) for c in ("n_tokens", "doc_ids", "packed"))], ["slot", "shard", "offset", "n_tokens", "doc_ids", "packed"])
+            for first in range(0, batch.num_rows, 64):
+                own = batch.slice(first, 64)
+                sizes, ids = own.column("n_tokens").to_pylist(), own.column("doc_ids").to_pylist()
+                index = np.concatenate([np.arange(a, a + len(n)) for a, n in zip(own.column("index").to_pylist(), sizes, strict=True)])
+                slot = feistel(index, total, key)
+                bodies = [pack(raw[k : k + stride]) for raw in map(open_, own.column("packed").to_pylist()) for k in range(0, len(raw), stride)]
+                kinds = (pa.int32(), pa.list_(pa.int64()), pa.binary())
+                flat = ([n for group in sizes for n in group], [x for group in ids for x in group], bodies)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * stride), *(pa.array(v, t) for v, t in zip(flat, kinds, strict=True))], ["slot", "shard", "offset", "n_tokens", "doc_ids", "packed"])
 
     def unpack(batches):
         open_ = zstandard.ZstdDecompressor().decompress
@@ -159,48 +185,69 @@ def materialise(docs: DataFrame, *, vocabulary: str = VOCABULARY, length: int =
 
     head = "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, "
     placed = found.join(broadcast_if_small(bases, 1_000_000), "part").select((F.col("base") + F.col("place")).alias("index"), "n_tokens", "doc_ids", "packed").mapInArrow(place, head + "packed binary")
-    ordered = placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    ordered = placed.repartitionById(-(-shards // together), F.floor(F.col("shard") / together).cast("int")).sortWithinPartitions("slot")
     return ordered.mapInArrow(unpack, head + "tokens binary")
 
 
 def write_shards(sequences: DataFrame, uri: str, *, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
-    """Writes shard files to the shared folder ``uri``; returns ``shard, sequences, sha256``.
+    """Writes shard files to the shared folder ``uri``; returns ``slot, shard, offset, n_tokens, doc_ids, tokens_sha256, shard_sha256``.
 
     A shard appears by renaming a finished file, so a task that is run again, or runs
-    twice, leaves one whole file. A shard whose sidecar matches is not written again.
+    twice, leaves one whole file. A shard whose file and sidecar match is not written again.
+    Hashes are of the bytes read back.
     """
+    kinds = {"slot": pa.int64(), "shard": pa.int32(), "offset": pa.int64(), "n_tokens": pa.int32(), "doc_ids": pa.list_(pa.int64()), "tokens_sha256": pa.string(), "shard_sha256": pa.string()}
+    stride = 2 * length
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
 
-        def write(shard: int, bodies: list[bytes]):
-            body = b"".join(bodies)
-            sha, name = hashlib.sha256(body).hexdigest(), f"{root}/shard-{shard:08d}"
-            if len(bodies) > per_shard or len(body) != 2 * length * len(bodies):
+        def read(path: str) -> bytes | None:
+            if fs.get_file_info(path).type != pafs.FileType.File:
+                return None
+            with fs.open_input_stream(path) as file:
+                return file.read()
+
+        def write(shard: int, body: bytes) -> bytes:
+            name, sha = f"{root}/shard-{shard:08d}", hashlib.sha256(body).hexdigest()
+            kept, note = read(f"{name}.bin"), read(f"{name}.json")
+            if kept == body and note is not None and json.loads(note)["sha256"] == sha:
+                return kept
+            attempt = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
+            for path, data in ((f"{name}.bin", body), (f"{name}.json", json.dumps({"shard": shard, "sequences": len(body) // stride, "sha256": sha}).encode())):
+                with fs.open_output_stream(attempt) as out:
+                    out.write(data)
+                fs.move(attempt, path)
+            return read(f"{name}.bin")
+
+        def finish(rows: list[dict]) -> pa.RecordBatch:
+            shard, offsets = rows[0]["shard"], [r["offset"] for r in rows]
+            if offsets != list(range(0, stride * len(rows), stride)) or len(rows) > per_shard or any(len(r["tokens"]) != stride for r in rows):
                 raise ValueError(f"shard {shard} does not have the stride")
-            kept = fs.get_file_info(f"{name}.json")
-            if kept.type == pafs.FileType.NotFound or json.loads(fs.open_input_stream(kept.path).read())["sha256"] != sha:
-                attempt = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
-                for path, data in ((f"{name}.bin", body), (f"{name}.json", json.dumps({"shard": shard, "sequences": len(bodies), "sha256": sha}).encode())):
-                    with fs.open_output_stream(attempt) as out:
-                        out.write(data)
-                    fs.move(attempt, path)
-            return shard, len(bodies), sha
-
-        done, current, bodies = [], None, []
+            body = write(shard, b"".join(r["tokens"] for r in rows))
+            sha = hashlib.sha256(body).hexdigest()
+            values = {k: [r[k] for r in rows] for k in ("slot", "shard", "offset", "n_tokens", "doc_ids")}
+            values |= {"tokens_sha256": [hashlib.sha256(body[a : a + stride]).hexdigest() for a in offsets], "shard_sha256": [sha] * len(rows)}
+            return pa.RecordBatch.from_arrays([pa.array(values[k], t) for k, t in kinds.items()], list(kinds))
+
+        rows: list[dict] = []
         for batch in batches:
-            for shard, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                if shard != current and bodies:
-                    done.append(write(current, bodies))
-                    bodies = []
-                current = shard
-                bodies.append(tokens)
-        if bodies:
-            done.append(write(current, bodies))
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))], ["shard", "sequences", "sha256"])
+            for row in batch.to_pylist():
+                if rows and rows[0]["shard"] != row["shard"]:
+                    yield finish(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield finish(rows)
+
+    return sequences.select("slot", "shard", "offset", "n_tokens", "doc_ids", "tokens").mapInArrow(run, "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, tokens_sha256 string, shard_sha256 string")
+
 
-    return sequences.select("shard", "tokens").mapInArrow(run, "shard int, sequences int, sha256 string")
+def write(docs: DataFrame, uri: str | None = None, *, length: int = LENGTH, per_shard: int = PER_SHARD, **options) -> DataFrame:
+    """Documents as shard files in ``uri`` (a folder of this session's scratch if None); a row for each sequence, as of ``write_shards``."""
+    uri = uri or f"{Scratch(docs.sparkSession, 'shards').root}/shards"
+    return write_shards(materialise(docs, length=length, per_shard=per_shard, **options), uri, length=length, per_shard=per_shard)
 
 
 def read_sequences(uri: str, first: int = 0, *, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
@@ -216,5 +263,5 @@ def read_sequences(uri: str, first: int = 0, *, length: int = LENGTH, per_shard:
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
-    """A row for each sequence, with the hash of its tokens in place of them."""
-    return materialise(docs, **options).select("slot", "shard", "offset", "n_tokens", "doc_ids", F.sha2("tokens", 256).alias("tokens_sha256"))
+    """Writes the shards; a row for each sequence, with the hashes of its tokens and of its shard."""
+    return write(docs, **options)

@@ -178,7 +178,23 @@ def test_mixture_takes_documents_by_their_size(spark):
     assert abs(sum(s * n for s, (n, _) in by_size.items()) - target) <= 8
 
 
+def plain_feistel(k, total):
+    """The permutation in whole numbers, one index at a time."""
+    half = max(1, ((total - 1).bit_length() + 1) // 2)
+    mix = lambda x: (y := ((z := ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) % 2**64) ^ z >> 27) * 0x94D049BB133111EB % 2**64) ^ y >> 31
+    while True:
+        left, right = k >> half, k % 2**half
+        for r in range(tokens.ROUNDS):
+            key = mix((tokens.KEY + (r + 1) * int(tk.LANE[r])) % 2**64)
+            left, right = right, left ^ mix((right + key) % 2**64) % 2**half
+        k = left << half | right
+        if k < total:
+            return k
+
+
 def test_feistel_is_a_permutation():
+    for n in (2, 77, 4097):
+        assert tokens.feistel(np.arange(n), n).tolist() == [plain_feistel(k, n) for k in range(n)]
     for n in (1, 2, 3, 5, 64, 1000, 4097):
         got = tokens.feistel(np.arange(n), n)
         assert sorted(got.tolist()) == list(range(n))
@@ -194,18 +210,27 @@ def test_tokens_round_trip(spark, tmp_path):
     assert [r.slot for r in got] == list(range(len(got)))
     assert all((r.shard, r.offset) == (r.slot // 16, r.slot % 16 * 128) and len(r.tokens) == 128 for r in got)
     uri = f"file://{tmp_path}/shards"
-    for _ in range(2):  # the second run finds its shards written
-        shards = tokens.write_shards(made, uri, length=64, per_shard=16).collect()
-    assert sum(s.sequences for s in shards) == len(got)
+    first = tokens.write_shards(made, uri, length=64, per_shard=16).orderBy("slot").collect()
+    files = sorted((tmp_path / "shards").glob("*.bin"))
+    before = {f: f.stat().st_mtime_ns for f in files}
+    files[1].unlink()
+    files[2].write_bytes(b"cut")
+    again = tokens.write_shards(made, uri, length=64, per_shard=16).orderBy("slot").collect()
+    assert again == first and [r.slot for r in first] == list(range(len(got)))
+    assert [f.stat().st_mtime_ns == before[f] for f in files] == [k not in (1, 2) for k in range(len(files))]  # only what was missing or broken is written
+    assert {r.shard_sha256 for r in first} == {hashlib.sha256(f.read_bytes()).hexdigest() for f in files}
+    assert [r.tokens_sha256 for r in first] == [hashlib.sha256(bytes(r.tokens)).hexdigest() for r in got]
     read = list(tokens.read_sequences(uri, 5, length=64, per_shard=16))
     assert [x.tobytes() for x in read] == [bytes(r.tokens) for r in got[5:]]
     decode = tokens.encoder(tokens.load_vocabulary(tokens.VOCABULARY)).decode
     place = {int(s): r for r in got for s in [r.slot]}
     parts = [r for r in tokens._sequences(frame.select(F.col("doc_id").alias("id"), "text"), tokens.load_vocabulary(tokens.VOCABULARY), 64).orderBy("part", "place").collect()]
-    assert len(parts) == len(place)
+    order = [bytes(body) for r in parts for body in np.frombuffer(tokens.zstandard.decompress(r.packed), np.uint16).reshape(-1, 64)]
+    assert len(order) == len(place)
+    assert all(bytes(place[plain_feistel(k, len(order))].tokens) == body for k, body in enumerate(order))
     words = Counter()
     for p in {r.part for r in parts}:
-        own = np.concatenate([np.frombuffer(tokens.zstandard.decompress(r.packed), np.uint16)[: r.n_tokens] for r in parts if r.part == p])
+        own = np.concatenate([np.frombuffer(tokens.zstandard.decompress(r.packed), np.uint16).reshape(-1, 64)[k, :n] for r in parts if r.part == p for k, n in enumerate(r.n_tokens)])
         for doc in np.split(own, np.flatnonzero(own == tokens.END) + 1)[:-1]:
             words[decode(doc[:-1].tolist())] += 1
     assert words == Counter(t for _, t in rows if t)
