@@ -1,7 +1,8 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
-``documents``. The last returns token sequences in training order. Every stage works
+``documents``. The last writes token sequences in training order and returns a row for each.
+Every stage works
 on all that its predecessor kept.
 """
 
@@ -36,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences with their global slots, in order of shards."""
-    return tokens.materialise(docs)
+    """Shards of token sequences, written to the shared folder; a row for each sequence, with its global slot."""
+    return tokens.write(docs)
 
 
 STAGES = [
