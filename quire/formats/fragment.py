@@ -44,7 +44,9 @@ class Fragment(Pdf):
 
     def __init__(self, data: bytes, start: int, end: int, limits: Limits = Limits(), allow_damaged: bool = False):
         self.data, self.limits, self.v = data[:end], limits, View(data[:end], "PDF")
-        self.rows, self.spans, self.values = {}, {}, {}
+        self.rows, self.spans, self.values, self.packs, self.repaired = {}, {}, {}, {}, []
+        #: How many stream lengths were mended.
+        self.lengths = 0
         self.damaged: dict[int, int] = {}
         at = _BLANK.match(self.data, start).end()
         while at < end:
@@ -88,6 +90,8 @@ class Fragment(Pdf):
             else:
                 raise self.v.malformed("stream length is invalid", at, object=number)
             closed = _ENDSTREAM.match(self.data, end)
+            if closed is None and isinstance(length, int):
+                closed = self._mended_length(at, number, length, stream.end())
             if closed is None:
                 raise self.v.malformed("stream length is invalid", at, object=number)
             end = closed.end()
@@ -102,6 +106,21 @@ class Fragment(Pdf):
             self.rows[number], self.spans[number] = ("plain", at, int(head[2])), (at, closed.end())
         return closed.end()
 
+    def _mended_length(self, at: int, number: int, length: int, start: int) -> re.Match | None:
+        """Writes the length that the first end of the stream behind its start gives, if it has as many digits; the end."""
+        closed = _CLOSED.search(self.data, start)
+        head = re.compile(rb"/Length[\0\t\n\x0c\r ]+(%d)(?!\d)" % length).search(self.data, at, start)
+        if closed is None or head is None or _HEAD.search(self.data, start, closed.start()):
+            return None
+        size = closed.start() - start
+        size -= 2 if self.data[closed.start() - 2 : closed.start()] == b"\r\n" else 1 if self.data[closed.start() - 1 : closed.start()] in (b"\r", b"\n") else 0
+        text = str(size).encode()
+        if size < 0 or len(text) != len(head[1]):
+            raise self.v.error("UnsupportedFormat", "stream length repair changes the width of an object", at, object=number)
+        self.data = self.data[: head.start(1)] + text + self.data[head.end(1) :]
+        self.lengths += 1
+        return _ENDSTREAM.match(self.data, start + size)
+
     def without(self, number: int, key: str) -> bytes:
         """The object's bytes without one entry of its dictionary."""
         start, end = self.spans[number]
@@ -182,15 +201,15 @@ def blank_damaged(body: Fragment, pages: list[int]) -> dict[int, bytes]:
         inner = {k: x for k, x in value.items() if k not in ("Parent", "Kids")} if isinstance(value, dict) else value
         for target in targets(inner):
             users[target].add(owner)
-    reached, todo = set(body.damaged), list(body.damaged)
+    reached, todo, listed = set(body.damaged), list(body.damaged), set(pages)
     while todo:
         node = todo.pop()
-        if node not in body.damaged and node in pages:
+        if node not in body.damaged and node in listed:
             continue
         for owner in users[node] - reached:
             reached.add(owner)
             todo.append(owner)
-    listed, blank = set(pages), {}
+    blank: dict[int, bytes] = {}
     above = {k: n for n, x in body.values.items() if isinstance(x, dict) and x.get("Type") == "Pages" for k in targets(x.get("Kids", []))}
     for node in sorted(reached - listed):
         value = body.values.pop(node, None)
@@ -258,7 +277,7 @@ def rebuild(data: bytes, limits: Limits = Limits(), *, include_bookmarks: bool =
 
     for number, (_, at, generation) in sorted(body.rows.items(), key=lambda r: r[1][1]):
         text = changed.get(number)
-        write(number, 0 if number in changed and number not in mended else generation, text if text is not None else data[slice(*body.spans[number])])
+        write(number, 0 if number in changed and number not in mended else generation, text if text is not None else body.data[slice(*body.spans[number])])
     for number, text in tree.supplied():
         write(number, 0, f"{number} 0 obj\n{text}\nendobj".encode())
     catalog = max(highest, tree.root, *places) + 1
@@ -277,4 +296,4 @@ def rebuild(data: bytes, limits: Limits = Limits(), *, include_bookmarks: bool =
         raise v.malformed("page tree does not hold the listed pages in order", offsets[0])
     bookmarks = found["bookmarks"] if include_bookmarks else []
     whole = append_outline(bytes(out), bookmarks, limits)
-    return {"pdf": whole, "page_count": len(pages), "bookmark_count": len(bookmarks), "repaired_links": len(mended), "omitted_pages": omitted}
+    return {"pdf": whole, "page_count": len(pages), "bookmark_count": len(bookmarks), "repaired_links": len(mended), "repaired_objects": body.lengths, "omitted_pages": omitted}

@@ -5,6 +5,7 @@ A strict reader: what it cannot follow is an error with its byte, never a guess.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,6 +27,24 @@ class Ref:
     generation: int
 
 
+def _natural(value, most: int = 1 << 40) -> bool:
+    """Whether a value is a whole number from 0 to ``most``; true and false are none."""
+    return isinstance(value, int) and not isinstance(value, bool) and 0 <= value <= most
+
+
+def guarded(read):
+    """What a reader of damaged bytes may trip over as a located error: malformed input is never a failure of the program."""
+
+    @functools.wraps(read)
+    def call(self, *args, **kwargs):
+        try:
+            return read(self, *args, **kwargs)
+        except (AttributeError, IndexError, KeyError, OverflowError, RecursionError, TypeError, ValueError) as error:
+            raise self.v.malformed(f"PDF structure is malformed ({type(error).__name__})", None) from error
+
+    return call
+
+
 class Name(str):
     """A PDF name, to tell it from a string."""
 
@@ -37,8 +56,12 @@ class Pdf:
     data: bytes
     limits: Limits = field(default_factory=Limits)
 
+    @guarded
     def __post_init__(self):
         self.v = View(self.data, "PDF")
+        self.packs: dict[int, tuple[bytes, list[int], int]] = {}
+        #: Where repairs were made while reading, and which.
+        self.repaired: list[tuple[int, str]] = []
         if not self.data.startswith(b"%PDF-"):
             raise self.v.malformed("PDF header is missing", 0)
         at = self.data.rfind(b"startxref", max(0, len(self.data) - TAIL))
@@ -48,7 +71,7 @@ class Pdf:
         self.end = at + tail.end()
         self.rows: dict[int, tuple[str, int, int]] = {}
         self.trailer: dict = {}
-        self.startxref = int(tail[1])
+        self.startxref = int(tail[1][:20])
         self._chain(self.startxref)
         if "Encrypt" in self.trailer:
             raise self.v.error("Encrypted", "", self.startxref)
@@ -56,6 +79,14 @@ class Pdf:
         if not isinstance(root, dict) or root.get("Type") != "Catalog":
             raise self.v.malformed("catalog is missing", self.startxref)
         self.catalog = root
+        if "Perms" in root:
+            raise self.v.error("UnsupportedFormat", "signed PDF", self.startxref)
+        form = self.resolve(root.get("AcroForm"))
+        if isinstance(form, dict) and self.resolve(form.get("SigFlags", 0)) != 0:
+            raise self.v.error("UnsupportedFormat", "signed form", self.startxref)
+        info = self.resolve(self.trailer.get("Info"))
+        if "Info" in self.trailer and (not isinstance(info, dict) or "Type" in info):
+            raise self.v.malformed("trailer Info is not an information dictionary", self.startxref)
         self.pages = list(self._pages(root.get("Pages"), 0, set(), root))
         if len(self.pages) > self.limits.max_pages:
             raise self.v.error("LimitExceeded", "pages", None, (self.limits.max_pages, len(self.pages)))
@@ -83,7 +114,9 @@ class Pdf:
         section = re.compile(rb"\s*(\d+)\s+(\d+)[ \t]*\r?\n?")
         row = re.compile(rb"\s*(\d{10}) (\d{5}) ([nf])")
         while m := section.match(self.data, at):
-            first, count, at = int(m[1]), int(m[2]), m.end()
+            first, count, at = int(m[1][:20]), int(m[2][:20]), m.end()
+            if count * 18 > len(self.data):
+                raise self.v.malformed("xref row is malformed", at)
             for number in range(first, first + count):
                 m = row.match(self.data, at)
                 if m is None:
@@ -103,15 +136,17 @@ class Pdf:
         if not isinstance(head, dict) or head.get("Type") != "XRef":
             raise self.v.malformed("xref section is neither table nor stream", at)
         widths, raw = head.get("W"), self.unfilter(head, body, at)
-        if not isinstance(widths, list) or len(widths) != 3:
+        if not isinstance(widths, list) or len(widths) != 3 or not all(_natural(w, 8) for w in widths) or not sum(widths):
             raise self.v.malformed("xref stream widths are malformed", at)
         index = head.get("Index") or [0, head.get("Size", 0)]
+        if not isinstance(index, list) or len(index) % 2 or not all(_natural(x) for x in index):
+            raise self.v.malformed("xref stream index is malformed", at)
         step, place = sum(widths), 0
+        if sum(index[1::2]) * step > len(raw):
+            raise self.v.malformed("xref stream is too short", at)
         for first, count in zip(index[::2], index[1::2], strict=True):
             for number in range(first, first + count):
                 row, cut = raw[place : place + step], 0
-                if len(row) < step:
-                    raise self.v.malformed("xref stream is too short", at)
                 fields = []
                 for k, w in enumerate(widths):
                     fields.append(int.from_bytes(row[cut : cut + w], "big") if w else (1 if k == 0 else 0))
@@ -128,23 +163,42 @@ class Pdf:
             return body
         if name != "FlateDecode":
             raise self.v.error("UnsupportedFormat", "stream filter", at)
-        try:
-            raw = zlib.decompressobj().decompress(body, self.limits.max_allocation_bytes)
-        except zlib.error:
-            raise self.v.malformed("invalid zlib stream", at) from None
-        parms = self.resolve(head.get("DecodeParms")) or {}
-        parms = parms[0] if isinstance(parms, list) else parms
-        if parms.get("Predictor", 1) < 10:
+        raw = self._inflate(body, at)
+        parms = self.resolve(head.get("DecodeParms"))
+        parms = self.resolve(parms[0]) if isinstance(parms, list) and len(parms) == 1 else parms
+        if parms is None:
+            return raw
+        predictor, width = (parms.get("Predictor", 1), parms.get("Columns", 1)) if isinstance(parms, dict) else (None, None)
+        if not _natural(predictor) or not _natural(width) or not width:
+            raise self.v.malformed("stream parameters are malformed", at)
+        if predictor < 2:
             return raw
-        width, above, out = parms.get("Columns", 1), bytes(parms.get("Columns", 1)), bytearray()
+        if predictor < 10:
+            raise self.v.error("UnsupportedFormat", "stream predictor", at)
+        if len(raw) % (width + 1):
+            raise self.v.malformed("predicted rows are not whole", at)
+        above, out = bytes(width), bytearray()
         for k in range(0, len(raw), width + 1):
             kind, line = raw[k], raw[k + 1 : k + 1 + width]
             if kind not in (0, 2):
                 raise self.v.error("UnsupportedFormat", "PNG predictor", at)
-            above = line if kind == 0 else bytes((a + b) & 255 for a, b in zip(line, above, strict=False))
+            above = line if kind == 0 else bytes((a + b) & 255 for a, b in zip(line, above, strict=True))
             out += above
         return bytes(out)
 
+    def _inflate(self, body: bytes, at: int) -> bytes:
+        """All of a zlib stream; one that is cut or passes the limit is an error."""
+        most, stream = self.limits.max_allocation_bytes, zlib.decompressobj()
+        try:
+            raw = stream.decompress(body, most + 1)
+        except zlib.error:
+            raise self.v.malformed("invalid zlib stream", at) from None
+        if len(raw) > most:
+            raise self.v.error("LimitExceeded", "decoded stream bytes", at, (most, len(raw)))
+        if not stream.eof:
+            raise self.v.malformed("zlib stream is cut short", at)
+        return raw
+
     def _object_at(self, at: int):
         m = _HEAD.match(self.data, at)
         if m is None:
@@ -154,7 +208,7 @@ class Pdf:
         if s is None:
             return value, b""
         length = self.resolve(value.get("Length"))
-        if not isinstance(length, int) or s.end() + length > len(self.data) or not re.compile(rb"\s*endstream").match(self.data, s.end() + length):
+        if not _natural(length) or s.end() + length > len(self.data) or not re.compile(rb"\s*endstream").match(self.data, s.end() + length):
             raise self.v.malformed("stream length is invalid", at)
         return value, self.data[s.end() : s.end() + length]
 
@@ -165,10 +219,7 @@ class Pdf:
             if depth > 32 or kind == "free":
                 return None
             if kind == "packed":
-                head, body = self._object_at(self.rows[a][1])
-                raw = self.unfilter(head, body, self.rows[a][1])
-                table = [int(x) for x in raw[: head["First"]].split()]
-                value = self.parse(raw, head["First"] + table[2 * b + 1])[0]
+                value = self._member(value.number, a, b)
             else:
                 m = _HEAD.match(self.data, a)
                 if m is None or int(m[1]) != value.number:
@@ -177,12 +228,45 @@ class Pdf:
             depth += 1
         return value
 
+    def _member(self, number: int, pack: int, index: int):
+        """Object ``number``, which must stand at ``index`` of the object stream ``pack``; a stream is inflated once."""
+        kind, at, _ = self.rows.get(pack, ("free", 0, 0))
+        if kind != "plain":
+            raise self.v.malformed("object stream is missing", None, object=pack)
+        if pack not in self.packs:
+            self.packs[pack] = self._pack(pack, at)
+        raw, table, first = self.packs[pack]
+        if not 2 * index + 1 < len(table) or table[2 * index] != number or first + table[2 * index + 1] > len(raw):
+            raise self.v.malformed("object stream does not hold the object", at, object=number)
+        return self.parse(raw, first + table[2 * index + 1])[0]
+
+    def _pack(self, pack: int, at: int) -> tuple[bytes, list[int], int]:
+        """Bytes, numbers and places of the members, and where they begin; a chain of /Extends must end."""
+        head, body = self._object_at(at)
+        if not isinstance(head, dict) or head.get("Type") != "ObjStm" or not _natural(first := self.resolve(head.get("First"))) or not _natural(count := self.resolve(head.get("N"))):
+            raise self.v.malformed("object stream is malformed", at, object=pack)
+        seen, above = {pack}, head.get("Extends")
+        while isinstance(above, Ref):
+            row = self.rows.get(above.number, ("free", 0, 0))
+            if above.number in seen or row[0] != "plain":
+                raise self.v.malformed("object streams extend each other in a circle", at, object=pack)
+            seen.add(above.number)
+            value = self._object_at(row[1])[0]
+            above = value.get("Extends") if isinstance(value, dict) else None
+        raw = self.unfilter(head, body, at)
+        words = raw[:first].split()
+        if len(words) != 2 * count or not all(w.isdigit() and len(w) < 12 for w in words):
+            raise self.v.malformed("object stream table is malformed", at, object=pack)
+        return raw, [int(w) for w in words], first
+
     def parse(self, data: bytes, at: int, depth: int = 0):
         """One value and where it ends."""
         m = _TOKEN.match(data, at)
         if m is None or depth > 64:
             raise self.v.malformed("PDF value is malformed", at)
         token, end = m[1], m.end()
+        if token in (b">>", b"]"):
+            raise self.v.malformed("PDF value is malformed", at)
         if token in (b"<<", b"["):
             items, close = [], b">>" if token == b"<<" else b"]"
             while True:
@@ -195,19 +279,28 @@ class Pdf:
                 return items, n.end()
             if len(items) % 2 or not all(isinstance(k, Name) for k in items[::2]):
                 raise self.v.malformed("PDF dictionary is malformed", at)
-            if len(set(items[::2])) < len(items) // 2:
-                raise self.v.malformed("PDF dictionary repeats a key", at)
-            return dict(zip(items[::2], items[1::2], strict=True)), n.end()
+            found = dict(zip(items[::2], items[1::2], strict=True))
+            if len(found) < len(items) // 2:
+                self._repeats(items, at)
+            return found, n.end()
         if token.isdigit() and (r := _REF.match(data, end)):
             return Ref(int(token), int(r[1])), r.end()
         if token[:1] == b"/":
             return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), token[1:]).decode("latin-1")), end
-        if re.fullmatch(rb"[+-]?\d+", token):
+        if re.fullmatch(rb"[+-]?\d{1,18}", token):
             return int(token), end
         if re.fullmatch(rb"[+-]?(?:\d+\.\d*|\.\d+)", token):
             return float(token), end
         return {b"true": True, b"false": False, b"null": None}.get(token, token), end
 
+    def _repeats(self, items: list, at: int) -> None:
+        """A key that is repeated is an error, but for a /MediaBox that is repeated with one value."""
+        for key in {k for k in items[::2] if items[::2].count(k) > 1}:
+            values = [v for k, v in zip(items[::2], items[1::2], strict=True) if k == key]
+            if key != "MediaBox" or any(v != values[0] for v in values):
+                raise self.v.malformed("PDF dictionary repeats a key", at)
+        self.repaired.append((at, "equal MediaBox repeated"))
+
     def _pages(self, ref, depth: int, above: set, inherited: dict) -> Iterator[dict]:
         """Leaves in document order; ``/Count`` is checked against them."""
         node = self.resolve(ref)
@@ -215,10 +308,15 @@ class Pdf:
         if not isinstance(node, dict) or depth > MAX_TREE_DEPTH or number in above:
             raise self.v.malformed("page tree is malformed", None, object=max(0, number))
         box = self.resolve(node.get("MediaBox")) or inherited.get("MediaBox")
+        if box is not None and not isinstance(box, list):
+            raise self.v.malformed("MediaBox is not an array", None, object=max(0, number))
         if node.get("Type") == "Page" or "Kids" not in node:
             yield {"number": number, "generation": ref.generation if isinstance(ref, Ref) else 0, "media_box": box}
             return
-        found = [p for kid in self.resolve(node["Kids"]) or [] for p in self._pages(kid, depth + 1, above | {number}, {"MediaBox": box})]
+        kids = self.resolve(node["Kids"]) or []
+        if not isinstance(kids, list):
+            raise self.v.malformed("page tree is malformed", None, object=max(0, number))
+        found = [p for kid in kids for p in self._pages(kid, depth + 1, above | {number}, {"MediaBox": box})]
         if self.resolve(node.get("Count")) != len(found):
             raise self.v.malformed("page tree count differs from its pages", None, object=max(0, number))
         yield from found
@@ -257,41 +355,71 @@ def append_outline(data: bytes, bookmarks: list[tuple[int, str, int]], limits: L
         if not title or not 0 <= page < len(pdf.pages) or not 0 <= depth < len(stack):
             raise View(data, "PDF").malformed("bookmark is empty, too deep or outside the document", None)
         del stack[depth + 1 :]
-        nodes.append({"parent": stack[-1], "kids": [], "title": title, "page": pdf.pages[page]})
+        nodes.append({"parent": stack[-1], "kids": [], "title": title, "page": pdf.pages[page], "place": len(nodes[stack[-1]]["kids"])})
         nodes[stack[-1]]["kids"].append(len(nodes) - 1)
         stack.append(len(nodes) - 1)
     count = [0] * len(nodes)
     for k in range(len(nodes) - 1, 0, -1):
         count[nodes[k]["parent"]] += count[k] + 1
-    body, offsets = bytearray(data[: pdf.end] + b"\n"), {}
-
-    def write(number: int, text: str) -> None:
-        offsets[number] = len(body)
-        body.extend(f"{number} 0 obj\n{text}\nendobj\n".encode("latin-1"))
-
+    texts: dict[int, str] = {}
     for k, node in enumerate(nodes):
         kids = node["kids"]
         parts = [f"/First {first + kids[0]} 0 R /Last {first + kids[-1]} 0 R /Count {count[k]}"] if kids else []
         if k:
-            row = nodes[node["parent"]]["kids"]
-            place = row.index(k) if len(row) < 8 else row.index(k)
+            row, place = nodes[node["parent"]]["kids"], node["place"]
             parts += [f"/Title <{utf16_hex(node['title'])}> /Parent {first + node['parent']} 0 R /Dest [{node['page']['number']} {node['page']['generation']} R /Fit]"]
             parts += [f"/Prev {first + row[place - 1]} 0 R"] if place else []
             parts += [f"/Next {first + row[place + 1]} 0 R"] if place + 1 < len(row) else []
-        write(first + k, "<< " + ("/Type /Outlines " if not k else "") + " ".join(parts) + " >>")
+        texts[first + k] = "<< " + ("/Type /Outlines " if not k else "") + " ".join(parts) + " >>"
     root = pdf.trailer["Root"]
-    start = pdf.rows[root.number][1]
-    if pdf.rows[root.number][0] != "plain":
-        raise View(data, "PDF").error("UnsupportedFormat", "catalog in an object stream", None)
-    head = _HEAD.match(data, start)
-    _, end = pdf.parse(data, head.end())
-    inner = data[head.end() : end].strip(_SPACE)[2:-2].decode("latin-1")
-    inner = re.sub(r"/Outlines\s+\d+\s+\d+\s+R", "", inner)
-    write(root.number, f"<< {inner} /Outlines {first} 0 R >>")
-    table = len(body)
-    body += b"xref\n" + b"".join(f"{n} 1\n{o:010d} 00000 n \n".encode() for n, o in sorted(offsets.items()))
-    info = "".join(f" /{k} {t.number} {t.generation} R" for k in ("Info",) if isinstance(t := pdf.trailer.get(k), Ref))
-    body += f"trailer\n<< /Size {first + len(nodes)} /Root {root.number} {root.generation} R{info} /Prev {pdf.startxref} >>\nstartxref\n{table}\n%%EOF\n".encode()
-    if len(body) > limits.max_output_bytes:
-        raise View(data, "PDF").error("LimitExceeded", "output bytes", None, (limits.max_output_bytes, len(body)))
+    texts[root.number] = f"<< {without_keys(pdf, root.number, 'Outlines').decode('latin-1')} /Outlines {first} 0 R >>"
+    return update(pdf, texts, first + len(nodes))
+
+
+def update(pdf: Pdf, texts: dict[int, str], size: int) -> bytes:
+    """The file and an update that writes objects anew; numbers from ``size`` on are free.
+
+    A file with packed objects gets a cross-reference stream, since its readers need one to find them.
+    """
+    body, offsets = bytearray(pdf.data[: pdf.end] + b"\n"), {}
+    generations = {n: g for n, (kind, _, g) in pdf.rows.items() if kind == "plain"}
+    for number, text in texts.items():
+        offsets[number] = len(body)
+        body.extend(f"{number} {generations.get(number, 0)} obj\n{text}\nendobj\n".encode("latin-1"))
+    table, root = len(body), pdf.trailer["Root"]
+    kept = "".join(f" /{k} {t.number} {t.generation} R" for k in ("Info",) if isinstance(t := pdf.trailer.get(k), Ref))
+    kept = f"/Root {root.number} {root.generation} R{kept} /Prev {pdf.startxref}"
+    if any(kind == "packed" for kind, _, _ in pdf.rows.values()):
+        offsets[size] = table
+        rows = b"".join(b"\1" + o.to_bytes(5, "big") + generations.get(n, 0).to_bytes(2, "big") for n, o in sorted(offsets.items()))
+        index = " ".join(f"{n} 1" for n in sorted(offsets))
+        body += f"{size} 0 obj\n<< /Type /XRef /Size {size + 1} /W [1 5 2] /Index [{index}] {kept} /Length {len(rows)} >>\nstream\n".encode() + rows + b"\nendstream\nendobj\n"
+    else:
+        body += b"xref\n" + b"".join(f"{n} 1\n{o:010d} {generations.get(n, 0):05d} n \n".encode() for n, o in sorted(offsets.items()))
+        body += f"trailer\n<< /Size {size} {kept} >>\n".encode()
+    body += f"startxref\n{table}\n%%EOF\n".encode()
+    if len(body) > pdf.limits.max_output_bytes:
+        raise pdf.v.error("LimitExceeded", "output bytes", None, (pdf.limits.max_output_bytes, len(body)))
     return bytes(body)
+
+
+def without_keys(pdf: Pdf, number: int, *keys: str, again: bool = False) -> bytes:
+    """The inside of the dictionary of object ``number`` without entries; with ``again``, without those that come a second time."""
+    kind, at, index = pdf.rows[number]
+    source = pdf.data
+    if kind == "plain":
+        start = _HEAD.match(source, at).end()
+    else:
+        pdf.resolve(Ref(number, 0))
+        source, members, first = pdf.packs[at]
+        start = first + members[2 * index + 1]
+    at = _TOKEN.match(source, start).end()
+    begin, out, seen = at, b"", set()
+    while (m := _TOKEN.match(source, at)) and m[1] != b">>":
+        name, after = pdf.parse(source, at)
+        _, after = pdf.parse(source, after)
+        if name in keys or again and name in seen:
+            out, begin = out + source[begin:at], after
+        seen.add(name)
+        at = after
+    return (out + source[begin:at]).strip(_SPACE)

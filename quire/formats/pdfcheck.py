@@ -14,6 +14,8 @@ from quire.formats.fragment import _BLANK, _ENDOBJ, _ENDSTREAM, _STREAM, targets
 from quire.formats.pdf import _HEAD, Name, Pdf, Ref
 
 MAX_DEPTH = 256
+#: Beginnings of the problems with which a PDF is not copied.
+REFUSED = ("object overlaps", "reference to absent", "page has no valid")
 _SECTION = re.compile(rb"(?:xref[\0\t\n\x0c\r ].*?)?startxref\s+\d+\s+%%EOF", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 _ESCAPE = re.compile(rb"\\(?:([0-7]{1,3})|(\r\n|\r|\n)|(.))", re.S)
@@ -134,7 +136,7 @@ def outline(pdf: Pdf) -> Iterator[dict]:
         title, page = text_string(pdf.resolve(node.get("Title"))), _destination(pdf, node, places, names)
         if problem is None and (title is None or page is None and ("Dest" in node or "A" in node)):
             problem = "title is missing" if title is None else "destination is not a page"
-        yield {"ordinal": ordinal, "number": ref.number, "depth": depth, "title": title, "page_index": page, "problem": problem}
+        yield {"ordinal": ordinal, "number": ref.number, "depth": depth, "title": title, "page_index": page, "problem": problem, "previous": previous, "parent": parent}
         ordinal += 1
         if isinstance(following, Ref):
             stack.append((following, ref.number, parent, last, depth))

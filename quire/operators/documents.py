@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from quire.formats import bilevel, caj, fragment, inspection, jpeg, kdh, package, paged, pdf, pdfcheck, pixels, records, writer
+from quire.formats import bilevel, caj, fragment, inspection, jpeg, kdh, mend, package, paged, pdf, pdfcheck, pixels, records, writer
 from quire.formats.errors import FormatError, Limits, error_code
 from quire.operators.relational import dangling, first_match
 
@@ -69,8 +69,9 @@ def each_document(files: DataFrame, kernel: Callable[..., Iterator[dict]], schem
                         if len(rows) == BATCH_ROWS or held > BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
                             rows, held = [], 0
-                except FormatError as e:
-                    rows.append({"path": path, "error": {"kind": e.kind, "code": error_code(e), "offset": e.offset, "reason": e.reason, "message": str(e)}})
+                except Exception as error:  # damaged bytes may break a kernel in ways it does not foresee: that is the document's error
+                    e = error if isinstance(error, FormatError) else FormatError("Malformed", f"document cannot be read ({type(error).__name__})")
+                    rows.append({"path": path} | e.row | {"error": {"kind": e.kind, "code": error_code(e), "offset": e.offset, "reason": e.reason, "message": str(e)}})
                 if rows:
                     yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
 
@@ -272,7 +273,7 @@ def jbig2_segments(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def to_pdf(files: DataFrame, limits: Limits = Limits(), *, include_bookmarks: bool = True, allow_damaged: bool = False) -> DataFrame:
-    """``pdf`` of PDF files (byte for byte, from their header on), of KDH wrappers, of CAJ documents
+    """``pdf`` of PDF files (checked; byte for byte, from their header on, if nothing has to be repaired), of KDH wrappers, of CAJ documents
     rebuilt from their objects, and of HN and C8 documents whose pages are images.
 
     ``omitted_pages`` of CAJ documents are blank, since what they depend on is damaged; without
@@ -290,9 +291,13 @@ def to_pdf(files: DataFrame, limits: Limits = Limits(), *, include_bookmarks: bo
             return
         body = _pdf_bytes(data, limits)
         index = pdf.Pdf(body, limits)
-        yield {"pdf": body, "page_count": len(index.pages), "output_bytes": len(body)}
+        for row in pdfcheck.problems(index):
+            if row["problem"].startswith(pdfcheck.REFUSED):
+                raise index.v.malformed(row["problem"], row["offset"], **({"object": row["number"]} if row["number"] is not None else {}))
+        body, repaired = mend.repair(index)
+        yield {"pdf": body, "page_count": len(index.pages), "output_bytes": len(body), "repaired_objects": repaired}
 
-    return each_document(_of(files, "PDF", "CAJ", "KDH", "HN", "C8"), kernel, "pdf binary, page_count long, output_bytes long, bookmark_count long, repaired_links long, duplicate_images long, no_image_pages long, omitted_pages array<struct<page_index:long,offset:long>>")
+    return each_document(_of(files, "PDF", "CAJ", "KDH", "HN", "C8"), kernel, "pdf binary, page_count long, output_bytes long, bookmark_count long, repaired_links long, duplicate_images long, no_image_pages long, omitted_pages array<struct<page_index:long,offset:long>>, repaired_objects long")
 
 
 def _fragment(data: bytes, limits: Limits) -> fragment.Fragment:
@@ -392,9 +397,16 @@ def document_info(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
         else:
             yield {}
 
-    known = files.filter(detect_format(F.col("content")).isNotNull())
-    info = each_document(known, kernel, "variant string, page_count long, has_outline boolean, bookmark_count long, outline_defects long")
-    return detections(known).select("path", "format").join(info, "path")
+    def named(data, name):
+        try:
+            for row in kernel(data):
+                yield row | {"format": name}
+        except FormatError as error:
+            error.row = {"format": name}
+            raise
+
+    known = files.select("path", "content", detect_format(F.col("content")).alias("name")).filter("name is not null")
+    return each_document(known, named, "format string, variant string, page_count long, has_outline boolean, bookmark_count long, outline_defects long", more=["name"])
 
 
 def add_bookmarks(pdfs: DataFrame, outlines: DataFrame, limits: Limits = Limits(), *, refuse_existing: bool = False) -> DataFrame:
@@ -404,20 +416,17 @@ def add_bookmarks(pdfs: DataFrame, outlines: DataFrame, limits: Limits = Limits(
     """
     entries = outlines.filter("error is null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "depth", "title", "page_index"))).alias("entries"))
 
-    @F.udf("struct<pdf:binary,error:string>")
-    def append(data, rows):
-        if data is None:
-            return None, "no document"
-        try:
-            if refuse_existing and not rows:
-                return None, "source has no bookmarks"
-            if refuse_existing and pdf.Pdf(bytes(data), limits).has_outline:
-                return None, "PDF already has an outline"
-            return pdf.append_outline(bytes(data), [(r["depth"], r["title"], r["page_index"]) for r in rows or ()], limits), None
-        except FormatError as error:
-            return None, str(error)
-
-    return pdfs.join(entries, "path", "left").select("path", append("pdf", "entries").alias("r")).select("path", "r.*")
+    def append(data, rows, absent):
+        if absent:
+            raise FormatError("Malformed", "no document")
+        if refuse_existing and not rows:
+            raise FormatError("Malformed", "source has no bookmarks")
+        if refuse_existing and pdf.Pdf(data, limits).has_outline:
+            raise FormatError("Malformed", "PDF already has an outline")
+        yield {"pdf": pdf.append_outline(data, [(r["depth"], r["title"], r["page_index"]) for r in rows or ()], limits)}
+
+    joined = pdfs.join(entries, "path", "left").select("path", F.col("pdf").alias("content"), "entries", F.col("pdf").isNull().alias("absent"))
+    return each_document(joined, append, "pdf binary", more=["entries", "absent"]).select("path", "pdf", F.coalesce(F.nullif(F.col("error.reason"), F.lit("")), F.col("error.message")).alias("error"))
 
 
 def errors(*tables: DataFrame) -> DataFrame:

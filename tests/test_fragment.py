@@ -60,7 +60,9 @@ def test_framing():
     whole = pdf.Pdf(fragment.rebuild(fx.caj_body([3], indirect))["pdf"])
     assert whole._object_at(whole.rows[7][1])[1] == b"endobj 1"
     assert "stream length is invalid" in fails(fx.caj_body([3], [*indirect[:2], (8, "9999")]))
-    assert "stream length is invalid" in fails(fx.caj_body([3], [(3, page(2)), (7, stream(b"abc", 2))]))
+    mended = fragment.rebuild(fx.caj_body([3], [(3, page(2)), (7, stream(b"abc", 2))]))
+    assert mended["repaired_objects"] == 1 and pdf.Pdf(mended["pdf"])._object_at(pdf.Pdf(mended["pdf"]).rows[7][1])[1] == b"abc"
+    assert "changes the width" in fails(fx.caj_body([3], [(3, page(2)), (7, stream(b"abcdefghijkl", 2))]))
     assert "object header is missing" in fails(fx.caj_body([3], [(3, page(2) + "\nendobj\njunk")]))
     assert numbers(fragment.rebuild(fx.caj_body([3], [(3, page(2)), (3, page(2))]))) == [3]
     assert "repeated" in fails(fx.caj_body([3], [(3, page(2)), (3, page(4))]))
@@ -75,20 +77,20 @@ def test_absent_targets():
 
 
 def test_damaged_pages():
-    parts = [(3, page(2, "/Contents 7 0 R")), (7, stream(b"abc", 2)), (4, page(2, "/Contents 8 0 R")), (8, stream(b"q Q")), (5, "<< /Type /Page /Parent 2 0 R")]
+    parts = [(3, page(2, "/Contents 7 0 R")), (7, b"<< /Length 2 >>\nstream\nabc"), (4, page(2, "/Contents 8 0 R")), (8, stream(b"q Q")), (5, "<< /Type /Page /Parent 2 0 R")]
     data = fx.caj_body([3, 4, 5], [*parts, (6, "null")])
     assert "stream length is invalid" in fails(data)
     out = fragment.rebuild(data, allow_damaged=True)
     assert numbers(out) == [3, 4, 5] and [o["page_index"] for o in out["omitted_pages"]] == [0, 2]
     whole = pdf.Pdf(out["pdf"])
     assert "Contents" in whole.resolve(pdf.Ref(4, 0)) and "Contents" not in whole.resolve(pdf.Ref(3, 0))
-    shared = [(1, "<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources 7 0 R >>"), (3, page(1)), (7, stream(b"abc", 2))]
+    shared = [(1, "<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources 7 0 R >>"), (3, page(1)), (7, b"<< /Length 2 >>\nstream\nabc")]
     assert "damage reaches the page tree" in fails(fx.caj_body([3], shared), allow_damaged=True)
 
 
 def test_caj_tables(spark):
     good = fx.caj_body([3], [(3, page(2, "/Contents 7 0 R")), (7, stream(b"q Q"))], [("一", b"1", 1)])
-    bad = fx.caj_body([3], [(3, page(2, "/Contents 7 0 R")), (7, stream(b"abc", 2))])
+    bad = fx.caj_body([3], [(3, page(2, "/Contents 7 0 R")), (7, b"<< /Length 2 >>\nstream\nabc")])
     files = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(bad))], "path string, content binary")
     a, b = documents.to_pdf(files).orderBy("path").collect()
     assert (a.page_count, a.bookmark_count, a.omitted_pages, a.error) == (1, 1, [], None) and pdf.Pdf(bytes(a.pdf)).has_outline
