@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.shared import Scratch
+
 
 def first_match(value: Column, signatures: list[tuple[str | bytes, str]], default: str | None) -> Column:
     """The label of the first signature that ``value`` starts with."""
@@ -57,6 +59,12 @@ def existing(left: DataFrame, right: DataFrame, key: dict[str, str]) -> DataFram
     return left.join(right, _on(left, right, key), "left_semi")
 
 
+def difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of ``left`` that ``right`` lacks, columns by place; nulls are equal."""
+    on = reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in zip(left.columns, right.columns, strict=True)])
+    return left.join(right, on, "left_anti").distinct()
+
+
 def first_seen_members(rows: DataFrame, group: list[str], member: Column, position: Column) -> DataFrame:
     """Distinct members of each group in the order of their first position, and the number of rows.
 
@@ -70,11 +78,14 @@ def first_seen_members(rows: DataFrame, group: list[str], member: Column, positi
 def exact_copies(rows: DataFrame, id_col: str, payload: str) -> DataFrame:
     """Rows whose payload occurs more than once: id, the first id, the number of copies.
 
-    Payloads are compared by a 256-bit hash, so only hashes are shuffled.
+    Hashes of 256 bits and lengths pick the rows, so only those that may be copies are
+    shuffled with their payload; they are grouped by the payload itself.
     """
-    hashed = rows.select(id_col, F.sha2(F.col(payload).cast("binary"), 256).alias("_h"))
-    several = hashed.groupBy("_h").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return hashed.join(several, "_h").select(id_col, "first_id", "copies")
+    hashed = rows.select(id_col, F.col(payload).alias("_payload"), F.sha2(F.col(payload).cast("binary"), 256).alias("_h"))
+    several = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_h")
+    likely = hashed.join(several, "_h", "left_semi")
+    groups = likely.groupBy("_h", "_payload").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    return likely.join(groups, ["_h", "_payload"]).select(id_col, "first_id", "copies")
 
 
 def first_listed(rows: DataFrame, group: list[str], value: str, most: int) -> DataFrame:
@@ -86,15 +97,45 @@ def first_listed(rows: DataFrame, group: list[str], value: str, most: int) -> Da
 
 
 def clamp_levels(rows: DataFrame, group: list[str], order: list[str], level: str) -> DataFrame:
-    """``levels`` of each group in order, each with ``written``: at most one more than what was written before."""
-    gathered = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(level).cast("int").alias("level")))).alias("_all"))
-    none = F.array().cast("array<struct<level:int,written:int>>")
+    """``rows`` with ``written``: a level, but at most one more than what was written before it in its group.
+
+    In closed form, so no group is gathered: levels cap those after them, each by its distance.
+    """
+    window = Window.partitionBy(*group).orderBy(*order)
+    place = F.row_number().over(window)
+    lowest = F.min(F.col(level) - F.col("_place")).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_place", place).withColumn("written", (F.col("_place") + F.least(F.lit(0), lowest)).cast("int")).drop("_place")
 
-    def step(done, x):
-        before = F.when(F.size(done) > 0, F.try_element_at(done, F.lit(-1)).written).otherwise(F.lit(0))
-        return F.concat(done, F.array(F.struct(x.level.alias("level"), F.least(x.level, before + 1).alias("written"))))
 
-    return gathered.select(*group, F.aggregate("_all", none, step).alias("levels"))
+def closure(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct (a, b) for all ``b`` that are reached from ``a`` through pairs; cycles end.
+
+    What is reached is joined with itself, so the rounds grow with the logarithm of the longest way.
+    """
+    scratch = Scratch(pairs.sparkSession, "closure")
+    current = scratch.put(pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null").distinct(), "0")
+    size, k = current.count(), 0
+    while True:
+        k += 1
+        on = current.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        current = scratch.put(current.union(current.join(on, "b").select("a", F.col("c").alias("b"))).distinct(), str(k))
+        if (more := current.count()) == size:
+            return current.select(F.col("a").alias(a), F.col("b").alias(b))
+        size = more
+        scratch.drop(str(k - 1))
+
+
+def walk(nodes: DataFrame, id_col: str, parent_col: str, name_col: str, separator: str = "/") -> DataFrame:
+    """``id, depth, path`` of all nodes that hang below one without a parent; a join for each level."""
+    scratch = Scratch(nodes.sparkSession, "walk")
+    nodes = scratch.put(nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"), F.col(name_col).alias("name")), "nodes")
+    level = scratch.put(nodes.filter("parent is null").select("id", F.lit(0).alias("depth"), F.col("name").alias("path")), "levels/0")
+    below, k = nodes.filter("parent is not null"), 0
+    while level.limit(1).count():
+        k += 1
+        above = level.select(F.col("id").alias("parent"), F.col("path").alias("above"))
+        level = scratch.put(below.join(above, "parent").select("id", F.lit(k).alias("depth"), F.concat_ws(separator, "above", "name").alias("path")), f"levels/{k}")
+    return nodes.sparkSession.read.schema(level.schema).parquet(f"{scratch.root}/levels/*")
 
 
 def modulo_zip(left: DataFrame, right: DataFrame, group: list[str], left_order: str, right_order: str) -> DataFrame:

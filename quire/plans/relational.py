@@ -35,14 +35,14 @@ def query(sql: str):
 
 @query(
     """SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN spot > 0 THEN 1 ELSE 0 END) AS BIGINT) AS with_marker, CAST(max(spot) AS BIGINT) AS furthest
-    FROM (SELECT CASE WHEN starts_with(html, '<!DOCTYPE html>') THEN 'doctype' WHEN starts_with(html, '<html') THEN 'html' WHEN starts_with(html, '<') THEN 'markup' ELSE 'other' END AS kind,
-                 strpos(left(html, 1024), '<title>') AS spot FROM pages) GROUP BY kind"""
+    FROM (SELECT CASE WHEN starts_with(p_name, 'blue b') THEN 'blue b' WHEN starts_with(p_name, 'blue') THEN 'blue' WHEN starts_with(p_name, 's') THEN 's' ELSE 'other' END AS kind,
+                 strpos(left(p_name, 10), 'ring') AS spot FROM part) GROUP BY kind"""
 )
 def signature_case(spark, sf_dir):
-    """First matching signature wins; a marker is looked for in the first 1,024 characters."""
-    kind = ops.first_match(F.col("html"), [("<!DOCTYPE html>", "doctype"), ("<html", "html"), ("<", "markup")], "other")
-    at = F.instr(F.substring("html", 1, 1024), "<title>")
-    return _table(spark, sf_dir, "pages").select(kind.alias("kind"), at.alias("at")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") > 0).alias("with_marker"), F.max("at").cast("long").alias("furthest"))
+    """First matching signature wins; a marker is looked for in the first characters."""
+    kind = ops.first_match(F.col("p_name"), [("blue b", "blue b"), ("blue", "blue"), ("s", "s")], "other")
+    at = F.instr(F.substring("p_name", 1, 10), "ring")
+    return _table(spark, sf_dir, "part").select(kind.alias("kind"), at.alias("at")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") > 0).alias("with_marker"), F.max("at").cast("long").alias("furthest"))
 
 
 @query(
@@ -67,20 +67,20 @@ def duplicate_keys(spark, sf_dir):
     return ops.repeated(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "times")
 
 
-@query("SELECT conv_id, turn, expected FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role) + 1 AS expected FROM conversations) WHERE expected IS NOT NULL AND turn <> expected")
+@query("""SELECT user_id, event_id, expected FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) + 1 AS expected FROM events) WHERE expected IS NOT NULL AND event_id <> expected""")
 def contiguity_breaks(spark, sf_dir):
     """Rows that do not continue where the row before them ended."""
-    turns = _table(spark, sf_dir, "conversations").withColumn("end", F.col("turn") + 1)
-    return ops.chain_breaks(turns, ["conv_id"], ["turn", "role"], "turn", "end").select("conv_id", "turn", "expected")
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") + 1).alias("end"))
+    return ops.chain_breaks(rows, ["user_id"], ["event_id"], "event_id", "end").select("user_id", "event_id", "expected")
 
 
-@query("""SELECT 'customer' AS side, c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
-    UNION ALL SELECT 'order' AS side, o_orderkey AS key FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey)""")
+@query("""SELECT 'document' AS side, doc_id AS key FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)
+    UNION ALL SELECT 'event' AS side, event_id AS key FROM events WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = event_id)""")
 def dangling_refs(spark, sf_dir):
     """References without a target, in both directions."""
-    customer, orders = _table(spark, sf_dir, "customer").select("c_custkey"), _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    one = ops.dangling(customer, orders, {"c_custkey": "o_custkey"}).select(F.lit("customer").alias("side"), F.col("c_custkey").alias("key"))
-    return one.unionByName(ops.dangling(orders, customer, {"o_custkey": "c_custkey"}).select(F.lit("order").alias("side"), F.col("o_orderkey").alias("key")))
+    documents, labels, events = _table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label")), _table(spark, sf_dir, "events").select("event_id")
+    one = ops.dangling(documents, labels, {"doc_id": "label"}).select(F.lit("document").alias("side"), F.col("doc_id").alias("key"))
+    return one.unionByName(ops.dangling(events, documents, {"event_id": "doc_id"}).select(F.lit("event").alias("side"), F.col("event_id").alias("key")))
 
 
 @query("SELECT p_brand, CAST(count(*) AS BIGINT) AS parts FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R') GROUP BY p_brand")
@@ -108,7 +108,7 @@ def ordered_group_members(spark, sf_dir):
 
 
 _TREE = """WITH RECURSIVE node AS (
-  SELECT 'r' || r_regionkey AS id, CAST(NULL AS {s}) AS parent, r_name AS name FROM region
+  SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS parent, r_name AS name FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier),
 walk AS (
@@ -117,26 +117,23 @@ walk AS (
 SELECT id, depth, path FROM walk"""
 
 
-@query(_TREE.format(s="VARCHAR"))
+@query(_TREE)
 def tree_walk(spark, sf_dir):
     """A tree from its roots down, with the path that orders it as a document."""
-    for name in ("region", "nation", "supplier"):
-        _table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(_TREE.format(s="STRING"))
+    t = lambda name, *columns: _table(spark, sf_dir, name).select(*columns)
+    key = lambda letter, column: F.concat(F.lit(letter), F.col(column))
+    nodes = t("region", key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    nodes = nodes.union(t("nation", key("n", "n_nationkey"), key("r", "n_regionkey"), "n_name")).union(t("supplier", key("s", "s_suppkey"), key("n", "s_nationkey"), "s_name"))
+    return ops.walk(nodes, "id", "parent", "name")
 
 
-_CLOSURE = """WITH RECURSIVE ref AS (SELECT DISTINCT p_size AS a, {size} AS b FROM part),
-reach AS (
-  SELECT a, b, {start} AS seen FROM ref WHERE a <= 3
-  UNION ALL SELECT reach.a, ref.b, {more} FROM reach JOIN ref ON ref.a = reach.b WHERE NOT {has})
-SELECT DISTINCT a, b FROM reach"""
-
-
-@query(_CLOSURE.format(size="(p_size * 7 + 3) % 50", start="[a, b]", more="list_append(reach.seen, ref.b)", has="list_contains(reach.seen, ref.b)"))
+@query("""WITH RECURSIVE ref AS (SELECT DISTINCT p_size AS a, (p_size * 7 + 3) % 50 AS b FROM part),
+reach AS (SELECT a, b FROM ref UNION SELECT reach.a, ref.b FROM reach JOIN ref ON ref.a = reach.b)
+SELECT a, b FROM reach""")
 def dependency_closure(spark, sf_dir):
-    """All that is reached through references, with a guard against cycles."""
-    _table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(_CLOSURE.format(size="(p_size * 7 + 3) % 50", start="array(a, b)", more="array_append(reach.seen, ref.b)", has="array_contains(reach.seen, ref.b)"))
+    """All that is reached through references, from every one of them; cycles end."""
+    refs = _table(spark, sf_dir, "part").select(F.col("p_size").alias("a"), ((F.col("p_size") * 7 + 3) % 50).alias("b"))
+    return ops.closure(refs, "a", "b")
 
 
 @query("SELECT doc_id, first_id, CAST(copies AS BIGINT) AS copies FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL) WHERE copies > 1")
@@ -145,10 +142,11 @@ def exact_duplicates(spark, sf_dir):
     return ops.exact_copies(_table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text")
 
 
-@query("SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT event_id AS key FROM events WHERE event_type = 'click' EXCEPT SELECT doc_id FROM documents")
 def set_difference(spark, sf_dir):
     """Keys of one set that the other lacks."""
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).exceptAll(_table(spark, sf_dir, "orders").select("o_custkey").distinct()).distinct()
+    clicks = _table(spark, sf_dir, "events").filter("event_type = 'click'").select(F.col("event_id").alias("key"))
+    return ops.difference(clicks, _table(spark, sf_dir, "documents").select("doc_id"))
 
 
 @query("""SELECT event_type, CAST(count(*) AS BIGINT) AS total, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (WHERE r <= 16) AS first_ids
@@ -171,8 +169,8 @@ SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(written) AS BIGINT) AS w
 def clamped_levels(spark, sf_dir):
     """Depths that may rise by one at most, each judged by what was written before it."""
     level = (F.col("event_id") % 5 + 1).cast("int")
-    out = ops.clamp_levels(_table(spark, sf_dir, "events").withColumn("level", level), ["user_id"], ["ts", "event_id"], "level")
-    return out.select("user_id", F.size("levels").cast("long").alias("n"), F.aggregate("levels", F.lit(0).cast("long"), lambda a, x: a + x.written).alias("written"), F.size(F.filter("levels", lambda x: x.written < x.level)).cast("long").alias("clamped"))
+    out = ops.clamp_levels(_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", level.alias("level")), ["user_id"], ["ts", "event_id"], "level")
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("written").alias("written"), F.count_if(F.col("written") < F.col("level")).alias("clamped"))
 
 
 @query("""WITH g AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS c FROM nation),
