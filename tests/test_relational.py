@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from quire.plans import relational
+from quire.plans import containers, relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,9 +23,10 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(relational.QUERIES))
+@pytest.mark.parametrize("name", [*sorted(relational.QUERIES), *sorted(containers.QUERIES)])
 def test_query_matches_sql(spark, oracle, name):
-    got, want = relational.QUERIES[name](spark, SF).toPandas(), oracle.sql(relational.ORACLES[name]).df()
+    own = relational if name in relational.QUERIES else containers
+    got, want = own.QUERIES[name](spark, SF).toPandas(), oracle.sql(own.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(want) and rows(got) == rows(want)
 
@@ -49,4 +50,5 @@ def test_shapes_with_ties_cycles_and_nulls(spark):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(relational.QUERIES) <= set(__spark_entry__.queries())
+    assert {*relational.QUERIES, *containers.QUERIES} <= set(__spark_entry__.queries())
+    assert not {*relational.QUERIES} & {*containers.QUERIES}
