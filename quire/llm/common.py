@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,24 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of
-    our own is made and recorded there, but only if all of Spark runs on this machine:
-    elsewhere executors would write to disks that no one else reads, so it is an error.
-    """
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
+from quire.operators import shared
 
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2000
@@ -50,40 +30,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BYTES_KEY, str(BATCH_BYTES))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """Parquet tables in the shared folder that cut lineage and survive lost executors.
-
-    A table is computed once, by ``put``, and read back; ``drop`` removes tables
-    that later steps no longer read. What is left goes when the driver exits.
-    """
+class Scratch(shared.Scratch):
+    """Tables in the shared folder (``quire.operators.shared``), for steps that work on texts."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
         small_batches(spark)
-        self.root = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-        atexit.register(self._close)
-
-    def put(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").options(**options).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _delete(self.spark, f"{self.root}/{name}")
-
-    def _close(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            try:
-                _delete(self.spark, self.root)
-            except Exception:  # the JVM may be gone at exit
-                pass
+        super().__init__(spark, name)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -137,6 +89,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, not at the driver's next collection."""
+    """Lets Spark delete the shuffle files of finished steps now: it does so once the driver's heap lets go of them.
+
+    Called between steps that take minutes, never within one.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -23,8 +23,8 @@ from quire.llm.common import small_batches, with_text_result
 from quire.llm.toxicity import held_out
 
 PLACES = 1 << 16
-#: The model holds this many languages at most (256 KB each); more is an error, not a cut.
-MAX_LANGUAGES = 400
+#: The model holds this many languages at most (256 KB each, broadcast); more is an error, not a cut.
+MAX_LANGUAGES = 1000
 SMOOTHING = 0.5
 STEPS, RESTEPS = 12, 5
 
@@ -49,7 +49,7 @@ def trigrams(piece: tk.Piece) -> tuple[np.ndarray, tk.Words, np.ndarray]:
 
 
 def counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """``lang, place, n``: trigram counts over all texts."""
+    """``lang, packed``: trigram counts over all texts, a row of PLACES 64-bit numbers for each language."""
 
     def run(batches):
         totals: dict[str, np.ndarray] = {}
@@ -60,10 +60,10 @@ def counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 row = tk.row_of(w.at, word)
                 own = langs[first : first + len(piece)]
                 names = sorted(set(own))
-                code = np.array([names.index(x) for x in own])
-                found = np.bincount(code[row] * PLACES + place, minlength=len(names) * PLACES).reshape(len(names), PLACES)
+                code = np.searchsorted(names, own)
                 for k, name in enumerate(names):
-                    totals[name] = totals.get(name, 0) + found[k]
+                    mine = place[code[row] == k]
+                    totals[name] = totals.get(name, 0) + np.bincount(mine, minlength=PLACES)
                 first += len(piece)
             if len(totals) > MAX_LANGUAGES:
                 raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -71,19 +71,28 @@ def counts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(n[used], pa.int64())], ["lang", "place", "n"])
 
-    return docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    def pack(table: pa.Table) -> pa.Table:
+        n = np.zeros(PLACES, np.int64)
+        n[table.column("place").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "packed": pa.array([n.tobytes()], pa.binary())})
+
+    found = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, "lang string, place int, n long")
+    return found.groupBy("lang", "place").agg(F.sum("n").alias("n")).groupBy("lang").applyInArrow(pack, "lang string, packed binary")
 
 
 def train(docs: DataFrame, *, learn: Column | None = None, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages and the log likelihood of each trigram place in each."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = counts(known.filter(learn) if learn is not None else known, lang_col, text_col).toPandas()
-    langs = sorted(found.lang.unique())
+    found = counts(known.filter(learn) if learn is not None else known, lang_col, text_col)
+    table, langs = np.zeros((PLACES, 0), np.float32), []
+    columns = []
+    for name, packed in found.orderBy("lang").toLocalIterator():
+        n = np.frombuffer(packed, np.int64) + SMOOTHING
+        columns.append(np.log(n / n.sum()).astype(np.float32))
+        langs.append(name)
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    n = np.zeros((len(langs), PLACES))
-    n[np.searchsorted(langs, found.lang) if langs else [], found.place] = found.n
-    return list(langs), np.log((n + SMOOTHING) / (n.sum(axis=1, keepdims=True) + SMOOTHING * PLACES)).T.astype(np.float32) if langs else np.zeros((PLACES, 0), np.float32)
+    return langs, np.stack(columns, axis=1) if columns else table
 
 
 def _em(likely: np.ndarray, at: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,9 @@ numbers. Where rows repeat turn numbers so often that a range holds more than CR
 its turns, and within a turn ranges of a hash of speaker and text, form the blocks.
 Blocks laid end to end are the whole dialogue, and masks count from a block's start.
 
+Markup in a text or a name is taken apart by a blank (``< |im_end|>``), and line breaks in a
+name become blanks, so no turn can pass for several.
+
 Defined results: turns go by number, null first, then by a hash of speaker and text;
 repeated rows are rendered as often as they stand; a null or empty role is the
 speaker ``unknown``; a null text is empty; a null conv_id is a conversation. One
@@ -29,6 +32,11 @@ START, STOP = "<|im_start|>", "<|im_end|>\n"
 SYSTEM = "system"
 
 
+def _plain(text: Column) -> Column:
+    """``text`` without markup."""
+    return F.replace(text, F.lit("<|im_"), F.lit("< |im_"))
+
+
 def _blocks(turns: DataFrame) -> DataFrame:
     """``turns`` with block and part, which order the blocks of a conversation."""
     ranged = turns.withColumn("range", F.floor(F.col("turn") / BLOCK) * BLOCK)
@@ -51,7 +59,7 @@ def _head(speaker: Column, me: Column) -> Column:
 def rotate(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv_id, speaker, block, part, n_turns, text, mask``: mask holds [start, end) character spans that carry loss."""
     speaker = F.coalesce(F.nullif(F.trim(F.col(role_col).cast("string")), F.lit("")), F.lit("unknown"))
-    turns = conversations.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), speaker.alias("speaker"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    turns = conversations.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), _plain(F.translate(speaker, "\r\n", "  ")).alias("speaker"), _plain(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"))
     turns = turns.withColumn("h", F.xxhash64("speaker", "text"))
     speakers = turns.filter(F.col("speaker") != SYSTEM).select("conv", "speaker").distinct()
     blocks = _blocks(turns).groupBy("conv", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "h", "speaker", "text"))).alias("turns"))
@@ -80,7 +88,7 @@ def digest(conversations: DataFrame) -> DataFrame:
 #: Each speaker's view by plain string aggregation; the driver's tables hold no crowded turns.
 ORACLE_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS speaker, coalesce(text, '') AS body,
+  SELECT conv_id, turn, replace(replace(replace(coalesce(nullif(trim(role), ''), 'unknown'), chr(13), ' '), chr(10), ' '), '<|im_', '< |im_') AS speaker, replace(coalesce(text, ''), '<|im_', '< |im_') AS body,
          CAST(floor(turn / 64.0) * 64 AS BIGINT) AS block
   FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS me FROM t WHERE speaker <> 'system'),

@@ -32,7 +32,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
@@ -42,6 +42,8 @@ from quire.llm.suffix import repeated_windows
 GRAM = 24
 CELL = 16
 CROWD = 4096
+#: Text bytes of a bucket, and the most buckets that a table may have (Spark's own limit is 100,000).
+BUCKET_BYTES, MAX_BUCKETS = 256 << 20, 100_000
 #: Symbols sorted at once.
 BLOCK = 1 << 16
 U64 = np.uint64
@@ -260,9 +262,18 @@ def repeated_bytes(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
     scratch = Scratch(spark, "repeats")
     packed = _pack(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     rows = scratch.put(packed.select("id", "a", "b", "n_bytes", "sha"), "rows")
-    # Texts are laid out once by name in a bucketed table, so later steps join them where they lie.
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Texts are laid out once by name in a bucketed table, so later steps join them where they lie; buckets follow the bytes.
+    weight = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    parts = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // BUCKET_BYTES)))
     name = f"quire_texts_{uuid.uuid4().hex}"
+    try:
+        return _repeated(spark, scratch, packed, rows, name, parts, width)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _repeated(spark: SparkSession, scratch: Scratch, packed: DataFrame, rows: DataFrame, name: str, parts: int, width: int) -> DataFrame:
+    """The result from ``rows`` and the texts, which are put into the table ``name``."""
     distinct = packed.select("a", "b", "packed").groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.first("packed").alias("packed"))
     distinct.write.bucketBy(parts, "a", "b").option("path", f"{scratch.root}/texts").format("parquet").saveAsTable(name)
     texts = spark.table(name)
@@ -303,7 +314,6 @@ def repeated_bytes(docs: DataFrame, *, width: int = 200, id_col: str = "doc_id",
     cut = texts.join(marks.hint("merge"), ["a", "b"], "left").filter("marks is not null or copies > 1").select("a", "b", "copies", "packed", "marks")
     results = scratch.put(_cut(cut, width), "results")
     scratch.drop("again", "kinds", "flags")
-    spark.sql(f"DROP TABLE {name}")
     scratch.drop("texts")
     release(spark)
     joined = rows.join(results.hint("merge"), ["a", "b"], "left")

@@ -6,8 +6,8 @@ them, hashed to 2**20 places. FTRL keeps a rate for every coordinate and
 an L1 term that leaves most weights at exactly zero, so the model is a short list of
 (place, weight) that is broadcast with a proven bound of 2**20 places.
 
-Fitting is sequential, so it uses a bounded sample: the MAX_ROWS labelled rows that
-come first by a hash of their id, and of those as many as hold MAX_FEATURES features.
+Fitting is sequential, so it uses a bounded sample: the MAX_ROWS labelled documents that
+come first by a hash of their id, and of those, in that order, as many as hold MAX_FEATURES features.
 Features are extracted on all executors; one task fits. Every text is scored whole.
 
 Defined results: null and empty texts have no features and get the bias alone as
@@ -101,6 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, *, how: Ftrl = Ftrl(), id_col: str
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.filter(learn) if learn is not None else known
     order = F.xxhash64(F.lit(4), F.col(id_col).cast("string"))
+    known = known.join(docs.select(F.col(id_col).alias("_doc")).filter("_doc is not null"), F.col(id_col) == F.col("_doc"), "left_semi")
     sample = known.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"), order.alias("_order")).orderBy("_order", "_id", "_y").limit(MAX_ROWS)
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_order", "_y", "_text")
 
@@ -120,9 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, *, how: Ftrl = Ftrl(), id_col: str
             at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
             flat = lists.flatten().to_numpy()
             for o, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if total + b - a <= MAX_FEATURES:
+                total += b - a
+                if total <= MAX_FEATURES:  # in order of the hash, so what is left out does not hang on length
                     rows.append((o, y, flat[a:b].copy()))
-                    total += b - a
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
         if rows:
             w, bias = fit([r[2] for r in rows], np.array([r[1] for r in rows], float), how)
