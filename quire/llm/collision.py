@@ -178,7 +178,7 @@ def _links(rows: DataFrame, groups: int, threshold: float) -> DataFrame:
             x, size = _padded(table.column("x").combine_chunks())
             seen, home = _project(x, size, LINES, 9), _homes(table.column("homes").combine_chunks(), groups)
             more = np.zeros(len(rep), np.int64)
-            ends: list[tuple[np.ndarray, np.ndarray]] = []
+            ends = [(np.zeros(0, int),) * 2]
             for i, j in meetings.pairs(table):
                 i, j = find_links(x, seen, i, j, threshold)
                 both = home[i]
@@ -189,11 +189,11 @@ def _links(rows: DataFrame, groups: int, threshold: float) -> DataFrame:
                 np.add.at(more, j, copies[i])
                 ends.append(meetings.stars(i, j))
             some = np.flatnonzero(more)
-            a = np.concatenate([rep[some], *(rep[p] for p, _ in ends)])
-            b = np.concatenate([more[some], *(rep[q] for _, q in ends)])
+            x, y = meetings.stars(*(np.concatenate(e) for e in zip(*ends, strict=True)))
+            a, b = np.concatenate((rep[some], rep[x])), np.concatenate((more[some], rep[y]))
             yield pa.RecordBatch.from_arrays([pa.array((np.arange(len(a)) >= len(some)).astype(np.int64)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"])
 
-    return meetings.deal(rows, BLOCK).mapInArrow(run, "kind long, a long, b long")
+    return meetings.deal(meetings.each_home(rows), BLOCK).mapInArrow(run, "kind long, a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

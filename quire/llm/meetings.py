@@ -24,7 +24,7 @@ TASK = ["bucket", "low", "high"]
 
 
 def homes(keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rep, homes``: the buckets of more than one row in which each row stands, by table.
+    """``rep, homes``: the buckets of more than one row in which each row stands, by table, with their number of rows and least row.
 
     ``keys`` has rep, place (the table) and key, and a row has a key once. Members are
     compared by their number, their least and an exclusive or of hashes.
@@ -32,20 +32,26 @@ def homes(keys: DataFrame, scratch: Scratch) -> DataFrame:
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("all")).filter("c > 1")
     counts = scratch.put(counts, "buckets")
     first = counts.groupBy("c", "least", "all").agg(F.min("key").alias("bucket"))
-    named = scratch.put(counts.join(first, ["c", "least", "all"]).select("key", "bucket", "c"), "named")
+    named = scratch.put(counts.join(first, ["c", "least", "all"]).select("key", "bucket", "c", "least"), "named")
     met = keys.join(named.hint("merge"), "key")
-    return met.groupBy("rep").agg(F.collect_list(F.struct("place", "bucket", "c")).alias("homes"))
+    return met.groupBy("rep").agg(F.collect_list(F.struct("place", "bucket", "c", "least")).alias("homes"))
+
+
+def each_home(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each of their ``homes``, with bucket and c, its number of members."""
+    own = rows.columns
+    each = rows.withColumn("h", F.explode(F.array_distinct(F.transform("homes", lambda h: F.struct(h.bucket.alias("bucket"), h.c.alias("c"))))))
+    return each.select(*own, "h.bucket", "h.c")
 
 
 def deal(rows: DataFrame, block: int) -> DataFrame:
-    """``rows`` (rep, homes and what tasks need) once for each task, laid out by task: bucket, low, high and side.
+    """``rows`` (rep, bucket, c and what tasks need) once for each task, laid out by task: bucket, low, high and side.
 
     Side 2 is a block compared with itself; 0 and 1 are two blocks compared with each other.
     """
     own = [c for c in rows.columns if c not in ("bucket", "c")]
-    each = rows.withColumn("h", F.explode(F.array_distinct(F.transform("homes", lambda h: F.struct(h.bucket.alias("bucket"), h.c.alias("c"))))))
-    parts = F.ceil(F.col("h.c") / block)
-    placed = each.select(*own, F.col("h.bucket").alias("bucket"), F.pmod(F.xxhash64("rep"), parts).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("o"))
+    parts = F.ceil(F.col("c") / block)
+    placed = rows.select(*own, "bucket", F.pmod(F.xxhash64("rep"), parts).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("o"))
     side = F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
     dealt = placed.select(*own, "bucket", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"), side.alias("side"))
     return dealt.repartition(*TASK).sortWithinPartitions(*TASK, "side")

@@ -12,7 +12,9 @@ similarity 0.8 with probability 5e-8; (3) representatives that meet in a band ar
 compared by their signatures, one byte a register, and those that agree in at least
 72 of 128 places are linked as candidates (a pair at 0.8 falls short of that with
 probability 1e-10, a pair at 0.4 reaches it with 1e-4), so groups of candidates do not
-grow together through bands that unlike texts share by chance; (4) inside a group of
+grow together through bands that unlike texts share by chance. First each is compared with
+the least of its bucket, which links most near copies; then, in buckets that this
+leaves in several parts, all pairs of different parts are compared; (4) inside a group of
 candidates all sets are compared exactly, in blocks of bounded size; (5) exact links give
 the components.
 
@@ -48,7 +50,7 @@ BANDS = 32
 #: Places in which the signatures of candidates agree: 6.7 deviations below what a pair at 0.8 has.
 AGREE = 72
 #: Documents of a bucket, and shingles of a group, in a block; a task holds one or two blocks.
-BUCKET_BLOCK, BLOCK_ELEMENTS = 1024, 1 << 18
+BUCKET_BLOCK, BLOCK_ELEMENTS = 4096, 1 << 18
 #: Shingles that a document counts for at least, so a block of a group has 2,048 documents at most.
 LEAST_ELEMENTS = 128
 #: Shingles held by more documents of a task are counted by a matrix product, others pair by pair.
@@ -192,19 +194,45 @@ def _members(found: DataFrame, size: int) -> DataFrame:
     return found.select("id", "packed", "tasks").mapInArrow(run, "rep long, tasks array<struct<task:string,side:int>>, set_key binary, elements array<long>")
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    """``a, b``: members of one bucket whose signatures agree, as stars. ``rows``: rep, homes, signature."""
+def _bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+
+
+def _near_least(met: DataFrame) -> DataFrame:
+    """``a, b``: members of buckets (rep, homes, signature) and the least of their bucket where their signatures agree."""
+
+    def run(batches):
+        for batch in batches:
+            near = (_bytes(batch.column(2)) == _bytes(batch.column(3))).sum(axis=1) >= AGREE
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["a", "b"])
+
+    pairs = met.select("rep", "signature", F.explode(F.array_distinct(F.transform("homes", lambda h: h.least))).alias("least")).filter("rep != least")
+    both = pairs.join(met.select(F.col("rep").alias("least"), F.col("signature").alias("other")).hint("merge"), "least")
+    return both.select("rep", "least", "signature", "other").mapInArrow(run, "a long, b long")
+
+
+def _candidates(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b``: links of members of one bucket whose signatures agree, enough of them to join what belongs together."""
 
     def run(batches):
         for table in meetings.chunks(batches):
-            rep = table.column("rep").to_numpy()
-            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+            rep, part, sig = table.column("rep").to_numpy(), table.column("part").to_numpy(), _bytes(table.column("signature"))
+            found = [(np.zeros(0, int),) * 2]
             for i, j in meetings.pairs(table):
+                apart = part[i] != part[j]
+                i, j = i[apart], j[apart]
                 alike = (sig[i] == sig[j]).sum(axis=1) >= AGREE
-                x, y = meetings.stars(i[alike], j[alike])
-                yield pa.RecordBatch.from_arrays([pa.array(rep[x], pa.int64()), pa.array(rep[y], pa.int64())], ["a", "b"])
+                found.append(meetings.stars(i[alike], j[alike]))
+            x, y = meetings.stars(*(np.concatenate(f) for f in zip(*found, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[x], pa.int64()), pa.array(rep[y], pa.int64())], ["a", "b"])
 
-    return meetings.deal(rows, BUCKET_BLOCK).select("rep", "signature", *meetings.TASK, "side").mapInArrow(run, "a long, b long")
+    near = scratch.put(_near_least(met), "near")
+    parts = components(near, scratch, "near-parts").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    each = scratch.put(meetings.each_home(met.join(parts, "rep", "left").select("rep", "homes", "signature", F.coalesce("part", "rep").alias("part"))).drop("homes"), "each")
+    several = each.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("bucket")
+    rest = each.join(scratch.put(several, "several").hint("merge"), "bucket")
+    across = meetings.deal(rest, BUCKET_BLOCK).select("rep", "part", "signature", *meetings.TASK, "side").mapInArrow(run, "a long, b long")
+    return near.union(scratch.put(across, "across"))
 
 
 def _shared(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -303,9 +331,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: tuple[int, int
     # Equal sets form a class; only the row with its least id goes on.
     classes = scratch.put(known.groupBy("set_key").agg(F.min_by(F.struct("id", "n_shingles", "bands", "signature"), "id").alias("r")).select("set_key", "r.*"), "classes")
     keys = classes.select(F.col("id").alias("rep"), F.posexplode("bands").alias("place", "key"))
-    met = meetings.homes(keys, scratch).join(classes.select(F.col("id").alias("rep"), "signature").hint("merge"), "rep")
-    alike = scratch.put(_candidates(met), "alike")
-    groups = components(alike, scratch, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("component", "group")
+    met = scratch.put(meetings.homes(keys, scratch).join(classes.select(F.col("id").alias("rep"), "signature").hint("merge"), "rep"), "met")
+    groups = components(_candidates(met, scratch), scratch, "candidates").withColumnRenamed("node", "rep").withColumnRenamed("component", "group")
     groups = scratch.put(groups.join(classes.select(F.col("id").alias("rep"), F.col("n_shingles").alias("n")), "rep"), "groups")
     tasks = scratch.put(_deal(groups, threshold), "tasks")
     # A merge join at every size: a table of tasks that is small here would be broadcast, one that grows could not.
