@@ -5,12 +5,15 @@ from __future__ import annotations
 import zlib
 from dataclasses import replace
 
-from quire.formats import jpeg, pixels
+from quire.formats import jpeg, package, pixels
 from quire.formats.errors import FormatError, Limits
 from quire.formats.paged import Container
 from quire.formats.pdf import append_outline
 from quire.formats.records import PageText
+from quire.formats.text import utf16_hex
 
+#: Keys of the application info in a file's information dictionary; images that a page may place.
+INFO_KEYS, MAX_PAGE_IMAGES = {"doi": "CNKI_DOI", "url": "CNKI_URL"}, 8192
 #: Points of one container unit, and of a pixel at 300 an inch.
 UNIT, PIXEL = 72 / 742, 72 / 300
 
@@ -31,10 +34,12 @@ class Writer:
             self.body += f"<< {head} /Length {len(stream)} >>\nstream\n".encode() + stream + b"\nendstream\nendobj\n"
         return number
 
-    def finish(self, root: int) -> bytes:
+    def finish(self, root: int, info: dict[str, str] | None = None) -> bytes:
+        """The file; ``info`` becomes its information dictionary."""
+        shown = f" /Info {self.add('<< ' + ' '.join(f'/{k} <{utf16_hex(v)}>' for k, v in info.items()) + ' >>')} 0 R" if info else ""
         table = len(self.body)
         rows = "".join(f"{p:010d} 00000 n \n" for p in self.places)
-        self.body += f"xref\n0 {len(self.places) + 1}\n0000000000 65535 f \n{rows}trailer\n<< /Size {len(self.places) + 1} /Root {root} 0 R >>\nstartxref\n{table}\n%%EOF\n".encode()
+        self.body += f"xref\n0 {len(self.places) + 1}\n0000000000 65535 f \n{rows}trailer\n<< /Size {len(self.places) + 1} /Root {root} 0 R{shown} >>\nstartxref\n{table}\n%%EOF\n".encode()
         return bytes(self.body)
 
 
@@ -57,7 +62,7 @@ def bilevel_object(kind: int, data: bytes, limits: Limits) -> tuple[str, bytes]:
     return head, zlib.compress(pixels.packed(rows))
 
 
-def image_pdf(pages: list[tuple[float, float, list[tuple[tuple[str, bytes], list[float]]]]]) -> bytes:
+def image_pdf(pages: list[tuple[float, float, list[tuple[tuple[str, bytes], list[float]]]]], info: dict[str, str] | None = None) -> bytes:
     """A file of pages (width, height, images), an image being its object (dictionary, stream) and the matrix that places it."""
     out = Writer()
     first = 3
@@ -75,7 +80,7 @@ def image_pdf(pages: list[tuple[float, float, list[tuple[tuple[str, bytes], list
         out.add("", draw.encode())
         for (head, stream), _ in images:
             out.add(head, stream)
-    return out.finish(1)
+    return out.finish(1, info)
 
 
 def _placed(box: Container, page: dict) -> tuple[list[tuple[int, int, int, int]], tuple[int, int]]:
@@ -107,6 +112,8 @@ def _page(box: Container, page: dict, limits: Limits) -> tuple[float, float, lis
     """
     variant, number_ = box.header.variant, page["page_number"]
     size, places, repeats, found = box.header.page_size, [], 0, []
+    if page["image_count"] > MAX_PAGE_IMAGES:
+        raise box.v.error("LimitExceeded", "page image placements", page["row_offset"], (MAX_PAGE_IMAGES, page["image_count"]), page=number_)
     if page["image_count"]:
         if variant == "HN-B":
             found = list(box.images(page))
@@ -145,7 +152,8 @@ def compose(data: bytes, limits: Limits = Limits(), *, include_bookmarks: bool =
     """
     box = Container(data, limits)
     rows = [_page(box, box.page(k), limits) for k in range(1, box.header.page_count + 1)]
-    out, entries = image_pdf([r[:3] for r in rows]), []
+    known = package.read(data, limits)
+    out, entries = image_pdf([r[:3] for r in rows], {key: known[k] for k, key in INFO_KEYS.items() if known[k]}), []
     if include_bookmarks and box.header.outline_count:
         entries = [(r["depth"], r["title"], r["page_index"]) for r in box.outline() if r["kind"] == "bookmark" and r["title"]]
         out = append_outline(out, entries, limits)

@@ -170,6 +170,34 @@ def needs_fonts(pages: DataFrame) -> DataFrame:
     return pages.filter("error is null").groupBy("path").agg(F.coalesce(first == "native", F.lit(False)).alias("native"), F.count_if(F.col("page_error").isNotNull() | F.col("text_error").isNotNull()).alias("unknown_pages"))
 
 
+def native_font_modes(needs: DataFrame, headers: DataFrame) -> DataFrame:
+    """``path, native_mode`` of the documents of ``needs_fonts`` that need fonts: the mode decides which."""
+    return needs.filter("native").select("path").join(headers.filter("error is null").select("path", "native_mode"), "path")
+
+
+def page_links(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """``path, page, links`` for every page that can be read: its links (ordinal, rect, color, uri) in their order, none an empty array."""
+    own = links.filter("error is null and problem is null").groupBy("path", "page").agg(F.array_sort(F.collect_list(F.struct("ordinal", "rect", "color", "uri"))).alias("links"))
+    none = F.array().cast("array<struct<ordinal:int,rect:array<double>,color:string,uri:string>>")
+    return pages.filter("error is null and page_error is null").select("path", "page").join(own, ["path", "page"], "left").withColumn("links", F.coalesce("links", none))
+
+
+def conversion_totals(made: DataFrame) -> DataFrame:
+    """Sums over all documents of ``to_pdf``: converted, failed, pages, bytes, bookmarks, repairs and blank pages."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return made.agg(
+        F.count_if(F.col("error").isNull()).alias("converted"), F.count_if(F.col("error").isNotNull()).alias("failed"), total("page_count").alias("pages"), total("output_bytes").alias("bytes"),
+        total("bookmark_count").alias("bookmarks"), total("repaired_links").alias("links"), total("repaired_objects").alias("objects"), total(F.size("omitted_pages")).alias("blank_pages"),
+    )
+
+
+def checksums(files: DataFrame, pinned: DataFrame) -> DataFrame:
+    """``path, size, sha256, matches``: files held against pinned sizes and hashes (path, size, sha256); null where none is pinned."""
+    seen = files.select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256")).alias("f")
+    p = pinned.select("path", F.col("size").alias("_size"), F.lower("sha256").alias("_sha"))
+    return seen.join(p, "path", "left").select("path", "size", "sha256", ((F.col("size") == F.col("_size")) & (F.col("sha256") == F.col("_sha"))).alias("matches"))
+
+
 def application_info(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return each_document(_of(files, "HN", "C8"), lambda data: iter([package.read(data, limits)]), "doi string, url string, note_count long, status string, defect string")
 

@@ -391,6 +391,73 @@ def needs_fonts(spark, sf_dir):
     return documents.needs_fonts(documents.hnc8_pages(_built(spark, sf_dir, _native).union(images)))
 
 
+@query("WITH " + ORDERS + "SELECT path, CAST(2 AS BIGINT) AS native_mode FROM o WHERE i = 0")
+def native_font_modes(spark, sf_dir):
+    """The mode of documents that need fonts."""
+    images = _built(spark, sf_dir, _c8).select(F.concat(F.lit("x"), "path").alias("path"), "content")
+    files = _built(spark, sf_dir, _native).union(images)
+    return documents.native_font_modes(documents.needs_fonts(documents.hnc8_pages(files)), documents.hnc8_headers(files))
+
+
+@query(C8_PAGES + "SELECT path, i + 1 AS page, CASE WHEN i % 2 = 0 THEN i || ' https://example.org/' || k ELSE '' END AS links FROM p WHERE NOT bad")
+def page_links(spark, sf_dir):
+    """The links of each page, found by page."""
+    files = _built(spark, sf_dir, _c8)
+    links = documents.package_links(files).filter("page % 2 = 1")
+    found = documents.page_links(documents.hnc8_pages(files), links)
+    return found.select("path", "page", F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x.ordinal, x.uri)), ",").alias("links"))
+
+
+@query(CAJ_SPANS + "SELECT CAST(count(*) FILTER (WHERE i = 0) AS BIGINT) AS converted, CAST(0 AS BIGINT) AS failed, CAST(count(*) AS BIGINT) AS pages, CAST(count(*) AS BIGINT) AS bookmarks, CAST(count(*) FILTER (WHERE i = 0 AND c % 7 = 0) AS BIGINT) AS links, CAST(0 AS BIGINT) AS objects, CAST(count(*) FILTER (WHERE i = 0 AND c % 5 = 0) AS BIGINT) AS blank_pages FROM p")
+def conversion_totals(spark, sf_dir):
+    """What converting CAJ documents came to in all."""
+    return documents.conversion_totals(documents.to_pdf(_built(spark, sf_dir, _caj), allow_damaged=True)).drop("bytes")
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 3 = 1 END AS matches FROM documents WHERE text IS NOT NULL")
+def checksums(spark, sf_dir):
+    """Files held against pinned hashes."""
+    docs = _table(spark, sf_dir, "documents").filter("text is not null")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    pinned = docs.filter("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("size"), F.sha2(F.concat("text", F.when(F.col("doc_id") % 3 == 2, "x").otherwise("")), 256).alias("sha256"))
+    return documents.checksums(files, pinned).select(F.col("path").cast("long").alias("doc_id"), "size", "matches")
+
+
+@query("WITH " + ORDERS + "SELECT path, 'FEFF' || regexp_replace(upper(hex(encode('10.1/' || c))), '(..)', '00\\1', 'g') AS doi FROM o WHERE i = 0 AND c % 6 <> 0")
+def output_application_info(spark, sf_dir):
+    """The DOI that PDFs of C8 documents carry in their information dictionary."""
+    made = documents.to_pdf(_built(spark, sf_dir, _c8)).filter("error is null")
+    return made.select("path", F.regexp_extract(F.decode("pdf", "ISO-8859-1"), "/CNKI_DOI <([0-9A-F]+)>", 1).alias("doi"))
+
+
+def _faulty(c: int, orders: list[dict]) -> bytes:
+    """A PDF whose pages name a wrong parent (every third), whose tree repeats its box (every other) and whose outline has wrong links (every fifth)."""
+    n = len(orders)
+    box = "/MediaBox [0 0 9 9] " * (1 + (c % 2 == 0))
+    kids = " ".join(f"{3 + i} 0 R" for i in range(n))
+    parts = ["<< /Type /Catalog /Pages 2 0 R /Outlines 900 0 R >>".replace("900", str(3 + n)), f"<< /Type /Pages /Kids [{kids}] /Count {n} {box}>>"]
+    parts += [f"<< /Type /Page /Parent {1 if c % 3 == 0 else 2} 0 R >>" for _ in range(n)]
+    first = 4 + n
+    parts.append(f"<< /Type /Outlines /First {first} 0 R /Last {first + (n - 1 if c % 5 else 0)} 0 R /Count {n} >>")
+    for i in range(n):
+        links = (f"/Prev {first + i - 1} 0 R " if i else "") + (f"/Next {first + i + 1} 0 R " if i + 1 < n else "")
+        parts.append(f"<< /Title (t{i}) /Parent {3 + n} 0 R {links}/Dest [{3 + i} 0 R /Fit] >>")
+    out, places = "%PDF-1.4\n", []
+    for k, part in enumerate(parts):
+        places.append(len(out))
+        out += f"{k + 1} 0 obj\n{part}\nendobj\n"
+    rows = "".join(f"{p:010d} 00000 n \n" for p in places)
+    return f"{out}xref\n0 {len(parts) + 1}\n0000000000 65535 f \n{rows}trailer\n<< /Size {len(parts) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF\n".encode()
+
+
+@query("WITH " + ORDERS + "SELECT path, n AS page_count, CAST(CASE WHEN c % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN c % 3 = 0 THEN n ELSE 0 END + CASE WHEN c % 5 = 0 AND n > 1 THEN 1 ELSE 0 END AS BIGINT) AS repaired_objects, CAST(0 AS BIGINT) AS problems FROM o WHERE i = 0")
+def pdf_repairs(spark, sf_dir):
+    """PDFs whose faults have one right answer, repaired by an update and checked again."""
+    made = documents.to_pdf(_built(spark, sf_dir, _faulty)).filter("error is null").select("path", "page_count", "repaired_objects", F.col("pdf").alias("content"))
+    left = documents.pdf_problems(made).groupBy("path").agg(F.count(F.lit(1)).alias("problems"))
+    return made.drop("content").join(left, "path", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
+
+
 # Reports, errors, detection, functions
 
 

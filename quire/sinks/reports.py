@@ -28,13 +28,14 @@ def inspections(files: DataFrame, *, bookmarks: bool = False, pages: bool = Fals
     return each_document(named, kernel, "json string, text string", more=["format"])
 
 
-def write_files(rows: DataFrame, content: str, uri: str, suffix: str, *, keep_errors: bool = False) -> DataFrame:
+def write_files(rows: DataFrame, content: str, uri: str, suffix: str, *, keep_errors: bool = False, overwrite: bool = False) -> DataFrame:
     """A file for each row (path, content) in the shared folder ``uri``; ``path, written, bytes``.
 
     Rows without content are left out, or kept with their ``error`` as text if ``keep_errors``.
 
     Names come from a hash of the source's path, so no output can replace an input; a file
-    appears by renaming a whole one.
+    appears by renaming a whole one. A file that is there already stays: if it holds the same bytes
+    the row counts as written, so a task may run twice, and else it is an error unless ``overwrite``.
     """
 
     def run(batches):
@@ -49,6 +50,15 @@ def write_files(rows: DataFrame, content: str, uri: str, suffix: str, *, keep_er
                         done.append((path, None, None, error or "no content"))
                     continue
                 name = f"{root}/{hashlib.sha256(path.encode()).hexdigest()[:32]}{suffix}"
+                if not overwrite and fs.get_file_info(name).type != pafs.FileType.NotFound:
+                    with fs.open_input_stream(name) as there:
+                        if there.read() != body:
+                            if keep_errors:
+                                done.append((path, None, None, "output exists"))
+                                continue
+                            raise FileExistsError(name)
+                    done.append((path, name, len(body), None))
+                    continue
                 with fs.open_output_stream(part := f"{name}.{TaskContext.get().taskAttemptId()}.tmp") as out:
                     out.write(body)
                 fs.move(part, name)
