@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from quire.operators import shared
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 2000
 BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -95,3 +96,12 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def give_back() -> None:
+    """At the end of a task that held much: lets the worker, which lives on, return free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import meetings
 from quire.llm import textkit as tk
-from quire.llm.common import Scratch, free_name
+from quire.llm.common import Scratch, free_name, give_back
 from quire.llm.graph import components
 
 REGISTERS = 128
@@ -51,8 +51,8 @@ BANDS = 32
 AGREE = 72
 #: Documents of a bucket, and shingles of a group, in a block; a task holds one or two blocks.
 BUCKET_BLOCK, BLOCK_ELEMENTS = 4096, 1 << 18
-#: Shingles that a document counts for at least, so a block of a group has 2,048 documents at most.
-LEAST_ELEMENTS = 128
+#: Shingles that a document counts for at least, so a block of a group has about 1,024 documents at most.
+LEAST_ELEMENTS = 256
 #: Shingles held by more documents of a task are counted by a matrix product, others pair by pair.
 OFTEN, COLUMNS = 8, 1024
 U64 = np.uint64
@@ -161,6 +161,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                 ends = pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(piece)), pa.array(np.diff(at), pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands)), short], ["id", "n_shingles", "set_key", "bands", "signature"])
                 first += len(piece)
+        give_back()
 
     return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>, signature binary")
 
@@ -190,6 +191,7 @@ def _members(found: DataFrame, size: int) -> DataFrame:
                 keys = [_set_key(h[a:b]) if b > a else None for a, b in itertools.pairwise(at.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(piece)), batch.column(2).slice(first, len(piece)), pa.array(keys, pa.binary()), sets], ["rep", "tasks", "set_key", "elements"])
                 first += len(piece)
+        give_back()
 
     return found.select("id", "packed", "tasks").mapInArrow(run, "rep long, tasks array<struct<task:string,side:int>>, set_key binary, elements array<long>")
 
@@ -235,14 +237,15 @@ def _candidates(met: DataFrame, scratch: Scratch) -> DataFrame:
     return near.union(scratch.put(across, "across"))
 
 
-def _shared(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """How many elements each two of the sets have in common."""
+def _shared(flat: np.ndarray, size: np.ndarray, split: int = 0) -> np.ndarray:
+    """How many elements each two of the sets have in common: rows and columns are all sets (split 0; the diagonal is left out), or those before and from ``split``."""
     n = len(size)
     row = np.repeat(np.arange(n), size)
     _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
     order = np.argsort(inverse, kind="stable")
     row, times = row[order], count[inverse[order]]
-    common = np.zeros((n, n), np.int32)
+    left, right = (slice(0, split), slice(split, n)) if split else (slice(0, n),) * 2
+    common = np.zeros((left.stop, right.stop - right.start), np.int32)
     # Shingles of many sets: columns of a 0/1 matrix.
     often = times > OFTEN
     if often.any():
@@ -252,27 +255,32 @@ def _shared(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
             lo, hi = np.searchsorted(column, (a, a + COLUMNS))
             dense = np.zeros((n, COLUMNS), np.float32)
             dense[own[lo:hi], column[lo:hi] - a] = 1
-            common += (dense @ dense.T).astype(np.int32)
-    # Shingles of few: each with those after it.
+            for top in range(0, left.stop, 512):
+                rows = slice(top, min(top + 512, left.stop))
+                common[rows] += (dense[rows] @ dense[right].T).astype(np.int32)
+    # Shingles of few: each with those after it; rows of a shingle are in order.
     for c in range(2, OFTEN + 1):
         own = row[times == c].reshape(-1, c)
         for x in range(c):
             for y in range(x + 1, c):
-                np.add.at(common, (own[:, x], own[:, y]), 1)
-                np.add.at(common, (own[:, y], own[:, x]), 1)
+                a, b = own[:, x], own[:, y]
+                if split:
+                    across = (a < split) & (b >= split)
+                    a, b = a[across], b[across]
+                np.add.at(common, (a, b - right.start), 1)
+                if not split:
+                    np.add.at(common, (b, a), 1)
     return common
 
 
 def _compare(flat: np.ndarray, size: np.ndarray, split: int, threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Links among sets (split 0), or between those before and those from ``split``, as stars over the sets' numbers."""
-    n = len(size)
-    common = _shared(flat, size)
-    rows, columns = (n, np.arange(n)) if not split else (split, np.arange(split, n))
+    common = _shared(flat, size, split)
+    columns = np.arange(split, len(size))
     found = []
-    for a in range(0, rows, 256):
-        b = min(a + 256, rows)
-        here = common[a:b, columns[0] :].astype(np.int64)
-        union = size[a:b, None] + size[None, columns] - here
+    for a in range(0, len(common), 256):
+        here = common[a : a + 256].astype(np.int64)
+        union = size[a : a + len(here), None] + size[None, columns] - here
         i, j = np.nonzero(here * threshold[1] >= union * threshold[0])
         i, j = i + a, columns[j]
         found.append(np.stack((i[i < j], j[i < j])))

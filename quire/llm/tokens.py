@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
-from quire.llm.common import Scratch, broadcast_if_small
+from quire.llm.common import Scratch, broadcast_if_small, give_back
 
 #: Fixed values of the public vocabulary: how its text is cut before merging, and the free id after its last.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,6 +47,7 @@ ROUNDS = 6
 #: Sequences that are compressed together until they are dealt to shards, and how hard zstd tries.
 GROUP, LEVEL = 16, 6
 MAX_PARTITIONS = 20_000
+HEAD = "slot long, shard int, offset long, n_tokens int, doc_ids array<long>"
 _ENCODERS: dict[str, object] = {}
 
 
@@ -142,6 +143,7 @@ def _sequences(docs: DataFrame, vocabulary: bytes, length: int) -> DataFrame:
             finish()
         if rows:
             yield flush()
+        give_back()
 
     return docs.mapInArrow(run, "part int, place long, n_tokens array<int>, doc_ids array<array<long>>, packed binary")
 
@@ -152,6 +154,21 @@ def materialise(docs: DataFrame, *, vocabulary: str = VOCABULARY, length: int =
     ``tokens`` are ``length`` little-endian 16-bit ids. Each partition of the result
     holds whole shards in order of slot, ready for ``write_shards``.
     """
+    ordered = _ordered(docs, vocabulary, length, per_shard, key, id_col, text_col)
+
+    def unpack(batches):
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                own = batch.slice(first, 1024)
+                bodies = pa.array([open_(x) for x in own.column("packed").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], bodies], [*own.schema.names[:-1], "tokens"])
+
+    return ordered.mapInArrow(unpack, f"{HEAD}, tokens binary")
+
+
+def _ordered(docs: DataFrame, vocabulary: str, length: int, per_shard: int, key: int, id_col: str, text_col: str) -> DataFrame:
+    """``slot, shard, offset, n_tokens, doc_ids, packed``: the sequences, compressed, laid out as ``materialise`` has them."""
     scratch = Scratch(docs.sparkSession, "tokens")
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = scratch.put(_sequences(narrow, load_vocabulary(vocabulary), length), "sequences")
@@ -175,18 +192,8 @@ def materialise(docs: DataFrame, *, vocabulary: str = VOCABULARY, length: int =
                 flat = ([n for group in sizes for n in group], [x for group in ids for x in group], bodies)
                 yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * stride), *(pa.array(v, t) for v, t in zip(flat, kinds, strict=True))], ["slot", "shard", "offset", "n_tokens", "doc_ids", "packed"])
 
-    def unpack(batches):
-        open_ = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                own = batch.slice(first, 1024)
-                bodies = pa.array([open_(x) for x in own.column("packed").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*own.columns[:-1], bodies], [*own.schema.names[:-1], "tokens"])
-
-    head = "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, "
-    placed = found.join(broadcast_if_small(bases, 1_000_000), "part").select((F.col("base") + F.col("place")).alias("index"), "n_tokens", "doc_ids", "packed").mapInArrow(place, head + "packed binary")
-    ordered = placed.repartitionById(-(-shards // together), F.floor(F.col("shard") / together).cast("int")).sortWithinPartitions("slot")
-    return ordered.mapInArrow(unpack, head + "tokens binary")
+    placed = found.join(broadcast_if_small(bases, 1_000_000), "part").select((F.col("base") + F.col("place")).alias("index"), "n_tokens", "doc_ids", "packed").mapInArrow(place, f"{HEAD}, packed binary")
+    return placed.repartitionById(-(-shards // together), F.floor(F.col("shard") / together).cast("int")).sortWithinPartitions("slot")
 
 
 def write_shards(sequences: DataFrame, uri: str, *, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -196,12 +203,18 @@ def write_shards(sequences: DataFrame, uri: str, *, length: int = LENGTH, per_sh
     twice, leaves one whole file. A shard whose file and sidecar match is not written again.
     Hashes are of the bytes read back.
     """
+    return _write(sequences.select("slot", "shard", "offset", "n_tokens", "doc_ids", "tokens"), uri, length, per_shard, False)
+
+
+def _write(sequences: DataFrame, uri: str, length: int, per_shard: int, packed: bool) -> DataFrame:
+    """``write_shards`` of sequences whose last column is the tokens, compressed if ``packed``."""
     kinds = {"slot": pa.int64(), "shard": pa.int32(), "offset": pa.int64(), "n_tokens": pa.int32(), "doc_ids": pa.list_(pa.int64()), "tokens_sha256": pa.string(), "shard_sha256": pa.string()}
     stride = 2 * length
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
+        open_ = zstandard.ZstdDecompressor().decompress
 
         def read(path: str) -> bytes | None:
             if fs.get_file_info(path).type != pafs.FileType.File:
@@ -223,9 +236,13 @@ def write_shards(sequences: DataFrame, uri: str, *, length: int = LENGTH, per_sh
 
         def finish(rows: list[dict]) -> pa.RecordBatch:
             shard, offsets = rows[0]["shard"], [r["offset"] for r in rows]
-            if offsets != list(range(0, stride * len(rows), stride)) or len(rows) > per_shard or any(len(r["tokens"]) != stride for r in rows):
-                raise ValueError(f"shard {shard} does not have the stride")
-            body = write(shard, b"".join(r["tokens"] for r in rows))
+            plain = bytearray(stride * len(rows))
+            for k, r in enumerate(rows):
+                body = open_(r["body"]) if packed else r["body"]
+                if len(body) != stride or offsets[k] != k * stride or k >= per_shard:
+                    raise ValueError(f"shard {shard} does not have the stride")
+                plain[k * stride : (k + 1) * stride] = body
+            body = write(shard, bytes(plain))
             sha = hashlib.sha256(body).hexdigest()
             values = {k: [r[k] for r in rows] for k in ("slot", "shard", "offset", "n_tokens", "doc_ids")}
             values |= {"tokens_sha256": [hashlib.sha256(body[a : a + stride]).hexdigest() for a in offsets], "shard_sha256": [sha] * len(rows)}
@@ -233,21 +250,23 @@ def write_shards(sequences: DataFrame, uri: str, *, length: int = LENGTH, per_sh
 
         rows: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (dict(zip(("slot", "shard", "offset", "n_tokens", "doc_ids", "body"), r, strict=True)) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 if rows and rows[0]["shard"] != row["shard"]:
                     yield finish(rows)
                     rows = []
                 rows.append(row)
         if rows:
             yield finish(rows)
+        rows = []
+        give_back()
 
-    return sequences.select("slot", "shard", "offset", "n_tokens", "doc_ids", "tokens").mapInArrow(run, "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, tokens_sha256 string, shard_sha256 string")
+    return sequences.mapInArrow(run, "slot long, shard int, offset long, n_tokens int, doc_ids array<long>, tokens_sha256 string, shard_sha256 string")
 
 
-def write(docs: DataFrame, uri: str | None = None, *, length: int = LENGTH, per_shard: int = PER_SHARD, **options) -> DataFrame:
+def write(docs: DataFrame, uri: str | None = None, *, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as shard files in ``uri`` (a folder of this session's scratch if None); a row for each sequence, as of ``write_shards``."""
     uri = uri or f"{Scratch(docs.sparkSession, 'shards').root}/shards"
-    return write_shards(materialise(docs, length=length, per_shard=per_shard, **options), uri, length=length, per_shard=per_shard)
+    return _write(_ordered(docs, vocabulary, length, per_shard, key, id_col, text_col), uri, length, per_shard, True)
 
 
 def read_sequences(uri: str, first: int = 0, *, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:

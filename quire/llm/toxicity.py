@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
-from quire.llm.common import free_name, small_batches, with_text_result
+from quire.llm.common import free_name, give_back, small_batches, with_text_result
 
 PLACES = 1 << 20
 MAX_ROWS = 20_000
@@ -127,6 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, *, how: Ftrl = Ftrl(), id_col: str
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
         if rows:
             w, bias = fit([r[2] for r in rows], np.array([r[1] for r in rows], float), how)
+            rows = []
+            give_back()
             used = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(w[used], bias))], ["place", "weight"])
 
