@@ -45,6 +45,12 @@ def detections(files: DataFrame) -> DataFrame:
     return files.select("path", name.alias("format"), offset.cast("long").alias("header_offset"), read.cast("long").alias("bytes_read"), F.coalesce(name.isin(*CONVERTIBLE), F.lit(False)).alias("convertible"))
 
 
+def error_row(error: Exception) -> dict:
+    """The columns of a row that tells what was wrong with a document, or a part of it."""
+    e = error if isinstance(error, FormatError) else FormatError("Malformed", f"document cannot be read ({type(error).__name__})")
+    return e.row | {"error": {"kind": e.kind, "code": error_code(e), "offset": e.offset, "reason": e.reason, "message": str(e)}}
+
+
 def each_document(files: DataFrame, kernel: Callable[..., Iterator[dict]], schema: str, *, more: list[str] | None = None) -> DataFrame:
     """Rows of ``kernel`` for each file, with its path; ``error`` columns tell why there are none.
 
@@ -70,8 +76,7 @@ def each_document(files: DataFrame, kernel: Callable[..., Iterator[dict]], schem
                             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
                             rows, held = [], 0
                 except Exception as error:  # damaged bytes may break a kernel in ways it does not foresee: that is the document's error
-                    e = error if isinstance(error, FormatError) else FormatError("Malformed", f"document cannot be read ({type(error).__name__})")
-                    rows.append({"path": path} | e.row | {"error": {"kind": e.kind, "code": error_code(e), "offset": e.offset, "reason": e.reason, "message": str(e)}})
+                    rows.append({"path": path} | error_row(error))
                 if rows:
                     yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
 

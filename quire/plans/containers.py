@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire.formats import build, encoders
 from quire.functions import binary
-from quire.operators import documents
+from quire.operators import documents, fonts
 from quire.sinks import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -580,3 +580,28 @@ def jbig2_segments(spark, sf_dir):
     """Segments of images with symbols, and the segments they refer to."""
     found = documents.jbig2_segments(_picture_files(spark, sf_dir)).filter("error is null and image = 3")
     return found.select("path", "number", "type", F.array_join(F.transform("referred_to", lambda x: x.cast("string")), ",").alias("refers"))
+
+
+# Fonts
+
+
+def _font(c: int, orders: list[dict]) -> bytes:
+    """A collection of two faces: a glyph for each order under the character 0x4E00 + its place; faults in the second."""
+    widths = [0, *(200 + order["o_orderkey"] % 500 for order in orders)]
+    runs = [(0x4E00 + i, 0x4E00 + i, i + 1) for i in range(len(orders))]
+    second = build.font(widths, runs, units=2048, licence=2 * (c % 2), kind=12, change={"post": None} if c % 5 == 0 else {})
+    return build.collection(build.font(widths, runs, licence=0x100 * (c % 3 == 0)), second)
+
+
+@query("WITH " + ORDERS + """SELECT path, CAST(i AS INTEGER) + 19968 AS character, CAST(i AS INTEGER) + 1 AS glyph, CAST(200 + k % 500 AS INTEGER) AS advance, f AS face
+    FROM o, (VALUES (0), (1)) v(f) WHERE f = 0 OR c % 5 <> 0""")
+def font_characters(spark, sf_dir):
+    """Characters, glyphs and widths of both faces of collections, by maps of segments and of groups."""
+    return fonts.font_characters(_built(spark, sf_dir, _font)).filter("error is null").drop("error")
+
+
+@query("WITH " + ORDERS + """SELECT path, f AS face, CASE WHEN f = 0 THEN 1000 WHEN c % 5 <> 0 THEN 2048 END AS units_per_em, CASE WHEN f = 0 OR c % 5 <> 0 THEN CAST(n AS INTEGER) + 1 END AS glyphs,
+    CASE WHEN f = 0 THEN c % 3 <> 0 WHEN c % 5 <> 0 THEN c % 2 = 0 END AS embeddable, CASE WHEN f = 1 AND c % 5 = 0 THEN 'table is missing: post' END AS error FROM o, (VALUES (0), (1)) v(f) WHERE i = 0""")
+def font_faces(spark, sf_dir):
+    """Faces of collections and what their licences allow; a face without a table is an error, its neighbour is read."""
+    return fonts.font_faces(_built(spark, sf_dir, _font)).select("path", "face", "units_per_em", "glyphs", "embeddable", F.col("error.reason").alias("error"))
