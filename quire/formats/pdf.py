@@ -20,6 +20,10 @@ _TOKEN = re.compile(rb"[\0\t\n\x0c\r ]*(?:%[^\r\n]*[\r\n\0\t\x0c ]*)*(<<|>>|\[|\
 _REF = re.compile(rb"[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+R(?![^\0\t\n\x0c\r ()<>\[\]{}/%])")
 _HEAD = re.compile(rb"[\0\t\n\x0c\r ]*(\d+)[\0\t\n\x0c\r ]+(\d+)[\0\t\n\x0c\r ]+obj")
 
+_STREAM = re.compile(rb"[\0\t\n\x0c\r ]*stream(?:\r\n|\n)")
+#: The start and the prime of 128-bit FNV-1a.
+FNV_START, FNV_PRIME = 0x6C62272E07BB014262B821756295C58D, (1 << 88) + 0x13B
+
 
 @dataclass(frozen=True)
 class Ref:
@@ -71,6 +75,7 @@ class Pdf:
         self.end = at + tail.end()
         self.rows: dict[int, tuple[str, int, int]] = {}
         self.trailer: dict = {}
+        self.id_text = b""
         self.startxref = int(tail[1][:20])
         self._chain(self.startxref)
         if "Encrypt" in self.trailer:
@@ -105,12 +110,14 @@ class Pdf:
                 raise self.v.malformed("xref offset is outside the file", at)
             seen.append(at)
             here = re.compile(rb"[\0\t\n\x0c\r ]*xref").match(self.data, at)
-            trailer = self._table(here.end()) if here else self._stream(at)
+            trailer, inside = self._table(here.end()) if here else self._stream(at)
+            if "ID" in trailer and "ID" not in self.trailer:
+                self.id_text = entry(self, self.data, inside, "ID")
             for k, value in trailer.items():
                 self.trailer.setdefault(k, value)
             queue += [trailer[k] for k in ("XRefStm", "Prev") if isinstance(trailer.get(k), int)]
 
-    def _table(self, at: int) -> dict:
+    def _table(self, at: int) -> tuple[dict, int]:
         section = re.compile(rb"\s*(\d+)\s+(\d+)[ \t]*\r?\n?")
         row = re.compile(rb"\s*(\d{10}) (\d{5}) ([nf])")
         while m := section.match(self.data, at):
@@ -129,9 +136,9 @@ class Pdf:
         value, _ = self.parse(self.data, m.end())
         if not isinstance(value, dict):
             raise self.v.malformed("trailer is not a dictionary", at)
-        return value
+        return value, m.end()
 
-    def _stream(self, at: int) -> dict:
+    def _stream(self, at: int) -> tuple[dict, int]:
         head, body = self._object_at(at)
         if not isinstance(head, dict) or head.get("Type") != "XRef":
             raise self.v.malformed("xref section is neither table nor stream", at)
@@ -153,7 +160,7 @@ class Pdf:
                     cut += w
                 self.rows.setdefault(number, ({0: "free", 1: "plain", 2: "packed"}.get(fields[0], "free"), fields[1], fields[2]))
                 place += step
-        return head
+        return head, _HEAD.match(self.data, at).end()
 
     def unfilter(self, head: dict, body: bytes, at: int) -> bytes:
         """Stream bytes after Flate and PNG Up; other filters are not supported."""
@@ -204,7 +211,7 @@ class Pdf:
         if m is None:
             raise self.v.malformed("object header is missing", at)
         value, end = self.parse(self.data, m.end())
-        s = re.compile(rb"[\0\t\n\x0c\r ]*stream(?:\r\n|\n)").match(self.data, end) if isinstance(value, dict) else None
+        s = _STREAM.match(self.data, end) if isinstance(value, dict) else None
         if s is None:
             return value, b""
         length = self.resolve(value.get("Length"))
@@ -212,6 +219,14 @@ class Pdf:
             raise self.v.malformed("stream length is invalid", at)
         return value, self.data[s.end() : s.end() + length]
 
+    def is_stream(self, ref: Ref) -> bool:
+        """Whether a reference leads to a stream; members of object streams never are."""
+        kind, at, _ = self.rows.get(ref.number, ("free", 0, 0))
+        if kind != "plain":
+            return False
+        value, end = self.parse(self.data, _HEAD.match(self.data, at).end())
+        return isinstance(value, dict) and _STREAM.match(self.data, end) is not None
+
     def resolve(self, value, depth: int = 0):
         """The value a reference leads to; None for free and absent objects."""
         while isinstance(value, Ref):
@@ -388,21 +403,53 @@ def update(pdf: Pdf, texts: dict[int, str], size: int) -> bytes:
         body.extend(f"{number} {generations.get(number, 0)} obj\n{text}\nendobj\n".encode("latin-1"))
     table, root = len(body), pdf.trailer["Root"]
     kept = "".join(f" /{k} {t.number} {t.generation} R" for k in ("Info",) if isinstance(t := pdf.trailer.get(k), Ref))
+    kept += _next_id(pdf, table)
     kept = f"/Root {root.number} {root.generation} R{kept} /Prev {pdf.startxref}"
     if any(kind == "packed" for kind, _, _ in pdf.rows.values()):
         offsets[size] = table
         rows = b"".join(b"\1" + o.to_bytes(5, "big") + generations.get(n, 0).to_bytes(2, "big") for n, o in sorted(offsets.items()))
         index = " ".join(f"{n} 1" for n in sorted(offsets))
-        body += f"{size} 0 obj\n<< /Type /XRef /Size {size + 1} /W [1 5 2] /Index [{index}] {kept} /Length {len(rows)} >>\nstream\n".encode() + rows + b"\nendstream\nendobj\n"
+        body += f"{size} 0 obj\n<< /Type /XRef /Size {size + 1} /W [1 5 2] /Index [{index}] {kept} /Length {len(rows)} >>\nstream\n".encode("latin-1") + rows + b"\nendstream\nendobj\n"
     else:
         body += b"xref\n" + b"".join(f"{n} 1\n{o:010d} {generations.get(n, 0):05d} n \n".encode() for n, o in sorted(offsets.items()))
-        body += f"trailer\n<< /Size {size} {kept} >>\n".encode()
+        body += f"trailer\n<< /Size {size} {kept} >>\n".encode("latin-1")
     body += f"startxref\n{table}\n%%EOF\n".encode()
     if len(body) > pdf.limits.max_output_bytes:
         raise pdf.v.error("LimitExceeded", "output bytes", None, (pdf.limits.max_output_bytes, len(body)))
     return bytes(body)
 
 
+def fnv128(raw: bytes) -> int:
+    value = FNV_START
+    for octet in raw:
+        value = (value ^ octet) * FNV_PRIME & (1 << 128) - 1
+    return value
+
+
+def _next_id(pdf: Pdf, table: int) -> str:
+    """The /ID of an update: the file's first identifier stays, the second follows from the old ones and
+    the places of the update; a file without /ID gets none, a referenced one is kept."""
+    old = pdf.trailer.get("ID")
+    if isinstance(old, Ref):
+        return f" /ID {old.number} {old.generation} R"
+    if not isinstance(old, list) or len(old) != 2 or not all(isinstance(x, bytes) and x[:1] in (b"(", b"<") for x in old):
+        return ""
+    mark = fnv128(pdf.id_text + pdf.end.to_bytes(8, "little") + table.to_bytes(8, "little"))
+    return f" /ID [{old[0].decode('latin-1')} <{mark:032X}>]"
+
+
+def entry(pdf: Pdf, source: bytes, start: int, key: str) -> bytes:
+    """The bytes of one value of the dictionary at ``start``; none if it has no such key."""
+    at = _TOKEN.match(source, start).end()
+    while (m := _TOKEN.match(source, at)) and m[1] != b">>":
+        name, at = pdf.parse(source, at)
+        _, after = pdf.parse(source, at)
+        if name == key:
+            return source[at:after].strip(_SPACE)
+        at = after
+    return b""
+
+
 def without_keys(pdf: Pdf, number: int, *keys: str, again: bool = False) -> bytes:
     """The inside of the dictionary of object ``number`` without entries; with ``again``, without those that come a second time."""
     kind, at, index = pdf.rows[number]

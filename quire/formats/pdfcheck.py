@@ -152,6 +152,16 @@ def _destination(pdf: Pdf, node: dict, places: dict, names: dict) -> int | None:
     return names.get(str(goal) if isinstance(goal, Name) else text_string(goal))
 
 
+def _has_contents(pdf: Pdf, page: dict) -> bool:
+    """Whether a page has a stream, or a list of streams, or nothing; absent objects are told of elsewhere."""
+    node = pdf.resolve(Ref(page["number"], page["generation"]))
+    value = node.get("Contents") if isinstance(node, dict) else None
+    if value is None or isinstance(value, Ref) and (pdf.is_stream(value) or pdf.resolve(value) is None):
+        return True
+    parts = pdf.resolve(value)
+    return isinstance(parts, list) and all(isinstance(x, Ref) and (pdf.is_stream(x) or pdf.resolve(x) is None) for x in parts)
+
+
 def problems(pdf: Pdf) -> Iterator[dict]:
     """``number, offset, problem`` of what is wrong, in order of the kinds of checks."""
     furthest = 0
@@ -173,6 +183,8 @@ def problems(pdf: Pdf) -> Iterator[dict]:
         box = [pdf.resolve(x) for x in box] if isinstance(box, list) else None
         if not box or len(box) != 4 or not all(isinstance(x, int | float) for x in box) or box[0] == box[2] or box[1] == box[3]:
             yield {"number": page["number"], "offset": None, "problem": "page has no valid MediaBox"}
+        if not _has_contents(pdf, page):
+            yield {"number": page["number"], "offset": None, "problem": "page contents are not streams"}
     for row in outline(pdf):
         if row["problem"]:
             yield {"number": row["number"], "offset": None, "problem": f"outline: {row['problem']}"}

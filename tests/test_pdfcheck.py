@@ -69,3 +69,34 @@ def test_tables(spark):
     assert [(r.number, r.problem) for r in rows] == [(5, "reference to absent object 9"), (None, None)] and rows[1].error.code == 8
     assert relational.overlaps(documents.pdf_spans(files).filter("error is null"), ["path"], ["offset"], "offset", "end").count() == 0
     assert documents.pdf_outlines(files).filter("error is null").count() == 0 == documents.named_destinations(files).filter("error is null").count()
+
+
+def test_contents():
+    page = lambda more: (3, f"<< /Type /Page /Parent 2 0 R /Contents {more} >>")
+    stream, wrong = (4, "<< /Length 1 >>\nstream\nq\nendstream"), ["page contents are not streams"]
+    for more, rest, problems in (
+        ("4 0 R", [stream], []),
+        ("[4 0 R]", [stream], []),
+        ("[]", [stream], []),
+        ("null", [stream], []),
+        ("5 0 R", [stream, (5, "[4 0 R 4 0 R]")], []),
+        ("(q)", [stream], wrong),
+        ("5 0 R", [stream, (5, "<< /Length 1 >>")], wrong),
+        ("5 0 R", [stream, (5, "[4 0 R 2 0 R]")], wrong),
+        ("[[4 0 R]]", [stream], wrong),
+        ("9 0 R", [stream], ["reference to absent object 9"]),
+    ):
+        assert told(catalog(), BASE[0], page(more), *rest) == problems, more
+
+
+def test_update_keeps_the_first_identifier():
+    assert pdf.fnv128(b"") == 0x6C62272E07BB014262B821756295C58D and pdf.fnv128(b"a") == 0xD228CB696F1A8CAF78912B704E4A8964
+    named = fx.pdf(2).replace(b"/Root 1 0 R", b"/ID [ <AB01> (\\(x\xff) ] /Root 1 0 R")
+    once = pdf.Pdf(pdf.append_outline(named, [(0, "a", 0)]))
+    first, second = once.trailer["ID"]
+    mark = pdf.fnv128(b"[ <AB01> (\\(x\xff) ]" + len(named.rstrip()).to_bytes(8, "little") + once.startxref.to_bytes(8, "little"))
+    assert first == b"<AB01>" and second == b"<%032X>" % mark and once.id_text == b"[<AB01> " + second + b"]" and not list(pdfcheck.problems(once))
+    twice = pdf.Pdf(pdf.update(once, {}, 99))
+    assert twice.trailer["ID"][0] == first and twice.trailer["ID"][1] != second
+    assert "ID" not in pdf.Pdf(pdf.append_outline(fx.pdf(2), [(0, "a", 0)])).trailer
+    assert b"/ID" not in pdf.append_outline(fx.pdf(2).replace(b"/Root 1 0 R", b"/ID [(a)] /Root 1 0 R"), [(0, "a", 0)]).rsplit(b"trailer")[-1]
