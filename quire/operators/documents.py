@@ -65,20 +65,19 @@ def each_document(files: DataFrame, kernel: Callable[..., Iterator[dict]], schem
 
     def run(batches):
         for batch in batches:
-            others = [c.to_pylist() for c in batch.columns[2:]]
+            others, rows, held = [c.to_pylist() for c in batch.columns[2:]], [], 0
             for path, content, *rest in zip(batch.column(0).to_pylist(), batch.column(1), *others, strict=True):
-                rows, held = [], 0
                 try:
                     for row in kernel(content.as_py() or b"", *rest):
                         rows.append({"path": path} | row)
                         held += sum(len(x) for x in row.values() if isinstance(x, bytes))
-                        if len(rows) == BATCH_ROWS or held > BATCH_BYTES:
+                        if len(rows) >= BATCH_ROWS or held > BATCH_BYTES:
                             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
                             rows, held = [], 0
                 except Exception as error:  # damaged bytes may break a kernel in ways it does not foresee: that is the document's error
                     rows.append({"path": path} | error_row(error))
-                if rows:
-                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
+            if rows:
+                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], kinds)
 
     return files.select("path", "content", *more).mapInArrow(run, full)
 
@@ -399,6 +398,22 @@ def pdf_problems(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return _checked(files, pdfcheck.problems, "number long, offset long, problem string", limits)
 
 
+def problem_counts(files: DataFrame, limits: Limits = Limits(), *, more: list[str] | None = None) -> DataFrame:
+    """``path, problems`` and the columns named in ``more``: how many rows ``pdf_problems`` has of each PDF, a row a file, without a join."""
+
+    def kernel(data, *others):
+        count = 0
+        try:
+            for _ in pdfcheck.problems(pdf.Pdf(_pdf_bytes(data, limits), limits)):
+                count += 1
+        except Exception:  # as in each_document: a file that cannot be read is one row
+            count += 1
+        yield dict(zip(more or [], others, strict=True)) | {"problems": count}
+
+    schema = "".join(f"`{n}` {files.schema[n].dataType.simpleString()}, " for n in more or []) + "problems long"
+    return each_document(_of(files, "PDF", "KDH"), kernel, schema, more=more).drop("error")
+
+
 def _checked(files: DataFrame, check: Callable[[pdf.Pdf], Iterator[dict]], schema: str, limits: Limits) -> DataFrame:
     return each_document(_of(files, "PDF", "KDH"), lambda data: check(pdf.Pdf(_pdf_bytes(data, limits), limits)), schema)
 

@@ -454,8 +454,7 @@ def _faulty(c: int, orders: list[dict]) -> bytes:
 def pdf_repairs(spark, sf_dir):
     """PDFs whose faults have one right answer, repaired by an update and checked again."""
     made = documents.to_pdf(_built(spark, sf_dir, _faulty)).filter("error is null").select("path", "page_count", "repaired_objects", F.col("pdf").alias("content"))
-    left = documents.pdf_problems(made).groupBy("path").agg(F.count(F.lit(1)).alias("problems"))
-    return made.drop("content").join(left, "path", "left").withColumn("problems", F.coalesce("problems", F.lit(0)))
+    return documents.problem_counts(made, more=["page_count", "repaired_objects"])
 
 
 # Reports, errors, detection, functions

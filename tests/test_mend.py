@@ -143,3 +143,44 @@ def test_signed_files_are_refused():
     for more in ("/Perms << >>", "/AcroForm << /SigFlags 1 >>"):
         with pytest.raises(FormatError, match="signed"):
             pdf.Pdf(rebuilt({1: f"<< /Type /Catalog /Pages 2 0 R {more} >>", 2: "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: "<< /Type /Page /Parent 2 0 R >>"}))
+
+
+def test_objects_are_parsed_once(monkeypatch):
+    kids = " ".join(f"{3 + k} 0 R" for k in range(50))
+    pages = {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{kids}] /Count 50 /MediaBox [0 0 9 9] /MediaBox [0 0 9 9] >>"} | {3 + k: "<< /Type /Page /Parent 1 0 R >>" for k in range(50)}
+    data, tops, parse = rebuilt(pages), [], pdf.Pdf.parse
+
+    def counted(self, data, at, depth=0):
+        tops.extend([at] if depth == 0 else [])
+        return parse(self, data, at, depth)
+
+    monkeypatch.setattr(pdf.Pdf, "parse", counted)
+    index = pdf.Pdf(data)
+    found, wrong = list(pdfcheck.problems(index)), mend.faults(index)
+    assert not found and len(wrong) == 51 and len(index.repaired) == 1
+    assert len(tops) == len(set(tops)) == len(pages) + 1  # the trailer too
+    for kept in (0, 200):  # what is not kept is read anew, with the same results
+        monkeypatch.setattr(pdf, "KEPT_BYTES", kept)
+        index = pdf.Pdf(data)
+        assert (list(pdfcheck.problems(index)), mend.faults(index)) == (found, wrong) and index.kept <= kept
+
+
+def test_problems_are_counted_in_one_pass(spark):
+    whole, box = fx.pdf(2), {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 >>", 3: "<< /Type /Page /Parent 2 0 R >>", 4: "<< /Type /Page /Parent 2 0 R /Contents 9 0 R >>"}
+    rows = [("a", bytearray(whole), 7), ("b", bytearray(rebuilt(box)), 8), ("b", bytearray(whole), None), ("c", bytearray(b"%PDF-1.4 nothing"), 9), (None, bytearray(rebuilt(box)), 10)]
+    files = spark.createDataFrame(rows, "path string, content binary, n int").coalesce(1)
+    told = [r.path for r in documents.pdf_problems(files).collect()]
+    made = documents.problem_counts(files, more=["n"])
+    assert made.dtypes == [("path", "string"), ("n", "int"), ("problems", "bigint")]
+    got = [tuple(r) for r in made.collect()]
+    assert got == [("a", 7, 0), ("b", 8, 3), ("b", None, 0), ("c", 9, 1), (None, 10, 3)] and sum(g[2] for g in got) == len(told)
+
+
+def test_repairs_make_each_document_once(spark, tmp_path):
+    from quire.plans import containers
+
+    spark.createDataFrame([(k, k % 5, "1-URGENT", "F") for k in range(20)], "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    made = containers.QUERIES["pdf_repairs"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "Join" not in plan
+    assert sorted((r.path, r.page_count, r.repaired_objects, r.problems) for r in made.collect()) == [("c0", 4, 6, 0), ("c1", 4, 0, 0), ("c2", 4, 1, 0), ("c3", 4, 4, 0), ("c4", 4, 1, 0)]
